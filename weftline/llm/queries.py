@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from weftline.llm import packing
+from weftline.llm import packing, piecebpe, quality, shinglejoin, urlfilter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op3_packing,)}
+    return {
+        f.__name__: f
+        for f in (
+            shinglejoin.op1_ngram_jaccard_join,
+            packing.op3_packing,
+            piecebpe.op5_sentencepiece,
+            quality.op9_quality_rules,
+            urlfilter.op10_url_filters,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": quality.ORACLE}
