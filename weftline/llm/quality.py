@@ -154,7 +154,7 @@ ORACLE = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), g AS (
-  SELECT doc_id, source, text, words, list_transform(range(1, len(words) - 6), i -> array_to_string(words[i : i + 7], ' ')) AS grams FROM w
+  SELECT doc_id, source, text, words, list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i : i + 7], ' ')) AS grams FROM w
 ), win AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times
   FROM (SELECT doc_id, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i FROM g)
@@ -165,7 +165,7 @@ WITH w AS (
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), m AS (
-  SELECT g.doc_id, g.source, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT g.doc_id, g.source, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM g LEFT JOIN dup ON g.doc_id = dup.doc_id LEFT JOIN rep ON g.doc_id = rep.doc_id

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import packing, piecebpe, quality, shinglejoin, urlfilter
+from weftline.llm import packing, piecebpe, quality, shinglejoin, urlfilter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
             shinglejoin.op1_ngram_jaccard_join,
             packing.op3_packing,
             piecebpe.op5_sentencepiece,
+            warc.op8_warc,
             quality.op9_quality_rules,
             urlfilter.op10_url_filters,
         )
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.ORACLE}
+    return {"op8_warc": warc.ORACLE, "op9_quality_rules": quality.ORACLE}
