@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import packing, piecebpe, quality, shinglejoin, urlfilter, warc
+from weftline.llm import neardup, packing, piecebpe, quality, shinglejoin, urlfilter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
             shinglejoin.op1_ngram_jaccard_join,
             packing.op3_packing,
             piecebpe.op5_sentencepiece,
+            neardup.op7_embedding_neardup,
             warc.op8_warc,
             quality.op9_quality_rules,
             urlfilter.op10_url_filters,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bytescan
-from weftline.llm.graph import components
+from weftline.llm.graph import batch_stars, bucket_classes, shared
 from weftline.llm.lineage import Shelf, small_side
 
 N_WORDS = 4
@@ -36,9 +36,6 @@ PERCENT = 85
 BAND = 1.3
 #: Levels of rehashing for sets with many empty segments; the last one takes any set.
 LEVELS = 4
-#: Rows of a bucket from which its rest is not paired but searched again by rare elements.
-WIDE = 64
-
 
 def most_differences(size: int, percent: int = PERCENT) -> int:
     """The largest symmetric difference of a set of this size with a set as large or larger that still qualifies."""
@@ -200,72 +197,11 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
                             found.append(signatures(s, percent))
                             names.append(name)
                     if found:
-                        yield _batch_stars(np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.int64), [len(f) for f in found]), part_no)
+                        yield batch_stars(np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.int64), [len(f) for f in found]), part_no)
 
     return rows.mapInArrow(run, schema)
 
 
-def _batch_stars(sigs: np.ndarray, nodes: np.ndarray, part_no: int) -> pa.RecordBatch:
-    """Rows to shuffle: of each signature's nodes within the batch only the smallest goes to the signature's key; the
-    others have found their centre already and are dealt out evenly."""
-    order = np.lexsort((nodes, sigs))
-    sigs, nodes = sigs[order], nodes[order]
-    first = np.ones(len(sigs), bool)
-    first[1:] = sigs[1:] != sigs[:-1]
-    center = nodes[np.maximum.accumulate(np.where(first, np.arange(len(sigs)), 0))]
-    key = np.where(first, sigs, bytescan.mix((sigs + nodes + part_no).view(np.uint64)).view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes), pa.array(sigs, mask=first), pa.array(center, mask=first)], ["key", "node", "sig", "center"])
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of signature rows sorted by key in each partition: those that share their signature, as (sig, node, center)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = None  # of the last row, and the centre if that row's key has been seen twice
-        center = None
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            node = batch.column(1).to_numpy(zero_copy_only=False)
-            local = np.asarray(batch.column(2).is_valid().to_numpy(zero_copy_only=False), bool)
-            if not len(key):
-                continue
-            out_sig, out_node, out_center = [], [], []
-            if local.any():
-                own = batch.filter(pa.array(local))
-                out_sig.append(own.column(2).to_numpy())
-                out_node.append(own.column(1).to_numpy())
-                out_center.append(own.column(3).to_numpy())
-            key, node = key[~local], node[~local]
-            if len(key):
-                first = np.ones(len(key), bool)
-                first[1:] = key[1:] != key[:-1]
-                carried = last_key is not None and key[0] == last_key
-                if carried:
-                    first[0] = False
-                start = np.flatnonzero(first)
-                run_of = np.cumsum(first)  # 0 for the rows of the carried key
-                centers = np.concatenate([[center if carried else 0], node[start]])[run_of]
-                sizes = np.bincount(run_of, minlength=len(start) + 1)
-                many = sizes[run_of] > 1
-                if carried:
-                    many[run_of == 0] = True
-                    if last_node is not None:  # the carried key's only row so far has waited for company
-                        out_sig.append(np.array([last_key]))
-                        out_node.append(np.array([last_node]))
-                        out_center.append(np.array([center]))
-                out_sig.append(key[many])
-                out_node.append(node[many])
-                out_center.append(centers[many])
-                last_key = key[-1]
-                center = centers[-1]
-                alone = not many[-1]
-                last_node = node[-1] if alone else None
-            if out_sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_sig, out_node, out_center)], ["sig", "node", "center"])
-
-    return rows.mapInArrow(run, "sig long, node long, center long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets qualify, by the exact sizes of the sets and their intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
@@ -285,40 +221,15 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = shelf.put(_scan(texts, n_words, "names", "doc_id long, node long, n_shingles long"))
 
     found = _scan(texts.select("doc_id", "text"), n_words, "signatures", "key long, node long, sig long, center long", percent)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = shelf.put(_shared(found.repartition(parts, "key").sortWithinPartitions("key", "node")))
+    buckets = shelf.put(shared(found))
 
     # the sets of the nodes in shared buckets, scanned again from one row of each node
     wanted = buckets.select("node").union(buckets.select(F.col("center").alias("node"))).distinct()
     holders = shelf.put(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
     sets = shelf.put(_scan(texts.join(small_side(holders.select("doc_id").distinct()), "doc_id", "left_semi"), n_words, "sets", "node long, n long, elements array<long>").join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
-    def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-    tried = shelf.put(ordered(buckets, "node", "center"))
-    edges = shelf.put(_verified(tried, sets, percent))
-    classes = shelf.put(components(edges, shelf))
-    members = shelf.put(buckets.select("sig", "node").union(buckets.select("sig", F.col("center").alias("node"))).distinct())
-    for step in ("popular", "all"):
-        labelled = members.join(classes, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("class"))
-        still = labelled.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        rest = shelf.put(labelled.join(still.select("sig", "size"), "sig"))
-        if step == "popular":
-            weight = rest.groupBy("node").agg(F.sum("size").alias("weight"))
-            top = rest.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("center"), F.max_by("class", F.struct("weight", "node")).alias("center_class"))
-            pairs = ordered(rest.join(top, "sig").where("class <> center_class"), "node", "center")
-        else:
-            other = rest.select("sig", F.col("node").alias("other"), F.col("class").alias("other_class"))
-            pairs = ordered(rest.join(other, "sig").where("class < other_class"), "node", "other")
-        fresh = shelf.put(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = shelf.put(_verified(fresh, sets, percent))
-        tried = tried.union(fresh)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            classes = shelf.put(components(edges, shelf))
-    classes = classes.withColumnRenamed("component", "class")
-    return rows, classes
+    classes = bucket_classes(buckets, lambda pairs: _verified(pairs, sets, percent), shelf)
+    return rows, classes.withColumnRenamed("component", "class")
 
 
 def component_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -27,14 +27,15 @@ LEAST_REVISIT = 100
 SEGMENT = 16_384
 CHUNK = 4_096
 VERSION = b"WARC/1.1\r\n"
+_KEY = VERSION.rstrip()
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """HTTP chunk framing of a payload; a chunk ends within each version line, so none stands in the result."""
+    """HTTP chunk framing of a payload; a chunk ends within each version string, so no version line stands in the result."""
     out, at, n = [], 0, len(payload)
     while at < n:
         end = min(n, at + size)
-        if (mark := payload.find(VERSION, at, end + len(VERSION))) >= 0:
+        if (mark := payload.find(_KEY, at, end + len(_KEY))) >= 0:
             end = min(end, mark + 4)
         out.append(b"%x\r\n%b\r\n" % (end - at, payload[at:end]))
         at = end
@@ -69,7 +70,7 @@ def record(kind: str, name: str, block: bytes, **headers) -> bytes:
 
 
 def _url(url: str | None) -> str:
-    return "".join(c for c in url or "about:blank" if c > " ")
+    return "".join(c for c in url or "about:blank" if c > " ").replace(_KEY.decode(), "WARC%2F1.1")
 
 
 def _name(*parts) -> str:
@@ -89,7 +90,6 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int
     if len(block) <= segment:
         yield record("response", name, block, **common)
         return
-    # a cut within a version line's first half cannot make one; framing has none in the block
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
     yield record("response", name, parts[0], **common, WARC_Segment_Number=1)
     for k, part in enumerate(parts[1:], 2):
