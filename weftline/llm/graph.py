@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bytescan
@@ -118,14 +118,24 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "sig long, node long, center long")
 
 
-def bucket_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], shelf: Shelf) -> DataFrame:
-    """(node, component) of the nodes that link with others. buckets: (sig, node, center), stored; verify keeps those
-    of the distinct pairs (a, b), a < b, that truly link."""
+def bucket_classes(buckets: DataFrame, traits: DataFrame, fits: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame], shelf: Shelf) -> DataFrame:
+    """(node, component) of the nodes that link with others.
+
+    buckets: (sig, node, center), stored. traits: narrow columns of each node in a bucket, stored. fits gives the condition on
+    the traits of two nodes (functions from a trait's name to its column) that a pair must meet to be verified; verify
+    keeps those of the distinct pairs (a, b), a < b, that truly link.
+    """
+    names = [c for c in traits.columns if c != "node"]
+    own, other = (traits.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in names]) for k in "ab")
+    fit = fits(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
 
     def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    tried = shelf.put(ordered(buckets, "node", "center"))
+    def fitting(pairs: DataFrame) -> DataFrame:
+        return shelf.put(pairs.join(own, "a").join(other, "b").where(fit).select("a", "b"))
+
+    tried = fitting(ordered(buckets, "node", "center"))
     edges = shelf.put(verify(tried))
     classes = shelf.put(components(edges, shelf))
     members = shelf.put(buckets.select("sig", "node").union(buckets.select("sig", F.col("center").alias("node"))).distinct())
@@ -136,10 +146,11 @@ def bucket_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
         if step == "popular":
             weight = rest.groupBy("node").agg(F.sum("size").alias("weight"))
             top = rest.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("center"), F.max_by("class", F.struct("weight", "node")).alias("center_class"))
-            pairs = ordered(rest.join(top, "sig").where("class <> center_class"), "node", "center")
-        else:
-            other = rest.select("sig", F.col("node").alias("other"), F.col("class").alias("other_class"))
-            pairs = ordered(rest.join(other, "sig").where("class < other_class"), "node", "other")
+            pairs = fitting(ordered(rest.join(top, "sig").where("class <> center_class"), "node", "center"))
+        else:  # the traits are part of the join's condition, so that pairs without a chance are never made
+            left = rest.select("sig", F.col("node").alias("a"), F.col("class").alias("a__")).join(own, "a")
+            right = rest.select(F.col("sig").alias("sig_"), F.col("node").alias("b"), F.col("class").alias("b__")).join(other, "b")
+            pairs = ordered(left.join(right, (F.col("sig") == F.col("sig_")) & (F.col("a__") < F.col("b__")) & fit), "a", "b")
         fresh = shelf.put(pairs.join(tried, ["a", "b"], "left_anti"))
         more = shelf.put(verify(fresh))
         tried = tried.union(fresh)

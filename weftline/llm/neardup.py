@@ -234,11 +234,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     short = shelf.put(_with_units(source, "node long, s long, t long", sketch_rows).join(marked, "node", "left_semi").dropDuplicates(["node"]))
     distinct = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("smallest"), F.count("vec_id").alias("times"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (short.select(F.col("node").alias(k), F.col("s").alias(f"s{k}"), F.col("t").alias(f"t{k}")) for k in "ab")
-        apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
-        close = pairs.join(left, "a").join(right, "b").where(apart <= SKETCH_BITS).select("a", "b")
-        close = shelf.put(close)
+    def fits(a, b):
+        return F.bit_count(a("s").bitwiseXOR(b("s"))) + F.bit_count(a("t").bitwiseXOR(b("t"))) <= SKETCH_BITS
+
+    def verify(close: DataFrame) -> DataFrame:
         wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
         holders = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("vec_id").alias("vec_id"))
         full = shelf.put(source.where("vec_id is not null").join(holders, "vec_id").dropDuplicates(["node"]).select("node", "values"))
@@ -248,7 +247,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         both = close.join(u, "a").join(v, "b").where(F.size("va") == F.size("vb")).select("a", "b", scaled("va").alias("va"), scaled("vb").alias("vb"))
         return both.where(dot(F.col("va"), F.col("vb")) >= threshold * F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb")))).select("a", "b")
 
-    classes = bucket_classes(buckets, verify, shelf)
+    classes = bucket_classes(buckets, short, fits, verify, shelf)
     # search each class exhaustively: blocks of its members by hash, a cell for each pair of blocks
     sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

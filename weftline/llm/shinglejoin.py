@@ -9,10 +9,9 @@ is the cheapest by expected signatures and chance matches. Segments that are emp
 than its band has in reserve moves on to a finer rehashed level, and a pair is found on the first level on which either set is
 satisfied. Each candidate is verified on the full sets.
 
-Only classes are returned, so a bucket's members are first compared with one of them (a star, made within each Arrow
-batch before the shuffle, then across). Buckets whose members are still in different classes get a second star
-around the member in most buckets, and then all their remaining pairs of different classes, so no link that joins two
-classes is lost.
+Only classes are returned, so buckets are compared as graph.bucket_classes says. Before the full sets are compared, a
+pair must fit in size and in parity bitmaps: bits that differ cannot outnumber the elements that differ, so this
+filter loses nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +35,8 @@ PERCENT = 85
 BAND = 1.3
 #: Levels of rehashing for sets with many empty segments; the last one takes any set.
 LEVELS = 4
+#: Words of 64 bits in a set's parity bitmap.
+PARITY = 8
 
 def most_differences(size: int, percent: int = PERCENT) -> int:
     """The largest symmetric difference of a set of this size with a set as large or larger that still qualifies."""
@@ -164,6 +165,15 @@ def set_name(elements: np.ndarray) -> int:
     return int(bytescan.mix(np.array([raw], np.uint64)).view(np.int64)[0])
 
 
+_BITS = [f"p{k}" for k in range(PARITY)]
+
+
+def parity(elements: np.ndarray) -> np.ndarray:
+    """The parity bitmap: bit h is set if an odd number of elements hash to h."""
+    counts = np.bincount((bytescan.mix(elements ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int = PERCENT) -> DataFrame:
     """One pass over (doc_id, text): 'names' (doc_id, node, n), 'signatures' (key, node, sig, center) or 'sets' (node, n, elements)."""
 
@@ -188,7 +198,8 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
                             names.append(name)
                             sizes.append(len(s))
                     if kept:
-                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(kept)))], ["node", "n", "elements"])
+                        bits = np.stack([parity(k.view(np.uint64)) for k in kept])
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(b) for b in bits.T), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(kept)))], ["node", "n", *_BITS, "elements"])
                 else:
                     found, names = [], []
                     for s in document_sets(buf, offsets, n_words):
@@ -204,10 +215,8 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets qualify, by the exact sizes of the sets and their intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    fit = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    both = fit.join(left.select("a", "ea"), "a").join(right.select("b", "eb"), "b")
+    left, right = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"e{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ea", "eb"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -226,9 +235,14 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the sets of the nodes in shared buckets, scanned again from one row of each node
     wanted = buckets.select("node").union(buckets.select(F.col("center").alias("node"))).distinct()
     holders = shelf.put(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
-    sets = shelf.put(_scan(texts.join(small_side(holders.select("doc_id").distinct()), "doc_id", "left_semi"), n_words, "sets", "node long, n long, elements array<long>").join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = shelf.put(_scan(texts.join(small_side(holders.select("doc_id").distinct()), "doc_id", "left_semi"), n_words, "sets", "node long, n long, " + "".join(f"{b} long, " for b in _BITS) + "elements array<long>").join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+    def fits(a, b):
+        bits = sum((F.bit_count(a(p).bitwiseXOR(b(p))) for p in _BITS[1:]), F.bit_count(a(_BITS[0]).bitwiseXOR(b(_BITS[0]))))
+        small, large = F.least(a("n"), b("n")), F.greatest(a("n"), b("n"))
+        return (100 * small >= percent * large) & (bits * (100 + percent) <= (100 - percent) * (small + large))
 
-    classes = bucket_classes(buckets, lambda pairs: _verified(pairs, sets, percent), shelf)
+    classes = bucket_classes(buckets, sets.drop("elements"), fits, lambda pairs: _verified(pairs, sets, percent), shelf)
     return rows, classes.withColumnRenamed("component", "class")
 
 
