@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import neardup, packing, piecebpe, quality, shinglejoin, urlfilter, warc
+from weftline.llm import langid, neardup, packing, piecebpe, quality, shinglejoin, tokencount, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             shinglejoin.op1_ngram_jaccard_join,
+            tokencount.op2_token_counts,
             packing.op3_packing,
+            langid.op4_language_id,
             piecebpe.op5_sentencepiece,
+            toxicity.op6_toxicity,
             neardup.op7_embedding_neardup,
             warc.op8_warc,
             quality.op9_quality_rules,

@@ -22,8 +22,9 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm import bytescan
 from weftline.llm.graph import batch_stars, bucket_classes, shared
@@ -262,5 +263,50 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return component_ids(*link_classes(docs, id_col, text_col, n_words, percent)).select("doc_id", "n_shingles", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without all but one row of each class: the row with the smallest doc_id (of repeated ids the first set and one
+    of its rows). Rows with empty sets or null ids link with nothing and stay. All columns stay as they are.
+    """
+    shelf = Shelf(docs.sparkSession)
+    rows, classes = link_classes(docs, id_col, text_col, n_words, percent, shelf)
+    placed = rows.where("doc_id is not null and node is not null").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    best = placed.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("best"))
+    spare = placed.join(best, "class").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("node") != F.col("best.node"))).select("doc_id", "node")
+    lost = shelf.put(spare.distinct())
+    again = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = shelf.put(again)
+    mark = "__keep"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    # ids that stand once lose their row by id alone; of repeated ids each row's set decides
+    single = shelf.put(lost.join(again, "doc_id", "left_anti").select("doc_id").distinct())
+    key = F.col(id_col).cast("long")
+    left = docs.join(small_side(single.withColumnRenamed("doc_id", mark)), key == F.col(mark), "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = left.join(small_side(again.withColumnRenamed("doc_id", mark)), key == F.col(mark), "left_semi")
+    others = left.join(small_side(again.withColumnRenamed("doc_id", mark)), key == F.col(mark), "left_anti")
+    texts = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = _name_rows(repeated, id_col, text_col, mark, n_words)
+    kept = kept.join(lost.withColumnRenamed("doc_id", mark + "_id").withColumnRenamed("node", mark + "_node"), (key == F.col(mark + "_id")) & (F.col(mark) == F.col(mark + "_node")), "left_anti")
+    # of equal ids with equal sets one row stays; rows without a set all stay
+    named = kept.where(F.col(mark).isNotNull())
+    once = named.withColumn(mark + "_rank", F.row_number().over(Window.partitionBy(key, F.col(mark)).orderBy(texts))).where(F.col(mark + "_rank") == 1)
+    return others.unionByName(once.select(*docs.columns)).unionByName(kept.where(F.col(mark).isNull()).select(*docs.columns))
+
+
+def _name_rows(docs: DataFrame, id_col: str, text_col: str, name: str, n_words: int) -> DataFrame:
+    """docs with the name of each row's set."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offsets, _ in bytescan.text_slices(batch, text_col):
+                names = [set_name(s) if len(s) else None for s in document_sets(buf, offsets, n_words)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.int64())], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
