@@ -1 +1 @@
-
+"""Scalar expressions."""

@@ -1 +1 @@
-
+"""DataFrame operators shared by batch and streaming callers."""

@@ -1 +1 @@
-
+"""Tables from configuration, file systems and ground-truth files."""

@@ -1 +1 @@
-
+"""Structured Streaming around the shared operators."""
