@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import intel, scalars, watching
+from weftline.plans import intel, more, scalars, watching
 
-_ALL = {**watching.QUERIES, **intel.QUERIES, **scalars.QUERIES}
+_ALL = {**watching.QUERIES, **intel.QUERIES, **scalars.QUERIES, **more.QUERIES}
 
 
 def queries() -> dict:

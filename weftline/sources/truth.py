@@ -32,8 +32,8 @@ def symbol_tree(truth: DataFrame, levels: int = 8) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """(path, text, version): files as they are opened, with version 0."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    """(path, text, version): files as they are opened, byte for byte in UTF-8, with version 0."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.lit(0).alias("version"))
+    return reader.load(folder).select("path", F.decode("content", "UTF-8").alias("text"), F.lit(0).alias("version"))
