@@ -173,9 +173,9 @@ def ignored_by_git(asked: DataFrame, timeout_s: float = 10.0) -> tuple[DataFrame
         try:
             found = git_check_ignore(root, rows["asked"].tolist(), timeout_s)
         except (subprocess.TimeoutExpired, RuntimeError) as e:
-            return pd.DataFrame({"repo_root": [root], "rel_key": [None], "error": [str(e)]})
+            return pd.DataFrame({"repo_root": [root], "rel_key": [None], "error": [str(e)]}, dtype=object)
         keys = sorted({k for k in rows["rel_key"] if k in found})
-        return pd.DataFrame({"repo_root": [root] * len(keys), "rel_key": keys, "error": [None] * len(keys)})
+        return pd.DataFrame({"repo_root": [root] * len(keys), "rel_key": keys, "error": [None] * len(keys)}, dtype=object)
 
     out = asked.groupBy("repo_root", "chunk").applyInPandas(ask, "repo_root string, rel_key string, error string")
     return out.where("error is null").select("repo_root", "rel_key").distinct(), out.where("error is not null").select("repo_root", "error")

@@ -57,13 +57,16 @@ def watch(stream: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig,
 
     def one(frame: DataFrame, number: int) -> None:
         spark = frame.sparkSession
-        raw = frame.select(F.monotonically_increasing_id().alias("seq"), "change", "path", (F.col("change") != "deleted").alias("exists_now"), F.lit(False).alias("is_dir")).withColumn("batch", F.lit(number))
+        raw = frame.select(F.monotonically_increasing_id().alias("seq"), "change", "path", (F.col("change") != "deleted").alias("exists_now"), F.lit(False).alias("is_dir")).withColumn("batch", F.lit(number)).persist()  # a source may tell a batch only once
         final, warnings = prepare(raw, roots, cfg, ["batch"])
         final = final.withColumn("batch", F.lit(number))
         head = spark.range(1).select(F.lit(number).alias("batch")).join(raw.groupBy("batch").agg(F.count("*").alias("raw")), "batch", "left").withColumn("raw", F.coalesce("raw", F.lit(0).cast("long")))
         kept = final.groupBy("batch").agg(F.count("*").alias("filtered"))
         head = head.join(kept, "batch", "left").withColumn("filtered", F.coalesce("filtered", F.lit(0).cast("long"))).withColumn("ts", F.localtimestamp())
-        sink(changes.envelopes(head, final, ["batch"], warnings.withColumn("batch", F.lit(number))).select("ts", "raw", "filtered", "events", "warnings"), number)
+        try:
+            sink(changes.envelopes(head, final, ["batch"], warnings.withColumn("batch", F.lit(number))).select("ts", "raw", "filtered", "events", "warnings"), number)
+        finally:
+            raw.unpersist()
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer).start()
