@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are hashed at once; bounds the memory of the temporary arrays (about 40 bytes for each).
 BLOCK = 1 << 20
 #: Bytes of text that one slice of a batch may hold (a longer document makes a slice of its own).
-SLICE = 8 << 20
+SLICE = 3 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -143,7 +143,7 @@ class ChunkTable:
     chunks costs time only; a chunk takes about 40 bytes.
     """
 
-    def __init__(self, solve, dtype, room: int = 1_500_000):
+    def __init__(self, solve, dtype, room: int = 600_000):
         self.solve, self.dtype, self.room = solve, dtype, room
         self._reset()
 

@@ -39,6 +39,8 @@ BATCH = 64
 SEED = 11
 #: Words in a block of the chain.
 BLOCK = 32
+#: Bytes of text whose chains are in memory at once (about 300 bytes for each).
+SLICE = 1 << 20
 #: A document whose language is less sure than this is rejected by the filter.
 MIN_SCORE = 0.3
 
@@ -330,7 +332,7 @@ def predict(docs: DataFrame, model: Crf | None, text_col: str, pred: str, score:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offsets, _ in bytescan.text_slices(batch, text_col):
+            for part, buf, offsets, _ in bytescan.text_slices(batch, text_col, SLICE):
                 n = part.num_rows
                 # a letter is what Unicode calls one; ASCII decides nearly always
                 letters = np.zeros(len(buf) + 1, np.int64)
