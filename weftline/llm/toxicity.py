@@ -1,10 +1,11 @@
 """Operator 6: toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives and any texts of the training folds the unlabelled; labels of 0 are used for the
-class prior only. Linear classifiers over the presence of words minimise the non-negative risk: the prior times the
+class prior only. Linear classifiers over the presence of features minimise the non-negative risk: the prior times the
 positives' loss, plus the unlabelled texts' loss as negatives less the prior times the positives' loss as
-negatives, which is held at zero or above (Kiryo et al., 2017). Words are features if positives have them clearly more
-often than unlabelled texts. Several classifiers from resampled texts are averaged.
+negatives, which is held at zero or above (Kiryo et al., 2017). Words, and beginnings of longer words (for languages that
+build words from stems), each as present, as standing twice or as frequent for the text's length, are features if positives have them clearly more often than unlabelled texts. Several classifiers
+from resampled texts are averaged.
 """
 
 from __future__ import annotations
@@ -19,16 +20,20 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bytescan
 
-#: Positives and unlabelled texts that are sampled at most, and the distinct words (by smallest hash) taken from each.
-POSITIVES = 3_000
-UNLABELLED = 6_000
-WORDS = 5_000
+#: Positives and unlabelled texts that are sampled at most, and the distinct features (by smallest hash) taken from each.
+POSITIVES = 2_000
+UNLABELLED = 4_000
+WORDS = 20_000
+#: Bytes of the beginnings that are features of longer words.
+PREFIXES = (4, 5, 6, 7, 8)
+#: A feature is frequent if it stands once in so many words at least.
+FREQUENT = 150
 #: A feature's word stands in so many positives at least, and its excess there has this z score.
 LEAST_COUNT = 4
 LEAST_Z = 5.0
 FEATURES = 400
 CLASSIFIERS = 3
-STEPS = 400
+STEPS = 800
 SEED = 5
 
 _SEPARATORS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -36,7 +41,7 @@ _SEPARATORS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 @dataclass
 class Toxic:
-    """Averaged classifiers: sorted word hashes, weights (classifiers x words) and biases."""
+    """Averaged classifiers: sorted feature hashes, weights (classifiers x features) and biases."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -51,15 +56,57 @@ class Toxic:
         return out / len(self.biases)
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of letters, A-Z in lower case; bytes over 127 count as letters) and the documents' offsets."""
+#: The lowest two bits of a feature say how often it must stand; the rest is the hash of its word or beginning.
+_BASE = np.uint64((1 << 64) - 4)
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Hashes of all words (runs of letters, A-Z in lower case; bytes over 127 count as letters), then of the
+    beginnings of each length of the words that are longer; for each of these arrays its documents; each document's words."""
     low = bytescan.LOWER[buf]
     starts, ends = bytescan.spans(low, offsets, _SEPARATORS)
-    return bytescan.span_hashes(low, starts, ends), bytescan.document_of(starts, offsets)
+    n_words = np.diff(bytescan.document_of(starts, offsets))
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    found, owners = [bytescan.span_hashes(low, starts, ends) & _BASE], [owner]
+    for size in PREFIXES:
+        longer = np.flatnonzero(ends - starts > size)
+        # a mark keeps a beginning apart from the word that it would be
+        found.append(bytescan.mix(bytescan.span_hashes(low, starts[longer], starts[longer] + size) ^ np.uint64(size)) & _BASE)
+        owners.append(owner[longer])
+    return found, owners, n_words
+
+
+def features_of(bases: np.ndarray, counts: np.ndarray, n_words: np.ndarray | int) -> list[np.ndarray]:
+    """Features of bases that stand so often: present, twice, frequent; zero where one does not hold."""
+    return [bases, np.where(counts >= 2, bases | np.uint64(1), 0), np.where(counts * FREQUENT >= n_words, bases | np.uint64(2), 0)]
+
+
+def known_pairs(words: np.ndarray, found: list[np.ndarray], owners: list[np.ndarray], n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place in the sorted features) of the features that the documents have."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bases = np.unique(words & _BASE)
+    sieve = np.zeros(1 << 16, bool)
+    sieve[(bases >> np.uint64(48)).astype(np.int64)] = True
+    pairs = []
+    for hashes, owner in zip(found, owners, strict=True):
+        maybe = np.flatnonzero(sieve[(hashes >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(bases, hashes[maybe]), len(bases) - 1)
+        hit = bases[at] == hashes[maybe]
+        pairs.append(owner[maybe[hit]] * len(bases) + at[hit])
+    both, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    doc, base = both // len(bases), bases[both % len(bases)]
+    docs, places = [], []
+    for f in features_of(base, counts, n_words[doc]):
+        at = np.minimum(np.searchsorted(words, f), len(words) - 1)
+        hit = words[at] == f
+        docs.append(doc[hit])
+        places.append(at[hit])
+    return np.concatenate(docs), np.concatenate(places)
 
 
 def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the words that positives have clearly more often."""
+    """Sorted hashes of the features that positives have clearly more often."""
     positive, unlabelled = list(positive), list(unlabelled)
     words, counts = np.unique(np.concatenate(positive), return_counts=True)
     words, counts = words[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
@@ -90,6 +137,7 @@ def nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = STEPS,
         grad[:-1] += decay * w[:-1] / max(1, d)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        np.maximum(w[:-1], 0, out=w[:-1])  # a feature of positives never speaks against
     return w[:-1], float(w[-1])
 
 
@@ -139,8 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets, _ in bytescan.text_slices(batch, "text"):
-                hashes, cuts = word_hashes(buf, offsets)
-                words = [np.unique(hashes[a:b])[:WORDS].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                found, owners, n_words = word_hashes(buf, offsets)
+                hashes, owner = np.concatenate(found), np.concatenate(owners)
+                hashes = hashes[np.argsort(owner, kind="stable")]
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
+                words = []
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    all_of = np.unique(np.concatenate(features_of(*np.unique(hashes[a:b], return_counts=True), n_words[k])))
+                    words.append(all_of[all_of > 0][:WORDS])
                 yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in words], pa.binary()), part.column(1), part.column(2)], ["words", "positive", "unlabelled"])
 
     got = picked.mapInArrow(hashed, "words binary, positive boolean, unlabelled boolean").limit(3 * (POSITIVES + UNLABELLED)).collect()
@@ -162,14 +216,7 @@ def score(docs: DataFrame, model: Toxic, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part, buf, offsets, _ in bytescan.text_slices(batch, "text"):
                 n = part.num_rows
-                hashes, cuts = word_hashes(buf, offsets)
-                owner, feature = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if len(model.words) and len(hashes):
-                    at = np.minimum(np.searchsorted(model.words, hashes), len(model.words) - 1)
-                    hit = np.flatnonzero(model.words[at] == hashes)
-                    owner = np.searchsorted(cuts, hit, "right") - 1
-                    pairs = np.unique(owner * len(model.words) + at[hit])
-                    owner, feature = pairs // len(model.words), pairs % len(model.words)
+                owner, feature = known_pairs(model.words, *word_hashes(buf, offsets))
                 value = model.score(owner, feature, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
