@@ -22,8 +22,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document with the smallest id."""
-    return shinglejoin.keep_one_of_each(docs)
+    """Keeps of each class of near duplicates the document with the smallest id: five-word shingles, similarity 0.8."""
+    return shinglejoin.keep_one_of_each(docs, n_words=5, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

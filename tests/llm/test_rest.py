@@ -169,6 +169,36 @@ def test_pipeline_equals_plain_stages(spark):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
 
 
+def five_word_classes(rows):
+    """id -> smallest linked id, all pairs of five-word shingle sets compared at 0.8."""
+    sets = {}
+    for i, t in rows:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset([tuple(words)] if 0 < len(words) < 5 else zip(*(words[k:] for k in range(5)), strict=False))
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and comp[a] != comp[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {i: low if c == high else c for i, c in comp.items()}
+    return comp
+
+
+def test_near_duplicate_stage_takes_five_words_at_80(spark):
+    import corpus_pipeline as c
+    from tests.llm.test_join import corpus
+
+    words = [f"q{k}" for k in range(100)]
+    changed = " ".join("new" + w if w in ("q30", "q60") else w for w in words)
+    rows = corpus()
+    n = len(rows)
+    rows += [(n, " ".join(words)), (n + 1, changed), (n + 2, " ".join("r" + w for w in words)), (n + 3, " ".join(["r" + w for w in words] + [f"s{k}" for k in range(20)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in c.near_duplicates(spark, docs, "").collect()}
+    assert got == {i for i, k in five_word_classes(rows).items() if i == k}
+    assert {n, n + 2} <= got and not {n + 1, n + 3} & got
+
+
 def test_pipeline_stages_on_odd_documents(spark):
     import corpus_pipeline as c
 
