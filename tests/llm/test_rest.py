@@ -92,6 +92,36 @@ def test_embeddings(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def pairs_at(cosine, n, dimension, seed=11):
+    """n random pairs of unit vectors at this cosine."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.normal(size=(2, n, dimension))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("hashes,dimension,n", [(3, 2, 1500), (3, 64, 1500), (4, 64, 1500), (5, 64, 1500), (3, 768, 300), (4, 768, 300)])
+def test_bucket_recall_at_the_threshold(hashes, dimension, n):
+    x, y = pairs_at(0.9, n, dimension)
+    tables = neardup.tables_for(hashes, neardup.padded_size(dimension))
+    a, b = neardup.bucket_keys(x, tables, hashes), neardup.bucket_keys(y, tables, hashes)
+    found = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
+    print(f"recall {found:.4f} dimension {dimension} hashes {hashes} tables {tables}")
+    assert found >= 0.985
+
+
+@pytest.mark.parametrize("hashes", [4, 5])
+def test_more_hashes_find_all_pairs(spark, hashes):
+    x, y = pairs_at(0.9 + 1e-9, 400, 64)
+    u = np.concatenate([x, y])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df, hashes=hashes).collect()}
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([got[k] for k in range(len(u))])
+    assert (found <= links).all() and found.sum() >= 0.985 * links.sum()
+
+
 def test_hadamard():
     x = np.eye(8)
     h = neardup.hadamard(x)

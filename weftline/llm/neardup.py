@@ -2,7 +2,8 @@
 
 Each table rotates unit vectors by three rounds of random signs and the fast Hadamard transform, and the hash of a
 rotation is the signed axis next to the vector; a table joins several such hashes. Multiprobing adds the buckets that
-the least certain second choices give. Candidates of a bucket are compared by the signs of two more rotations, then
+the least certain second choices give. The number of tables follows from the hashes in a table and the dimension, so
+that the chance of a pair at the threshold to share a bucket does not depend on the number of vectors. Candidates of a bucket are compared by the signs of two more rotations, then
 verified by their cosine. Links exist only within the classes that verified links make, so each class is searched
 exhaustively in blocks and every vector's links are counted without listing the pairs.
 """
@@ -10,6 +11,7 @@ exhaustively in blocks and every vector's links are counted without listing the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, log
 
 import numpy as np
@@ -22,8 +24,14 @@ from weftline.llm.graph import SIGNATURE_ROWS, batch_stars, bucket_classes, shar
 from weftline.llm.lineage import Shelf
 
 THRESHOLD = 0.9
-#: Tables for three hashes a table; each further hash takes 1.6 times as many for the same recall.
-TABLES = 10
+#: The least chance of a pair at the threshold to share a bucket of some table, whatever the hashes and the dimension.
+RECALL = 0.995
+#: Random pairs that a table's chance is estimated from, less two standard errors.
+TRIALS = 20_000
+#: The four buckets of a vector in a table: which of its least certain hashes take the second choice.
+PROBES = ((), (0,), (1,), (0, 1))
+#: Shorter vectors are padded to this size, since few axes make few different rotations.
+LEAST_SIZE = 64
 SEED = 7
 #: Sign bits, of 128, in which vectors at the threshold may differ: the mean of 18.4 and five deviations.
 SKETCH_BITS = 38
@@ -54,8 +62,62 @@ def _signs(dimension: int, number: int) -> np.ndarray:
 
 def padded(x: np.ndarray) -> np.ndarray:
     """Rows with zeros up to a power of two."""
-    size = 1 << max(1, (x.shape[1] - 1).bit_length())
-    return np.pad(x, ((0, 0), (0, size - x.shape[1])))
+    return np.pad(x, ((0, 0), (0, padded_size(x.shape[1]) - x.shape[1])))
+
+
+def padded_size(dimension: int) -> int:
+    return max(LEAST_SIZE, 1 << (dimension - 1).bit_length())
+
+
+def axes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two signed axes next to each row, nearest first, and how much nearer the first one is."""
+    size = np.abs(r)
+    order = np.argpartition(-size, 1, axis=1)[:, :2]
+    pair = np.take_along_axis(size, order, 1)
+    order = np.where((pair[:, 0] >= pair[:, 1])[:, None], order, order[:, ::-1])
+    return order * 2 + (np.take_along_axis(r, order, 1) < 0), np.abs(pair[:, 0] - pair[:, 1])
+
+
+@lru_cache(maxsize=None)
+def table_chance(hashes: int, size: int, threshold: float = THRESHOLD) -> float:
+    """The chance of a pair at the threshold to share a bucket of one table, from random pairs of that cosine, less two
+    standard errors. size: padded dimension."""
+    rng = np.random.Generator(np.random.PCG64([SEED, size, hashes]))
+    hit, done, step = 0, 0, max(1, (1 << 20) // size)
+    while done < TRIALS:
+        n = min(step, TRIALS - done)
+        done += n
+        same, unsure = np.zeros((n, hashes, 2, 2), bool), np.zeros((2, n, hashes))
+        for k in range(hashes):
+            x, y = rng.normal(size=(n, size)), rng.normal(size=(n, size))
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            y -= (x * y).sum(1)[:, None] * x
+            y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * y / np.sqrt((y * y).sum(1))[:, None]
+            (a, unsure[0, :, k]), (b, unsure[1, :, k]) = axes(x), axes(y)
+            same[:, k] = a[:, :, None] == b[:, None, :]
+        first = np.argsort(unsure, axis=2, kind="stable")
+        choices = np.zeros((2, len(PROBES), n, hashes), np.int64)
+        for p, turned in enumerate(PROBES):
+            for u in turned:
+                if u < hashes:
+                    np.put_along_axis(choices[:, p], first[:, :, u : u + 1], 1, axis=2)
+        met = np.zeros(n, bool)
+        for p in choices[0]:
+            for q in choices[1]:
+                met |= same[np.arange(n)[:, None], np.arange(hashes), p, q].all(1)
+        hit += int(met.sum())
+    chance = hit / TRIALS
+    return max(1 / TRIALS, chance - 2 * np.sqrt(chance * (1 - chance) / TRIALS))
+
+
+def tables_for(hashes: int, size: int, threshold: float = THRESHOLD) -> int:
+    """Tables of so many hashes that find a pair at the threshold with the chance RECALL. size: padded dimension."""
+    return ceil(log(1 - RECALL) / log(1 - min(RECALL, table_chance(hashes, size, threshold))))
+
+
+def hashes_for(vectors: int, size: int) -> int:
+    """Hashes in a table, three at least, that keep buckets of unrelated vectors at about 8 or less. size: padded dimension."""
+    return max(3, ceil(log(max(2, vectors) / 8) / log(2 * size)))
 
 
 def bucket_keys(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
@@ -68,17 +130,13 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
         best, second, gap = [], [], []
         for k in range(hashes):
             r = rotate(x, _signs(d, t * hashes + k))
-            size = np.abs(r)
-            order = np.argpartition(-size, 1, axis=1)[:, :2]
-            pair = np.take_along_axis(size, order, 1)
-            order = np.where((pair[:, 0] >= pair[:, 1])[:, None], order, order[:, ::-1])
-            axis = order * 2 + (np.take_along_axis(r, order, 1) < 0)
+            axis, nearer = axes(r)
             best.append(axis[:, 0])
             second.append(axis[:, 1])
-            gap.append(np.abs(pair[:, 0] - pair[:, 1]))
+            gap.append(nearer)
         best, second = np.stack(best, 1), np.stack(second, 1)
         unsure = np.argsort(np.stack(gap, 1), axis=1, kind="stable")
-        for turned in ((), (0,), (1,), (0, 1)):
+        for turned in PROBES:
             choice = best.copy()
             for u in turned:
                 if u < hashes:
@@ -137,17 +195,18 @@ def _names(x: np.ndarray) -> np.ndarray:
 
 
 def name_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, node): node names the vector's direction, null if it cannot be compared."""
+    """(vec_id, node, size): node names the vector's direction, null if it cannot be compared; size is its padded dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.zeros(batch.num_rows, np.int64)
             known = np.zeros(batch.num_rows, bool)
+            sizes = np.zeros(batch.num_rows, np.int32)
             for x, at in _by_length(batch.column(1)):
-                names[at], known[at] = _names(x), True
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, mask=~known)], ["vec_id", "node"])
+                names[at], known[at], sizes[at] = _names(x), True, padded_size(x.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, mask=~known), pa.array(sizes, mask=~known)], ["vec_id", "node", "size"])
 
-    return vectors.mapInArrow(run, "vec_id long, node long")
+    return vectors.mapInArrow(run, "vec_id long, node long, size int")
 
 
 def _with_units(vectors: DataFrame, schema: str, make) -> DataFrame:
@@ -205,24 +264,24 @@ def _class_links(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "node long, links long")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, hashes: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int | None = None, hashes: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id is its component's smallest).
 
     Null and zero vectors, and those with null or non-finite components, link with nothing; vectors of different lengths do
     not link. Equal vectors link and share a class. Null ids stay null, with a null component, and are kept. hashes: hashes in a table; None takes three, or more
-    for so many vectors that buckets of unrelated ones would hold over about 8.
+    for so many vectors that buckets of unrelated ones would hold over about 8. tables: None takes as many as RECALL needs with these hashes.
     """
     spark = vectors.sparkSession
     shelf = Shelf(spark)
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("values"))
     rows = shelf.put(name_vectors(source))
-    if hashes is None:
-        total = rows.count()
-        hashes = max(3, ceil(log(max(2, total) / 8) / log(128)))
-        tables = ceil(tables * 1.6 ** (hashes - 3))
+    plans = {}  # padded dimension: tables and hashes
+    for size, number in rows.where("node is not null").groupBy("size").count().collect():
+        own = hashes or hashes_for(number, size)
+        plans[size] = (tables or tables_for(own, size, threshold), own)
 
     def signature_rows(nodes: np.ndarray, x: np.ndarray, part_no: int) -> pa.RecordBatch:
-        keys = bucket_keys(x, tables, hashes)
+        keys = bucket_keys(x, *plans[padded_size(x.shape[1])])
         return batch_stars(keys.ravel().view(np.int64), np.repeat(nodes, keys.shape[1]), part_no)
 
     def sketch_rows(nodes: np.ndarray, x: np.ndarray, part_no: int) -> pa.RecordBatch:
