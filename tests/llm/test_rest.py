@@ -122,6 +122,21 @@ def test_more_hashes_find_all_pairs(spark, hashes):
     assert (found <= links).all() and found.sum() >= 0.985 * links.sum()
 
 
+def test_repeated_ids_keep_their_own_vectors(spark):
+    x, y = pairs_at(0.97, 40, 64)
+    # each id stands for a vector of one pair and one of another
+    rows = [(k, v) for k, v in enumerate(x)] + [(k, v) for k, v in enumerate(x[::-1])] + [(100 + k, v) for k, v in enumerate(y)]
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neardup.near_duplicates(df.repartition(3)).collect():
+        got.setdefault(r["vec_id"], []).append(r["n_links"])
+    u = np.stack([v for _, v in rows])
+    want = {}
+    for (k, _), links in zip(rows, (u @ u.T >= 0.9).sum(1) - 1, strict=True):
+        want.setdefault(k, []).append(int(links))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_hadamard():
     x = np.eye(8)
     h = neardup.hadamard(x)

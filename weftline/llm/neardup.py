@@ -209,6 +209,18 @@ def name_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, node long, size int")
 
 
+def _named(vectors: DataFrame) -> DataFrame:
+    """(vec_id, node, values) of the vectors that can be compared: each row keeps its own vector, also under a repeated id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, at in _by_length(batch.column(1)):
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_names(x)), rows.column(1)], ["vec_id", "node", "values"])
+
+    return vectors.mapInArrow(run, "vec_id long, node long, values array<double>")
+
+
 def _with_units(vectors: DataFrame, schema: str, make) -> DataFrame:
     """make(nodes, unit rows) of all comparable vectors, each direction once a task and length."""
 
@@ -299,7 +311,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def verify(close: DataFrame) -> DataFrame:
         wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
         holders = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("vec_id").alias("vec_id"))
-        full = shelf.put(source.where("vec_id is not null").join(holders, "vec_id").dropDuplicates(["node"]).select("node", "values"))
+        full = shelf.put(_named(source.join(holders.select("vec_id").distinct(), "vec_id", "left_semi")).join(holders, ["vec_id", "node"]).dropDuplicates(["node"]).select("node", "values"))
         u, v = (full.select(F.col("node").alias(k), F.col("values").alias(f"v{k}")) for k in "ab")
         dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
         scaled = lambda k: F.transform(F.col(k), lambda z: z / F.array_max(F.transform(F.col(k), F.abs)))
@@ -311,7 +323,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = classes.join(sizes, "component").join(distinct, "node").where("smallest is not null").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = source.where("vec_id is not null").join(placed.select("node", "component", "times", "blocks", "block", F.col("smallest").alias("vec_id")), "vec_id")
+    full = _named(source.where("vec_id is not null")).join(placed.select("node", "component", "times", "blocks", "block", F.col("smallest").alias("vec_id")), ["vec_id", "node"])
     cells = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = cells.select("cell", "node", "times", "block", "values").dropDuplicates(["cell", "node"]).repartition(parts, "cell").sortWithinPartitions("cell")
