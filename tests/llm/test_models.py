@@ -133,6 +133,22 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
+def suffix_case(spark, more=()):
+    """(page_id, url) pages and rules: of 40 suffixes every second one has its labelled URLs blocked; page_id is 1 for unruled URLs
+    of these, 0 for unruled URLs of the others and null for labelled ones."""
+    tops = [a + b for a in "kmprtvxz" for b in "adhnq"]
+    rules = tuple(("block" if k % 2 else "allow", f"{t}/x/") for k, t in enumerate(tops))
+    # the characters of each host all differ, so that other features are the same
+    rows = [(page, f"http://h{n}.{t}/{x}/p") for k, t in enumerate(tops) for n in (*range(12, 22), *range(23, 33)) for x, page in (("x", None), ("y", k % 2))]
+    return spark.createDataFrame(rows + list(more), "page_id long, url string"), rules
+
+
+def test_suffix_statistics_cover_all_rows(spark):
+    pages, rules = suffix_case(spark)
+    got = urlfilter.judge_urls(pages, rules=rules, sample=30).where("rule is null").collect()
+    assert len(got) == 800 and all((r["verdict"] == "block") == (r["page_id"] == 1) for r in got)
+
+
 def test_trees_learn(spark):
     rows = [(k % 7, k % 3, int(k % 7 > 3 and k % 3 == 1), 1.0) for k in range(400)]
     df = spark.createDataFrame(rows, "b_x int, b_y int, label int, weight double")

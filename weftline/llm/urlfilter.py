@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.lineage import Shelf
+from weftline.llm.lineage import Shelf, small_side
 
 #: Fixed rules of the page tables: verdict and rule.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -201,15 +201,17 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     ruled = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = ruled.withColumn("ruling", verdict_of(F.col("rule"), rules)).withColumn("suffix", suffix_of(F.col("host")))
-    # bounded samples by hash of the URL
+    # bounded samples by hash of the URL, for growing the trees alone
     examples = ruled.select("url", "host", "path", "suffix", (F.coalesce("ruling", F.lit("")) == "block").cast("int").alias("label"), F.when(F.col("rule").isNull(), BACKGROUND).otherwise(1.0).alias("weight"))
     pick = lambda known: examples.where(F.col("weight") == (1.0 if known else BACKGROUND)).orderBy(F.xxhash64("url")).limit(sample)
     labelled = shelf.put(pick(True).union(pick(False)))
-    # of suffixes seen in the sample: at most as many as the sample has rows
-    suffixes = shelf.put(labelled.groupBy("suffix").agg(F.count("*").alias("suffix_count"), ((F.sum(F.col("label") * F.col("weight")) + 1) / (F.sum("weight") + 2)).alias("suffix_rate")))
+    # of all rows' suffixes
+    suffixes = shelf.put(examples.groupBy("suffix").agg(F.count("*").alias("suffix_count"), ((F.sum(F.col("label") * F.col("weight")) + 1) / (F.sum("weight") + 2)).alias("suffix_rate")))
+
+    side = small_side(suffixes)
 
     def featured(df: DataFrame) -> DataFrame:
-        raw = df.join(F.broadcast(suffixes), "suffix", "left").withColumns(
+        raw = df.join(side, "suffix", "left").withColumns(
             lexical_features(F.col("url"), F.col("host"), F.col("path")) | {"f_suffix_rate": F.coalesce("suffix_rate", F.lit(0.5)), "f_suffix_count": F.coalesce(F.col("suffix_count").cast("double"), F.lit(0.0))}
         )
         return raw.withColumns({f"b{f[1:]}": _bin(f) for f in BINS}).drop(*BINS, "suffix_rate", "suffix_count")
