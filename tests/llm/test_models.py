@@ -149,6 +149,14 @@ def test_suffix_statistics_cover_all_rows(spark):
     assert len(got) == 800 and all((r["verdict"] == "block") == (r["page_id"] == 1) for r in got)
 
 
+def test_one_common_url_does_not_fill_the_sample(spark):
+    pages, rules = suffix_case(spark)
+    first = pages.where("page_id is null").orderBy(F.xxhash64("url")).first()["url"]
+    pages, rules = suffix_case(spark, [(None, first)] * 100)
+    got = urlfilter.judge_urls(pages, rules=rules, sample=30).where("rule is null").collect()
+    assert len(got) == 800 and all((r["verdict"] == "block") == (r["page_id"] == 1) for r in got)
+
+
 def test_trees_learn(spark):
     rows = [(k % 7, k % 3, int(k % 7 > 3 and k % 3 == 1), 1.0) for k in range(400)]
     df = spark.createDataFrame(rows, "b_x int, b_y int, label int, weight double")

@@ -19,7 +19,7 @@ from weftline.llm.lineage import Shelf, small_side
 #: Fixed rules of the page tables: verdict and rule.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: Labelled URLs that the trees learn from at most, chosen by hash.
+#: Distinct labelled URLs that the trees learn from at most, chosen by hash; each weighs as much as its rows.
 SAMPLE = 20_000
 #: Weight of a background URL (one that no rule labels) as an allowed one; as many are sampled.
 BACKGROUND = 0.5
@@ -198,15 +198,22 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     shelf = Shelf(pages.sparkSession)
     url = F.col("url")
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
-    ruled = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = ruled.withColumn("ruling", verdict_of(F.col("rule"), rules)).withColumn("suffix", suffix_of(F.col("host")))
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+
+    def with_rules(df: DataFrame) -> DataFrame:
+        ruled = df.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+        return ruled.withColumn("ruling", verdict_of(F.col("rule"), rules)).withColumn("suffix", suffix_of(F.col("host")))
+
+    ruled = with_rules(base)
+    # each URL once, weighing as much as its rows
+    distinct = with_rules(shelf.put(base.groupBy("url").agg(F.count("*").alias("times"))))
     # bounded samples by hash of the URL, for growing the trees alone
-    examples = ruled.select("url", "host", "path", "suffix", (F.coalesce("ruling", F.lit("")) == "block").cast("int").alias("label"), F.when(F.col("rule").isNull(), BACKGROUND).otherwise(1.0).alias("weight"))
-    pick = lambda known: examples.where(F.col("weight") == (1.0 if known else BACKGROUND)).orderBy(F.xxhash64("url")).limit(sample)
+    known = F.col("rule").isNotNull()
+    examples = distinct.select("url", "host", "path", "suffix", "times", known.alias("known"), (F.coalesce("ruling", F.lit("")) == "block").cast("int").alias("label"), (F.col("times") * F.when(known, 1.0).otherwise(BACKGROUND)).alias("weight"))
+    pick = lambda ruled_ones: examples.where(F.col("known") == ruled_ones).orderBy(F.xxhash64("url"), "url").limit(sample)
     labelled = shelf.put(pick(True).union(pick(False)))
     # of all rows' suffixes
-    suffixes = shelf.put(examples.groupBy("suffix").agg(F.count("*").alias("suffix_count"), ((F.sum(F.col("label") * F.col("weight")) + 1) / (F.sum("weight") + 2)).alias("suffix_rate")))
+    suffixes = shelf.put(examples.groupBy("suffix").agg(F.sum("times").alias("suffix_count"), ((F.sum(F.col("label") * F.col("weight")) + 1) / (F.sum("weight") + 2)).alias("suffix_rate")))
 
     side = small_side(suffixes)
 
