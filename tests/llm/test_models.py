@@ -157,6 +157,12 @@ def test_one_common_url_does_not_fill_the_sample(spark):
     assert len(got) == 800 and all((r["verdict"] == "block") == (r["page_id"] == 1) for r in got)
 
 
+def test_suffix_is_generic(spark):
+    hosts = ["ads-track.a.net", "free-bets.b.net", "junk-more.c.net", "www.d.net", "net", ""]
+    got = [r["s"] for r in spark.createDataFrame([(k, h) for k, h in enumerate(hosts)], "k int, h string").select("k", urlfilter.suffix_of(F.col("h")).alias("s")).orderBy("k").collect()]
+    assert got == ["net"] * 5 + [""]
+
+
 def test_trees_learn(spark):
     rows = [(k % 7, k % 3, int(k % 7 > 3 and k % 3 == 1), 1.0) for k in range(400)]
     df = spark.createDataFrame(rows, "b_x int, b_y int, label int, weight double")

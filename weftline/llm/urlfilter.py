@@ -79,8 +79,8 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    """The host's last label and whether www., m. or blog. leads: what suffix statistics are kept for."""
-    return F.concat(F.regexp_extract(host, r"^(www|m|blog|ads|free)?[.\-]", 1), F.lit("*."), F.element_at(F.split(host, r"\."), -1))
+    """The host's last label: what suffix statistics are kept for."""
+    return F.element_at(F.split(host, r"\."), -1)
 
 
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
