@@ -132,3 +132,15 @@ def test_components(spark, pairs):
             if want.get(n, n) in old:
                 want[n] = min(old)
     assert got == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 2**32), st.floats(0, 0.3), st.floats(0, 0.3))
+def test_wide_bitmaps_lose_nothing_and_tell_large_sets_apart(n, seed, lose, gain):
+    rng = np.random.default_rng(seed)
+    x, z = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in "xz")
+    y = np.unique(np.concatenate([x[int(len(x) * lose) :], rng.integers(0, 1 << 63, int(len(x) * gain)).astype(np.uint64)]))
+    far = lambda a, b: J.wide_difference(J.wide_parity(a).tobytes(), J.wide_parity(b).tobytes())
+    assert far(x, y) <= len(np.setxor1d(x, y))
+    if n >= 500:
+        assert 180 * far(x, z) > 20 * 2 * n

@@ -175,6 +175,22 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
 
 
+def wide_parity(elements: np.ndarray) -> np.ndarray:
+    """A parity bitmap, packed into bytes, of the next power of two over the size in bits, 512 at least. Of two bitmaps
+    the longer folds onto the shorter."""
+    bits = max(512, 1 << len(elements).bit_length())
+    places = (bytescan.mix(elements ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8))
+
+
+def wide_difference(x: bytes, y: bytes) -> int:
+    """Bits in which two wide bitmaps differ at the shorter one's length: never more than the elements that differ."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    size = min(len(a), len(b))
+    both = np.bitwise_xor.reduce(a.reshape(-1, size), axis=0) ^ np.bitwise_xor.reduce(b.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(both).sum())
+
+
 def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int = PERCENT) -> DataFrame:
     """One pass over (doc_id, text): 'names' (doc_id, node, n), 'signatures' (key, node, sig, center) or 'sets' (node, n, elements)."""
 
@@ -200,7 +216,8 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
                             sizes.append(len(s))
                     if kept:
                         bits = np.stack([parity(k.view(np.uint64)) for k in kept])
-                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(b) for b in bits.T), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(kept)))], ["node", "n", *_BITS, "elements"])
+                        wide = pa.array([wide_parity(k.view(np.uint64)).tobytes() for k in kept], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(b) for b in bits.T), wide, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(kept)))], ["node", "n", *_BITS, "wide", "elements"])
                 else:
                     found, names = [], []
                     for s in document_sets(buf, offsets, n_words):
@@ -216,6 +233,17 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets qualify, by the exact sizes of the sets and their intersection."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = (batch.column(k) for k in range(6))
+            rows = zip(na.to_pylist(), nb.to_pylist(), x.to_pylist(), y.to_pylist(), strict=True)
+            keep = pa.array([(100 + percent) * wide_difference(p, q) <= (100 - percent) * (m + n) for m, n, p, q in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    # bitmaps that grow with the sets, so that the sets themselves travel only for pairs that are likely to qualify
+    left, right = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "ab")
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(close, "a long, b long")
     left, right = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"e{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ea", "eb"))
@@ -236,14 +264,14 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the sets of the nodes in shared buckets, scanned again from one row of each node
     wanted = buckets.select("node").union(buckets.select(F.col("center").alias("node"))).distinct()
     holders = shelf.put(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
-    sets = shelf.put(_scan(texts.join(small_side(holders.select("doc_id").distinct()), "doc_id", "left_semi"), n_words, "sets", "node long, n long, " + "".join(f"{b} long, " for b in _BITS) + "elements array<long>").join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = shelf.put(_scan(texts.join(small_side(holders.select("doc_id").distinct()), "doc_id", "left_semi"), n_words, "sets", "node long, n long, " + "".join(f"{b} long, " for b in _BITS) + "wide binary, elements array<long>").join(holders.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     def fits(a, b):
         bits = sum((F.bit_count(a(p).bitwiseXOR(b(p))) for p in _BITS[1:]), F.bit_count(a(_BITS[0]).bitwiseXOR(b(_BITS[0]))))
         small, large = F.least(a("n"), b("n")), F.greatest(a("n"), b("n"))
         return (100 * small >= percent * large) & (bits * (100 + percent) <= (100 - percent) * (small + large))
 
-    classes = bucket_classes(buckets, sets.drop("elements"), fits, lambda pairs: _verified(pairs, sets, percent), shelf)
+    classes = bucket_classes(buckets, sets.drop("wide", "elements"), fits, lambda pairs: _verified(pairs, sets, percent), shelf)
     return rows, classes.withColumnRenamed("component", "class")
 
 
