@@ -16,6 +16,11 @@ def test_query_equals_sql(spark, con, name):
     assert_same(con, catalog.queries()[name](spark, SF), catalog.oracle_sql()[name])
 
 
+def test_queries_have_rows(spark):
+    empty = [name for name in ("lq2_workspace_symbols", "set3_difference", "lq3_definitions", "st3_fresh_or_waiting") if catalog.queries()[name](spark, SF).isEmpty()]
+    assert not empty
+
+
 def test_queries_without_sql_give_rows(spark):
     for name in sorted(catalog.queries().keys() - catalog.oracle_sql().keys()):
         assert catalog.queries()[name](spark, SF).count() > 0

@@ -48,8 +48,10 @@ SEVERITY_ERROR = 1
 
 @dataclass(frozen=True, slots=True)
 class WatchConfig:
-    """How changes are gathered and filtered."""
+    """How changes are gathered and filtered. ignore_dirs, ignore_globs and ignore_names (regular expressions) go by the names
+    of folders and the base names below every root; force_polling changes nothing, as sources are always polled."""
 
+    # The defaults
     recursive: bool = True
     debounce_ms: int = 1600
     step_ms: int = 50
@@ -59,6 +61,9 @@ class WatchConfig:
     defaults_filter: bool = True
     gitignore_filter: bool = True
     repo_custom_ignores: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    ignore_dirs: tuple[str, ...] = ()
+    ignore_globs: tuple[str, ...] = ()
+    ignore_names: tuple[str, ...] = ()
     git_timeout_s: float = 10.0
     git_chunk_size: int = 4000
     coalesce_events: bool = True

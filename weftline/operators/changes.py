@@ -80,9 +80,32 @@ def with_existence(events: DataFrame, snapshot: DataFrame, path: str = "abs_path
     return events.join(there, events[path] == there["p_"], "left").withColumn("exists_now", F.coalesce("there_", F.lit(False))).drop("p_", "there_")
 
 
+def raw_counts(events: DataFrame, batch: Sequence[str]) -> DataFrame:
+    return events.groupBy(*batch).agg(F.count("*").alias("raw"))
+
+
+def paths_without(events: DataFrame, change: str, batch: Sequence[str] = ()) -> DataFrame:
+    """(batch.., abs_path) of what had other changes but not this one."""
+    seen = events.groupBy(*batch, "abs_path").agg(F.bool_or(F.col("change") == change).alias("hit_"))
+    return seen.where("not hit_").select(*batch, "abs_path")
+
+
+def paths_by_root(events: DataFrame) -> DataFrame:
+    """(repo_root, rel_paths): each root's distinct paths in order."""
+    return events.groupBy("repo_root").agg(F.array_sort(F.collect_set("rel_path")).alias("rel_paths"))
+
+
+def merged(streams: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all streams of changes, by column names."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out
+
+
 def headers(raw: DataFrame, final: DataFrame, batch: Sequence[str]) -> DataFrame:
-    """(batch.., raw, filtered): changes before any filter and events after coalescing; batches that lost all events stay with 0."""
-    n = raw.groupBy(*batch).agg(F.count("*").alias("raw"))
+    """(batch.., raw, filtered): the changes given as raw (those that the ignore rules leave) and events after coalescing; batches that lost all events stay with 0."""
+    n = raw_counts(raw, batch)
     kept = final.groupBy(*batch).agg(F.count("*").alias("filtered"))
     return n.join(kept, list(batch), "left").withColumn("filtered", F.coalesce("filtered", F.lit(0).cast("long")))
 

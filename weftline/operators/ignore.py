@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
+from weftline.model import WatchConfig
 
 #: What file watchers ignore by default, as names of directories and patterns of base names.
 DEFAULT_DIRS = ("__pycache__", ".git", ".hg", ".svn", ".tox", ".venv", ".idea", "node_modules", ".mypy_cache", ".pytest_cache", ".hypothesis")
@@ -33,17 +34,19 @@ def unique(values: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(values))
 
 
-def build_rules(use_defaults: bool, custom: Mapping[str, Sequence[str]]) -> list[tuple[str | None, int, str, str]] | None:
-    """Rule rows for the defaults and each root's own ignores; None if nothing is to be filtered.
+def build_rules(use_defaults: bool, custom: Mapping[str, Sequence[str]], dirs: Sequence[str] = (), globs: Sequence[str] = (), names: Sequence[str] = ()) -> list[tuple[str | None, int, str, str]] | None:
+    """Rule rows for the defaults and each root's own ignores, and for every root directory names, globs and regular
+    expressions of base names; None if nothing is to be filtered.
 
     Globs are bound to their root and match the whole path below it; other values are paths, below the root unless
     absolute. Equal rules of a kind stand once.
     """
-    if not use_defaults and not custom:
+    if not (use_defaults or custom or dirs or globs or names):
         return None
     found: list[tuple[str | None, str, str]] = []
     if use_defaults:
         found += [(None, "dir", d) for d in DEFAULT_DIRS] + [(None, "name", n) for n in DEFAULT_NAMES]
+    found += [(None, "dir", d) for d in dirs] + [(None, "name", "^" + paths.glob_to_regex(g) + r"\z") for g in globs] + [(None, "name", n) for n in names]
     for root, ignores in custom.items():
         for raw in ignores:
             if is_glob(raw):
@@ -58,6 +61,10 @@ def build_rules(use_defaults: bool, custom: Mapping[str, Sequence[str]]) -> list
     return out
 
 
+def rules_of(cfg: WatchConfig) -> list[tuple] | None:
+    return build_rules(cfg.defaults_filter, cfg.repo_custom_ignores, cfg.ignore_dirs, cfg.ignore_globs, cfg.ignore_names)
+
+
 def rules_table(spark: SparkSession, rules: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rules), RULE)
 
@@ -127,6 +134,7 @@ def git_check_ignore(root: str, rel_paths: Sequence[str], timeout_s: float = 10.
 
 def requests(events: DataFrame, root_ok: DataFrame, chunk: int) -> DataFrame:
     """(repo_root, rel_key, asked, chunk): what is asked for each root, deleted paths and directories also with a slash at the end.
+    A root and chunk have at most ``chunk`` rows; its number tells chunks apart and means no more.
 
     root_ok: (repo_root, root_ok). Events without a root or below one that is no worktree are not asked for.
     """
@@ -135,8 +143,8 @@ def requests(events: DataFrame, root_ok: DataFrame, chunk: int) -> DataFrame:
     twice = (F.col("change") == "deleted") | F.col("is_dir")
     forms = F.when(twice & ~plain.endswith("/"), F.array(plain, F.concat(plain, F.lit("/")))).otherwise(F.array(plain))
     rows = asked.select("repo_root", paths.compare_key(F.col("rel_path")).alias("rel_key"), F.explode(forms).alias("asked"), "seq")
-    w = Window.partitionBy("repo_root").orderBy("seq", "asked")
-    return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / chunk).cast("int")).drop("seq")
+    # consecutive rows of a partition, so at most ``chunk`` of a root: no root is sorted or gathered to be numbered
+    return rows.withColumn("chunk", F.floor(F.monotonically_increasing_id() / chunk)).drop("seq")
 
 
 def ignored_by_patterns(asked: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ char_end, role), calls(caller_id, callee_id), diagnostics(uri, push_seq, severit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.model import SEVERITY_ERROR
@@ -18,18 +21,45 @@ def document_symbols(symbols: DataFrame, uri: str) -> DataFrame:
     return symbols.where(F.col("uri") == uri)
 
 
-def walk(symbols: DataFrame, levels: int) -> DataFrame:
-    """symbols with level (from 0) and path of names from the root, for trees of at most so many levels.
+def walk(symbols: DataFrame, levels: int | None = None) -> DataFrame:
+    """symbols with level (from 0) and path of names from the root: one join by parent for each level.
 
-    One join by parent for each level: bounded, so that a cycle ends too.
+    levels: how deep the trees are known to be, so that no job runs here; deeper symbols are an error of the caller's. None
+    goes on until a level is empty; a symbol that is its own ancestor (an id that stands twice) is a ValueError.
     """
-    now = symbols.where("parent_id is null").withColumns({"level": F.lit(0), "path": F.col("name")})
-    out = now
-    for k in range(1, levels):
-        up = now.select(F.col("symbol_id").alias("up_"), F.col("path").alias("path_"))
-        now = symbols.join(up, symbols["parent_id"] == up["up_"]).withColumns({"level": F.lit(k), "path": F.concat_ws("/", "path_", "name")}).drop("up_", "path_")
+    now = symbols.where("parent_id is null").withColumns({"level": F.lit(0), "path": F.col("name"), "above_": F.array("symbol_id")})
+    out, k = now, 0
+    while levels is None or k < levels - 1:
+        k += 1
+        up = now.select(F.col("symbol_id").alias("up_"), F.col("path").alias("path_"), F.col("above_").alias("over_"))
+        now = symbols.join(up, symbols["parent_id"] == up["up_"]).withColumns({"level": F.lit(k), "path": F.concat_ws("/", "path_", "name"), "above_": F.concat("over_", F.array("symbol_id"))})
+        if levels is None:
+            now = now.persist(StorageLevel.DISK_ONLY)  # the next level joins it again
+            state = now.agg(F.count("*").alias("n"), F.bool_or(F.array_contains("over_", F.col("symbol_id"))).alias("loop")).first()
+            if state["loop"]:
+                raise ValueError("a symbol is its own ancestor")
+            if not state["n"]:
+                now.unpersist()
+                break
+        now = now.drop("up_", "path_", "over_")
         out = out.unionByName(now)
-    return out
+    return out.drop("above_")
+
+
+def without_child(parents: DataFrame, expected: DataFrame) -> DataFrame:
+    """Those of the parents (symbol_id) that have none of the expected children (parent_id)."""
+    return parents.join(expected.select(F.col("parent_id").alias("symbol_id")), "symbol_id", "left_anti")
+
+
+def first_where(rows: DataFrame, usable: Column, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of each key's rows the first, in the given order, that can be used; keys without such a row have none."""
+    rest = [c for c in rows.columns if c not in key]
+    first = rows.where(usable).groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_"))
+    return first.select(*key, "first_.*")
+
+
+def distinct_names(symbols: DataFrame) -> DataFrame:
+    return symbols.select("name").distinct()
 
 
 def outline(walked: DataFrame) -> DataFrame:

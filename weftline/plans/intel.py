@@ -15,6 +15,9 @@ T, S, P = views.TREE_SQL, views.FACTS_SQL, views.PUSH_SQL
 KINDS_SQL = "kinds AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(SYMBOL_KINDS, 1)) + ") t(kind, kind_name))"
 WALK_SQL = f"""WITH RECURSIVE {T}, walk AS (SELECT *, 0 AS level, name AS path FROM tree WHERE parent_id IS NULL
 UNION ALL SELECT tree.*, level + 1, path || '/' || tree.name FROM walk JOIN tree ON tree.parent_id = walk.symbol_id)"""
+#: Where each part is used: requests stand at the definitions of parts.
+USES_SQL = """SELECT p_partkey AS request_id, 'file:///o' || l_orderkey AS uri, l_linenumber AS line, (l_suppkey % 20)::INT AS char_start,
+  (l_suppkey % 20 + 5 + l_partkey % 5)::INT AS char_end FROM part JOIN lineitem ON l_partkey = p_partkey"""
 QUERIES: dict[str, tuple] = {}
 
 
@@ -89,12 +92,11 @@ def jn7_diagnostics_by_uri(spark, sf):
     return intel.get_diagnostics(views.pushes(spark, sf), files).select("uri", "push_seq")
 
 
-@query(f"WITH {T} SELECT n.name, n.symbol_id FROM tree n WHERE kind = 5 AND NOT EXISTS (SELECT 1 FROM tree c WHERE c.parent_id = n.symbol_id AND c.ord % 2 = 0)")
+@query("SELECT n_name AS name, 'n' || n_nationkey AS symbol_id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 30 = 0)")
 def jn8_missing_children(spark, sf):
     """Classes without any child of those expected: an anti join."""
     tree = views.symbol_tree(spark, sf)
-    have = tree.where("kind = 6 and ord % 2 = 0").select(F.col("parent_id").alias("symbol_id"))
-    return tree.where("kind = 5").join(have, "symbol_id", "left_anti").select("name", "symbol_id")
+    return intel.without_child(tree.where("kind = 5"), tree.where("kind = 6 and ord % 30 = 0")).select("name", "symbol_id")
 
 
 def _refs(spark, sf, declared=True):
@@ -114,7 +116,7 @@ def agg8_least_counts(spark, sf):
 
 @query(f"WITH {T} SELECT DISTINCT name FROM tree")
 def agg9_distinct_names(spark, sf):
-    return views.symbol_tree(spark, sf).select("name").distinct()
+    return intel.distinct_names(views.symbol_tree(spark, sf))
 
 
 @query(f"WITH {P} SELECT uri, max(push_seq) AS push_seq, arg_max(message, push_seq) AS message FROM push GROUP BY 1")
@@ -128,28 +130,31 @@ def lq1_document_symbols(spark, sf):
     return intel.walk(views.symbol_tree(spark, sf), 3).select("uri", "symbol_id", "level", "path")
 
 
-@query(f"WITH {T} SELECT symbol_id, name, kind, uri FROM tree WHERE contains(lower(name), 'an')")
+@query(f"WITH {T} SELECT symbol_id, name, kind, uri FROM tree WHERE contains(lower(name), 'on_1') OR contains(lower(name), 'er#0000001')")
 def lq2_workspace_symbols(spark, sf):
-    return intel.workspace_symbols(views.symbol_tree(spark, sf), "AN()").select("symbol_id", "name", "kind", "uri")
+    return intel.workspace_symbols(views.symbol_tree(spark, sf), "AN").select("symbol_id", "name", "kind", "uri")
 
 
-@query(f"WITH {S} SELECT request_id, occ.uri, occ.line, char_start FROM lspot JOIN occ USING (symbol_id) WHERE role = 'definition'")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, min(l_suppkey % 20) + 1 AS c FROM lineitem GROUP BY ALL),
+hit AS (SELECT l_orderkey, l_linenumber, arg_min(l_partkey, {'w': l_partkey % 5, 's': l_suppkey % 20, 'n': 'p' || l_partkey}) AS partkey
+  FROM lineitem JOIN r USING (l_orderkey, l_linenumber) WHERE l_suppkey % 20 <= c AND c < l_suppkey % 20 + 5 + l_partkey % 5 GROUP BY ALL)
+SELECT l_orderkey * 100 + l_linenumber AS request_id, 'file:///part/' || p_brand AS uri, p_partkey::INT AS line, 0 AS char_start FROM hit JOIN part ON p_partkey = partkey""")
 def lq3_definitions(spark, sf):
     """The definition of what stands in each line of each order."""
     return intel.definitions(views.occurrences(spark, sf), views.line_requests(spark, sf))
 
 
-@query(f"WITH {S} SELECT request_id, occ.uri, occ.line, char_start FROM spot JOIN sym USING (symbol_id) JOIN occ ON occ.symbol_id = sym.type_id WHERE role = 'definition'")
+@query("SELECT p_partkey AS request_id, 'file:///type/' || p_type AS uri, 0 AS line, 0 AS char_start FROM part")
 def lq4_type_definitions(spark, sf):
     return intel.type_definitions(views.occurrences(spark, sf), views.part_symbols(spark, sf), views.part_requests(spark, sf))
 
 
-@query(f"WITH {S} SELECT request_id, occ.uri, occ.line, char_start, char_end FROM spot JOIN occ USING (symbol_id)")
+@query(f"{USES_SQL} UNION ALL SELECT p_partkey, 'file:///part/' || p_brand, p_partkey::INT, 0, length(p_name)::INT FROM part")
 def lq5_references(spark, sf):
     return _refs(spark, sf)
 
 
-@query(f"WITH {S} SELECT request_id, occ.uri, occ.line, char_start, char_end FROM spot JOIN occ USING (symbol_id) WHERE role <> 'definition'")
+@query(USES_SQL)
 def lq5_references_without_declaration(spark, sf):
     return _refs(spark, sf, False)
 
@@ -171,7 +176,7 @@ def lq8_outgoing_calls(spark, sf):
     return intel.outgoing_calls(views.calls(spark, sf), views.part_symbols(spark, sf), of)
 
 
-@query(f"WITH {S} SELECT request_id, occ.uri, occ.line, char_start, char_end, new_name AS new_text FROM spot JOIN preq USING (request_id) JOIN occ USING (symbol_id)")
+@query(f"SELECT *, 'renamed_' || request_id AS new_text FROM ({USES_SQL} UNION ALL SELECT p_partkey, 'file:///part/' || p_brand, p_partkey::INT, 0, length(p_name)::INT FROM part)")
 def lq9_rename(spark, sf):
     return intel.rename_edits(views.occurrences(spark, sf), views.part_requests(spark, sf))
 
@@ -250,7 +255,8 @@ def st2_latest_state(spark, sf):
     return spark.read.schema("uri string, push_seq long, diagnostics string").parquet(f"{folder}/out").groupBy("uri").agg(F.max("push_seq").alias("push_seq"))
 
 
-@query(None)
+@query("""SELECT 0 AS level, r_name AS path, r_name AS name, 'Namespace' AS kind_category FROM region
+UNION ALL SELECT 1, r_name || '/' || n_name, n_name, 'Class' FROM region JOIN nation ON n_regionkey = r_regionkey""")
 def src6_ground_truth(spark, sf):
     """Symbols of ground-truth files written from the symbol tree and read back as VARIANT."""
     from weftline.plans.watching import _folder

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from weftline.operators import attribution, changes, ignore, intel
+from weftline.operators import attribution, changes, ignore
 from weftline.plans import views
 from weftline.plans.watching import _SESSIONS, _folder, _stream_path, st1_capped_batches, st1_capped_batches_stream
 from weftline.streaming import watch
@@ -87,16 +89,27 @@ def snk1_notifications(spark, sf):
     return changes.translate(ev, [".ts"]).join(ev.select("seq", "day"), "seq").select("day", "seq", "uri", "type")
 
 
-@query("SELECT TRUE AS there")
+@query("SELECT * FROM (VALUES (1, FALSE), (2, FALSE)) t(probe, worktree)")
 def flt3b_git_probe(spark, sf):
-    return spark.createDataFrame([(ignore.git_available() in (True, False),)], "there boolean")
+    """A file system's root and a folder that is not there are no work trees, whether git is installed or not."""
+    return spark.createDataFrame([(1, ignore.git_is_worktree("/")), (2, ignore.git_is_worktree("/no/such/folder"))], "probe int, worktree boolean")
 
 
-@query(f"WITH {P}, l AS (SELECT uri, max(push_seq) AS push_seq FROM push GROUP BY 1) SELECT uri, push_seq, push_seq >= 500 AS fresh FROM l")
+@query(f"""WITH {P}, l AS (SELECT uri, max(push_seq) AS push_seq, arg_max(message, push_seq) AS message FROM push GROUP BY 1), t AS (SELECT max(push_seq) AS top FROM l)
+SELECT uri, message, waited FROM l, t, (VALUES (FALSE), (TRUE)) w(waited) WHERE push_seq = top""")
 def st3_fresh_or_waiting(spark, sf):
-    """Which files' latest push is at least as new as what a caller waits for."""
-    latest = intel.latest_diagnostics(views.pushes(spark, sf).select("uri", "push_seq"))
-    return latest.select("uri", "push_seq", (F.col("push_seq") >= 500).alias("fresh"))
+    """The newest push of the table, asked for by its file: at once where any is fresh, and after a vain wait for a newer one."""
+    from weftline.streaming.diagnostics import wait_for
+
+    pushes = views.pushes(spark, sf).select("uri", "push_seq", F.col("message").alias("diagnostics"))
+    newest = pushes.orderBy(F.desc("push_seq")).first()
+    table = f"pushes_{uuid.uuid4().hex}"
+    pushes.createOrReplaceTempView(table)
+    try:
+        rows = [(newest["uri"], *wait_for(spark, table, newest["uri"]), False), (newest["uri"], *wait_for(spark, table, newest["uri"], 0.2, newest["push_seq"]), True)]
+    finally:
+        spark.catalog.dropTempView(table)
+    return spark.createDataFrame(rows, "uri string, message string, waited boolean")
 
 
 @query(f"WITH {E} SELECT day, max(us) AS last_us, count(*) AS raw FROM ev GROUP BY 1")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
-from weftline.operators import attribution, changes, ignore
+from weftline.operators import attribution, changes, ignore, intel
 from weftline.plans import views
+from weftline.session import shared_folder
 from weftline.streaming import watch
 
 E, R, L = views.EVENTS_SQL, views.ROOTS_SQL, views.LOG_SQL
@@ -26,10 +27,7 @@ def query(sql: str | None):
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 # Sources and detection
@@ -47,9 +45,6 @@ def src3_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return diff(listing(log.where("day < '2024-01-08'")), listing(log).where("e"))
 
 
-_STREAM_LOG = """SELECT e.event_id, repo_root, repo_label, rel_path, change FROM ev AS e"""
-
-
 @query(f"WITH {E} SELECT seq, repo_root, repo_label, rel_path, change FROM ev")
 def src1_watch_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming source path: events as a stream, attributed by the same projection, into a Parquet sink."""
@@ -58,12 +53,12 @@ def src1_watch_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {E} SELECT seq, repo_root, repo_label, rel_path, change FROM ev")
 def src2_watch_async(spark: SparkSession, sf: str) -> DataFrame:
-    """The asynchronous twin: a query runs beside its caller anyway, so it is the same one."""
-    return _streamed(spark, sf)
+    """The asynchronous twin: the caller goes on while the query runs, and reads the batches that the watch has handed to its sink."""
+    return _streamed(spark, sf, beside=True)
 
 
-def _streamed(spark: SparkSession, sf: str) -> DataFrame:
-    log, folder = views.change_log(spark, sf, exists=False), _folder(spark)
+def _streamed(spark: SparkSession, sf: str, beside: bool = False) -> DataFrame:
+    folder = _folder(spark)
     schema = views.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(sf))
     known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
@@ -71,9 +66,16 @@ def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat(views.pick(user % 5, views.BASES), F.lit("/d"), user % 7, F.lit("/f"), user, views.pick(user % 3, views.SUFFIXES))
     raw = stream.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("change"), path.alias("abs_path"))
     out = attribution.attribute_few(raw, known).select("seq", "repo_root", "repo_label", "rel_path", "change")
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    del log
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    writer = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if beside:
+        running = writer.foreachBatch(lambda frame, number: frame.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).start()
+        while running.isActive:
+            running.awaitTermination(1)
+        if running.exception():
+            raise running.exception()
+    else:
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select(*out.columns)
 
 
 def _stream_path(sf: str) -> tuple[str]:
@@ -214,16 +216,20 @@ def flt3f_fail_open_warning(spark, sf):
     return _ignored(spark, views.events(spark, sf, False))[1]
 
 
-@query(f"WITH {E}, a AS (SELECT repo_root, seq, rel_path AS asked FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') UNION ALL SELECT repo_root, seq, rel_path || '/' FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') AND change = 'deleted') SELECT repo_root, asked, count(*) AS n FROM a GROUP BY ALL")
+@query(f"WITH {E}, a AS (SELECT repo_root, seq, rel_path AS asked FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') UNION ALL SELECT repo_root, seq, rel_path || '/' FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') AND change = 'deleted') SELECT repo_root, asked, count(*) AS n, TRUE AS small_chunks FROM a GROUP BY ALL")
 def flt3a_git_requests(spark, sf):
     root_ok = spark.createDataFrame([("/ws/app", True), ("/srv/app", True), ("/data/ml", False)], "repo_root string, root_ok boolean")
-    return ignore.requests(views.events(spark, sf, False), root_ok, 500).groupBy("repo_root", "asked").agg(F.count("*").alias("n"))
+    asked = ignore.requests(views.events(spark, sf, False), root_ok, 500)
+    chunks = asked.groupBy("repo_root", "chunk").count().groupBy("repo_root").agg((F.max("count") <= 500).alias("small_chunks"))
+    return asked.groupBy("repo_root", "asked").agg(F.count("*").alias("n")).join(chunks, "repo_root")
 
 
-@query(f"WITH {R} SELECT root, FALSE AS root_ok FROM roots")
+@query(f"WITH {R} SELECT mode, root, FALSE AS root_ok FROM roots, (VALUES ('on'), ('off')) t(mode)")
 def flt3c_gitignore_status(spark, sf):
+    """With the filter on and off: none of the log's roots is a work tree here, so each is told so by git (or by its absence)."""
     every = [r["root"] for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
-    return spark.createDataFrame(list(ignore.gitignore_status(every, False)[2].items()), "root string, root_ok boolean")
+    rows = [("on" if on else "off", root, ok) for on in (True, False) for root, ok in ignore.gitignore_status(every, on)[2].items()]
+    return spark.createDataFrame(rows, "mode string, root string, root_ok boolean")
 
 
 @query("SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS supported, FALSE AS other FROM events GROUP BY 1")
@@ -334,18 +340,20 @@ def agg1_flag_sets(spark, sf):
 
 
 _HEAD = f"""WITH {E}, kept AS (SELECT * FROM ev WHERE {_RULES_SQL}), c AS ({_COALESCE.format(b='day, ').replace('FROM ev', 'FROM kept')}),
-raw AS (SELECT day, count(*) AS raw FROM ev GROUP BY 1), n AS (SELECT day, count(*) AS filtered FROM c GROUP BY 1)"""
+raw AS (SELECT day, count(*) AS raw FROM kept GROUP BY 1), n AS (SELECT day, count(*) AS filtered FROM c GROUP BY 1)"""
 
 
 def _final(spark, sf):
-    ev = views.events(spark, sf)
+    """What the rules leave, and the final events; only the latter need to know what exists."""
     rules = ignore.build_rules(True, views.CUSTOM_IGNORES)
-    return ev, changes.coalesce(ignore.apply_rules(ev, rules), BATCH)
+    return ignore.apply_rules(views.change_log(spark, sf, False), rules), changes.coalesce(ignore.apply_rules(views.events(spark, sf), rules), BATCH)
 
 
-@query(f"WITH {L} SELECT day, count(*) AS raw FROM log GROUP BY 1")
+@query(f"WITH {L} SELECT day, count(*) AS raw FROM log WHERE {_RULES_SQL} GROUP BY 1")
 def agg2_raw_count(spark, sf):
-    return views.change_log(spark, sf, False).groupBy("day").agg(F.count("*").alias("raw"))
+    """Changes of each day that the ignore rules leave."""
+    kept = ignore.apply_rules(views.change_log(spark, sf, False), ignore.build_rules(True, views.CUSTOM_IGNORES))
+    return changes.raw_counts(kept, BATCH)
 
 
 @query(f"{_HEAD} SELECT day, raw, coalesce(filtered, 0) AS filtered FROM raw LEFT JOIN n USING (day)")
@@ -361,7 +369,7 @@ def agg4_base_names(spark, sf):
 @query(f"WITH {E} SELECT repo_root, list(DISTINCT rel_path ORDER BY rel_path) AS rel_paths FROM ev WHERE change = 'added' GROUP BY 1")
 def agg5_paths_by_root(spark, sf):
     ev = views.events(spark, sf, False).where("change = 'added'")
-    return ev.groupBy("repo_root").agg(F.array_sort(F.collect_set("rel_path")).alias("rel_paths"))
+    return changes.paths_by_root(ev)
 
 
 @query(f"""{_HEAD}, l AS (SELECT day, list(change || ' ' || abs_path ORDER BY seq) AS events FROM c GROUP BY 1)
@@ -408,15 +416,18 @@ def top1_deepest(spark, sf):
     return ev.groupBy("repo_root").agg(F.max_by("abs_path", F.struct(paths.depth(F.col("abs_path")), F.col("abs_path"))).alias("deepest"))
 
 
-@query("SELECT p_name AS name, min(p_partkey) AS first FROM part GROUP BY 1")
+@query("SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part WHERE p_size > 25 GROUP BY 1")
 def top2_first_match(spark, sf):
-    return views.table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_partkey", "p_partkey").alias("first"))
+    """Of each brand the first part, by key, that matches."""
+    p = views.table(spark, sf, "part").select("p_brand", "p_partkey", "p_name", "p_size")
+    return intel.first_where(p, F.col("p_size") > 25, ["p_brand"], ["p_partkey"]).select("p_brand", "p_partkey", "p_name")
 
 
-@query("SELECT s_nationkey, arg_min(s_suppkey, s_suppkey) AS candidate FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+@query("SELECT s_nationkey, arg_min(s_name, {'b': -s_acctbal, 'k': s_suppkey}) AS s_name FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
 def top3_first_usable(spark, sf):
-    """The first candidate that can be used, in order."""
-    return views.table(spark, sf, "supplier").where("s_acctbal > 0").groupBy("s_nationkey").agg(F.min_by("s_suppkey", "s_suppkey").alias("candidate"))
+    """The first candidate that can be used, in order of preference."""
+    s = views.table(spark, sf, "supplier").withColumn("less", -F.col("s_acctbal"))
+    return intel.first_where(s, F.col("s_acctbal") > 0, ["s_nationkey"], ["less", "s_suppkey"]).select("s_nationkey", "s_name")
 
 
 @query("SELECT page_id, list_last(regexp_extract_all(url, '[a-z]+')) AS word FROM pages")
@@ -441,10 +452,11 @@ def set2_union_of_chunks(spark, sf):
     return part("deleted").union(part("added")).distinct()
 
 
-@query(f"WITH {L} SELECT abs_path FROM log EXCEPT SELECT abs_path FROM log WHERE change = 'deleted'")
+@query(f"WITH {L} SELECT DISTINCT day, abs_path FROM log l WHERE change <> 'deleted' AND NOT EXISTS (SELECT 1 FROM log d WHERE d.day = l.day AND d.abs_path = l.abs_path AND d.change = 'deleted')")
 def set3_difference(spark, sf):
+    """Paths that a day has touched without deleting them."""
     log = views.change_log(spark, sf, False)
-    return log.select("abs_path").subtract(log.where("change = 'deleted'").select("abs_path"))
+    return changes.paths_without(log, "deleted", BATCH)
 
 
 @query("WITH a AS (SELECT p_type, list(DISTINCT p_brand) AS own FROM part GROUP BY 1), b AS (SELECT list(DISTINCT p_brand) AS every FROM part WHERE p_size < 10) SELECT p_type, list_sort(list_filter(own, lambda x: NOT list_contains(every, x))) AS missing FROM a, b")
@@ -457,10 +469,10 @@ def set4_missing_names(spark, sf):
 
 @query(f"WITH {L} SELECT event_id, abs_path FROM log")
 def set5_merged_roots(spark, sf):
-    """One stream of several roots' changes: the union of those under each base and of the rest."""
-    log = views.change_log(spark, sf, False).select("event_id", "abs_path")
-    under = paths.is_under(F.col("abs_path"), F.lit("/ws/app"))
-    return log.where(under).union(log.where(~under))
+    """One stream of several roots' changes: the union of each root's own, every change once, and of those outside all roots."""
+    log = views.events(spark, sf, False).select("event_id", "abs_path", "repo_root")
+    known = [r["root"] for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    return changes.merged([log.where(F.col("repo_root") == r) for r in known] + [log.where("repo_root is null")]).select("event_id", "abs_path")
 
 
 # Batches in time

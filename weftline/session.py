@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that driver and executors share; only a local session may do without, in a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 #: UTC, so that timestamps without a zone mean what they say; adaptive plans; a state store that spills.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",

@@ -18,17 +18,22 @@ def of_source(truth: DataFrame, stem: str, server: str) -> DataFrame:
     return truth.where(F.col("file") == f"{stem}_tests_gt_{server}.json")
 
 
-def symbol_tree(truth: DataFrame, levels: int = 8) -> DataFrame:
-    """(file, level, path, name, kind_category) of the symbols section: children are unnested level by level."""
+def symbol_tree(truth: DataFrame, levels: int | None = None) -> DataFrame:
+    """(file, level, path, name, kind_category) of the symbols section: children are unnested level by level.
+
+    levels: how deep the trees are known to be, so that no job runs here; None goes on until a level is empty.
+    """
     top = truth.select("file", F.lit("").alias("above"), F.try_variant_get("doc", "$.symbols", "variant").alias("items"))
-    out = None
-    for level in range(levels):
+    out, level = None, 0
+    while True:
         rows = top.where("items is not null").select("file", "above", F.explode(F.try_variant_get("items", "$", "array<variant>")).alias("s"))
         named = rows.select("file", "above", "s", F.try_variant_get("s", "$.name", "string").alias("name"))
         here = named.select("file", F.lit(level).alias("level"), F.concat("above", "name").alias("path"), "name", F.try_variant_get("s", "$.kind_category", "string").alias("kind_category"))
         out = here if out is None else out.unionByName(here)
         top = named.select("file", F.concat("above", "name", F.lit("/")).alias("above"), F.try_variant_get("s", "$.children", "variant").alias("items"))
-    return out
+        level += 1
+        if level == levels or levels is None and top.where(F.size(F.try_variant_get("items", "$", "array<variant>")) > 0).isEmpty():
+            return out
 
 
 def whole_texts(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:

@@ -42,22 +42,44 @@ def prepare(raw: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig,
 
     Returns the final events and warnings (repo_root, warning). The same plan serves tables and micro-batches.
     """
-    rules = ignore.build_rules(cfg.defaults_filter, cfg.repo_custom_ignores)
+    rules = ignore.rules_of(cfg)
     events = ignore.apply_rules(raw.withColumnRenamed("path", "abs_path"), rules)
     events = attribution.attribute_few(events, list(roots))
     events, warnings = ignore.git_filter(events, [r for r, _ in roots], cfg.gitignore_filter, cfg.git_chunk_size, cfg.git_timeout_s)
     return (changes.coalesce(events, batch) if cfg.coalesce_events else events), warnings
 
 
+def change_rows(frame: DataFrame) -> DataFrame:
+    """A micro-batch's changes (change, path and, where the source tells them, exists_now and is_dir) in the order they came.
+
+    Where the source does not tell, a path exists if its last change is not a deletion, and nothing is a folder.
+    """
+    rows = frame.withColumn("seq", F.monotonically_increasing_id())
+    if "is_dir" not in frame.columns:
+        rows = rows.withColumn("is_dir", F.lit(False))
+    if "exists_now" not in frame.columns:
+        last = rows.groupBy("path").agg((F.max_by("change", "seq") != "deleted").alias("exists_now"))
+        rows = rows.join(last, "path")
+    return rows.select("seq", "change", "path", "exists_now", "is_dir")
+
+
 def watch(stream: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Runs (change, path) rows through prepare, one envelope row for each micro-batch, empty ones included, into the sink.
+    """Runs change rows (see change_rows) through prepare, one envelope row for each micro-batch in which the ignore rules
+    leave a change, into the sink. raw counts what they leave; git's rules and coalescing come after.
 
-    The trigger interval takes the place of the debounce; the query runs beside the caller, so there is no async twin.
+    The source gathers a batch (WorkspaceSource by quiet period and longest time) and the trigger interval is how often it is
+    asked. The query runs beside the caller, so there is no async twin.
     """
+    rules = ignore.rules_of(cfg)
 
     def one(frame: DataFrame, number: int) -> None:
         spark = frame.sparkSession
-        raw = frame.select(F.monotonically_increasing_id().alias("seq"), "change", "path", (F.col("change") != "deleted").alias("exists_now"), F.lit(False).alias("is_dir")).withColumn("batch", F.lit(number)).persist()  # a source may tell a batch only once
+        frame = frame.persist()  # a source may tell a batch only once
+        raw = ignore.apply_rules(change_rows(frame), rules, "path").withColumn("batch", F.lit(number)).persist()
+        if raw.isEmpty():
+            raw.unpersist()
+            frame.unpersist()
+            return
         final, warnings = prepare(raw, roots, cfg, ["batch"])
         final = final.withColumn("batch", F.lit(number))
         head = spark.range(1).select(F.lit(number).alias("batch")).join(raw.groupBy("batch").agg(F.count("*").alias("raw")), "batch", "left").withColumn("raw", F.coalesce("raw", F.lit(0).cast("long")))
@@ -67,6 +89,7 @@ def watch(stream: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig,
             sink(changes.envelopes(head, final, ["batch"], warnings.withColumn("batch", F.lit(number))).select("ts", "raw", "filtered", "events", "warnings"), number)
         finally:
             raw.unpersist()
+            frame.unpersist()
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer).start()
@@ -94,11 +117,9 @@ def console(envelope: DataFrame, _: int) -> None:
     """A sink that prints batches, events sorted."""
     for b in envelope.select("ts", "raw", "filtered", "warnings").toLocalIterator():
         ts = b["ts"].strftime("%Y-%m-%d %H:%M:%S.%f")[:-3]
-        print(f"{ts}  --- batch: raw={b['raw']} filtered={b['filtered']} ---", flush=True)
-        for w in b["warnings"]:
-            print(f"{ts}  warning: {w}", flush=True)
         events = envelope.select(F.explode("events").alias("e")).select("e.*")
-        for r in changes.printed(events).toLocalIterator():
-            print(f"{ts}  {r['line']}", flush=True)
+        lines = [r["line"] for r in changes.printed(events).toLocalIterator()]
+        notes = [f"note: {w}" for w in b["warnings"]]
+        print("\n".join([*lines, *notes, f"= {b['filtered']} of {b['raw']} changes at {ts}", ""]), flush=True)
 
 

@@ -88,9 +88,10 @@ class Workspace:
         if not self.supports(capability):
             raise RuntimeError(f"{capability} is not available")
 
-    def document_symbols(self, uri: str, levels: int = 8) -> DataFrame:
+    def document_symbols(self, uri: str) -> DataFrame:
+        """The file's outline, however deep."""
         self._need("document_symbol_provider")
-        return intel.walk(intel.document_symbols(self.facts["symbols"], uri), levels)
+        return intel.walk(intel.document_symbols(self.facts["symbols"], uri))
 
     def workspace_symbols(self, query: str) -> DataFrame:
         self._need("workspace_symbol_provider")
@@ -132,9 +133,10 @@ class Workspace:
 
         return intel.rename_edits(self.facts["occurrences"], self._at(uri, line, char).withColumn("new_name", F.lit(new_name))).drop("request_id")
 
-    def get_diagnostics(self, uri: str, timeout: float = 5.0) -> list[str]:
-        """The latest pushed for the file: at once if there are any, else after waiting; never None."""
-        return live.wait_for(self.spark, self.diagnostics_table, uri, timeout) if self.diagnostics_table else []
+    def get_diagnostics(self, uri: str, timeout: float = 5.0, newer_than: int = -1) -> list[str]:
+        """The latest pushed for the file: at once if there is one with a push_seq over newer_than, else after waiting
+        for such a push; what there is when the time is up; never None."""
+        return live.wait_for(self.spark, self.diagnostics_table, uri, timeout, newer_than) if self.diagnostics_table else []
 
     def notify_file_changes(self, events: DataFrame) -> None:
         """Sends a batch's events (seq, change, abs_path) that this language takes, and nothing if none remain."""
