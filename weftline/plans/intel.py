@@ -132,7 +132,10 @@ def lq1_document_symbols(spark, sf):
 
 @query(f"WITH {T} SELECT symbol_id, name, kind, uri FROM tree WHERE contains(lower(name), 'on_1') OR contains(lower(name), 'er#0000001')")
 def lq2_workspace_symbols(spark, sf):
-    return intel.workspace_symbols(views.symbol_tree(spark, sf), "AN").select("symbol_id", "name", "kind", "uri")
+    """Two searches, in any case and with the parentheses of a call."""
+    tree = views.symbol_tree(spark, sf)
+    found = intel.workspace_symbols(tree, "oN_1").union(intel.workspace_symbols(tree, "ER#0000001()"))
+    return found.select("symbol_id", "name", "kind", "uri")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, min(l_suppkey % 20) + 1 AS c FROM lineitem GROUP BY ALL),
