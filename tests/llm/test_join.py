@@ -107,19 +107,68 @@ def test_difference_bound_is_exact():
                 best = max(best, s + t - 2 * common)
         return best
 
-    assert [J.most_differences(s) for s in range(1, 300)] == [slow(s) for s in range(1, 300)]
+    sizes = [*range(1, 300), 1000, 4999, 12_345, 30_000]
+    assert [J.most_differences(s) for s in sizes] == [slow(s) for s in sizes]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 2**32), st.floats(0, 0.2), st.floats(0, 0.2))
-def test_qualifying_pairs_share_a_signature(n, seed, lose, gain):
+#: Corpora in which next to nothing, much and nearly everything is shared.
+FALL = np.array([[1.0, 0.6, 0.3, 0.15, 0.08, 0.05]])
+RATES = [()] + [tuple((k, tuple(map(tuple, (np.array([m]).T * FALL).tolist()))) for k in range(14)) for m in ((3.0, 1.0, 0.4, 0.1, 0.02), (900.0, 300.0, 60.0, 2.0, 0.001))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 2**32), st.floats(0, 0.2), st.floats(0, 0.2), st.sampled_from(RATES), st.sampled_from([80, 85]))
+def test_qualifying_pairs_share_a_signature(n, seed, lose, gain, rates, percent):
     rng = np.random.default_rng(seed)
     x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
     y = np.unique(np.concatenate([x[int(len(x) * lose) :], rng.integers(0, 1 << 63, int(len(x) * gain)).astype(np.uint64)]))
-    if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)):
-        assert len(np.intersect1d(J.signatures(x), J.signatures(y)))
+    if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+        assert len(np.intersect1d(J.signatures(x, percent, rates), J.signatures(y, percent, rates)))
         bits = sum(bin(int(a) & (1 << 64) - 1 ^ int(b) & (1 << 64) - 1).count("1") for a, b in zip(J.parity(x), J.parity(y), strict=True))
-        assert 185 * bits <= 15 * (len(x) + len(y))
+        assert (100 + percent) * bits <= (100 - percent) * (len(x) + len(y))
+
+
+@pytest.mark.parametrize("kind", ["whole", 0, 3, 6])
+def test_each_kind_of_segment_finds_every_qualifying_pair_alone(kind):
+    """Pairs at the very threshold, with plans of one kind only and no further level."""
+    rng = np.random.default_rng(9)
+    for n in (8, 30, 31, 90, 250):
+        edges = J.band_edges(1 << n.bit_length())
+        band = int(np.searchsorted(edges, n, "right")) - 1
+        need = max(J.most_differences(s) for s in range(edges[band], edges[band + 1])) + 1
+        plan = (need + 8, 0, 0, 1, 8) if kind == "whole" else (0, (need + 1) // 2 + 4, kind, 1, 8)
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = x[: -(-85 * len(x) // 100)]  # the smaller side decides the band
+            y = np.concatenate([y, rng.integers(0, 1 << 63, max(0, edges[band] - len(y))).astype(np.uint64)])
+            if 100 * len(np.intersect1d(x, y)) < 85 * len(np.union1d(x, y)) or not edges[band] <= min(len(x), len(y)):
+                y = x[:-1] if n > 8 else x
+            (a, fine), (b, good) = (J._signatures(z, band, plan, 0) for z in (x, y))
+            assert not (fine or good) or len(np.intersect1d(a, b))
+            (a, fine), (b, good) = (J._signatures(z, band, (*plan[:3], 3, plan[4]), 0) for z in (x, y))
+            assert not (fine or good) or len(np.intersect1d(a, b))
+
+
+def test_allocation_follows_what_is_shared():
+    """Whole segments where chance matches are rare; subsets and then one-deletion neighbourhoods as they grow."""
+    kinds = lambda rates: [J.allocation(n, n + n // 3, 0, 85, rates)[1:3] for n in (20, 60, 150, 300, 1000)]
+    assert all(v == 0 for v, _ in kinds(()))
+    print([J.allocation(n, n + n // 3, 0, 85, rates) for rates in RATES for n in (20, 60, 150, 300, 1000)])
+    assert any(v and q for rates in RATES[1:] for v, q in kinds(rates))
+    assert any(v and not q for v, q in kinds(RATES[2]))
+
+
+def test_match_rates_are_counts(spark):
+    rows = corpus()
+    named = J._scan(spark.createDataFrame(rows, "doc_id long, text string"), 4, "names", J._NAMED)
+    sets = {r["node"]: r for r in named.collect() if r["node"] is not None}.values()
+    got = dict(J.match_rates(named))
+    for scale in {int(np.log2(r["n_shingles"])) for r in sets}:
+        for k in range(len(J.PROBES)):
+            for least in J.LEAST:
+                sigs = [r["probes"][k] for r in sets if int(np.log2(r["n_shingles"])) == scale and r["held"][k] >= least]
+                want = sum(sigs.count(s) - 1 for s in sigs) / sum(int(np.log2(r["n_shingles"])) == scale for r in sets)
+                assert got[scale][k][least - 1] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("pairs", [[], [(1, 2)], [(k, k + 1) for k in range(50)], [(0, k) for k in range(1, 40)], [(1, 2), (3, 4), (4, 5), (9, 1)]])

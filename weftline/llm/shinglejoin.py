@@ -2,12 +2,21 @@
 
 A document's set is its distinct word n-grams, as 64-bit hashes. Sets fall into size bands. For a band, the largest
 number of differences d that a qualifying pair can have is known, so the universe is cut by hash into segments and a
-pair must agree on some of them (pigeonhole): with k whole segments and v segments that may differ in one element,
-k + 2 v > d. Whole segments are indexed by a hash of their elements; segments with a value of two also by the
-one-deletion neighbourhood, the hashes of the segment without each of its elements. The allocation of k and v per band
-is the cheapest by expected signatures and chance matches. Segments that are empty prove nothing: a set with more of them
-than its band has in reserve moves on to a finer rehashed level, and a pair is found on the first level on which either set is
-satisfied. Each candidate is verified on the full sets.
+pair must agree on some of them (pigeonhole). A segment has a value: one if the pair must be equal in it to agree, two if
+it may differ there in one element; when the values sum to more than d, some segment agrees. Three kinds are indexed:
+
+* whole segments (value one): a hash of the elements;
+* subsets of a segment (value two): the segment is cut into q parts and all but one of them are hashed, for each part;
+* one-deletion neighbourhoods (value two): the segment and the segment without each of its elements are hashed.
+
+Signatures of fewer than t elements match too much and are not indexed (t is one or more: an empty one proves nothing);
+a set in which they take more value than its band has in reserve moves on to a rehashed level (the last one indexes
+deletions of any size and takes any set), and a pair is found on the first level on which either set is satisfied.
+
+The kinds that a band takes, how many of each, t and the reserve are the cheapest by the signatures to shuffle and the
+chance matches to compare. Chance matches are measured: every document gives one segment of each of a few mean sizes, and
+how many other sets of the band hold the same segment is counted over all documents. Each candidate is verified on the
+full sets.
 
 Only classes are returned, so buckets are compared as graph.bucket_classes says. Before the full sets are compared, a
 pair must fit in size and in parity bitmaps: bits that differ cannot outnumber the elements that differ, so this
@@ -18,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from math import erfc, exp, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +43,19 @@ N_WORDS = 4
 PERCENT = 85
 #: A band's sizes grow by this factor.
 BAND = 1.3
-#: Levels of rehashing for sets with many empty segments; the last one takes any set.
-LEVELS = 4
+#: Levels of rehashing for sets with many small signatures; the last one takes any set.
+LEVELS = 3
+#: Parts of a segment of which all but one are hashed.
+PARTS = (3, 4, 6)
+#: Mean sizes of the segments whose matches are counted.
+PROBES = (1, 2, 4, 8, 16)
+#: Least numbers of elements that a band may ask of its signatures.
+LEAST = (1, 2, 3, 4, 5, 6)
+#: Chance matches of a signature of one element that are assumed beside the counted ones, and the factor by which each further
+#: element of LEAST lessens them: one segment of a band is a small sample, and a passage that many texts share may miss it.
+ASSUMED, LESSENED = 0.5, 0.15
+#: What a signature that another set shares by chance costs, next to one that none shares: it is written, paired and compared.
+MATCH_COST = 12.0
 #: Words of 64 bits in a set's parity bitmap.
 PARITY = 8
 
@@ -60,61 +80,123 @@ def band_edges(most: int, band: float = BAND) -> tuple[int, ...]:
     return tuple(edges)
 
 
-@lru_cache(maxsize=None)
-def allocation(low: int, high: int, level: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """(k, v, reserve) for sets of sizes low to high - 1 as the smaller side: whole segments, segments with deletions, and how many
-    whole-segment agreements are to spare for empty segments (one with deletions counts as two).
+#: Measured matches: for each power of two of the sizes, for each mean size in PROBES and each number in LEAST, the mean number
+#: of other sets that share a segment with as many elements at least. Hashable, so that allocations are made once a worker.
+Rates = tuple[tuple[int, tuple[tuple[float, ...], ...]], ...]
+
+
+def _match_rate(rates: Rates, size: float, covered: float, least: int) -> float:
+    """Chance matches of a signature that covers so many elements on average, of sets of this size."""
+    table, assumed = dict(rates), ASSUMED * LESSENED ** (least - 1)
+    if not table:
+        return assumed
+    near = min(table, key=lambda k: (abs(k - log2(max(1.0, size))), k))
+    return assumed + float(np.exp(np.interp(log(max(covered, 0.1)), np.log(PROBES), np.log(np.array([r[least - 1] for r in table[near]]) + 1e-9))))
 
-    Cost: signatures for a set of the middle size, plus the chance that unrelated sets agree on a segment.
+
+def _over(mean: float, at_most: int) -> float:
+    """The chance of a Poisson count to exceed at_most."""
+    if mean > 400:  # the normal curve serves
+        return 0.5 * erfc((at_most + 0.5 - mean) / sqrt(2 * mean))
+    term = total = exp(-mean)
+    for k in range(1, at_most + 1):
+        term *= mean / k
+        total += term
+    return max(0.0, 1 - total)
+
+
+def allocation(low: int, high: int, level: int, percent: int = PERCENT, rates: Rates = ()) -> tuple[int, int, int, int, int]:
+    """(k, v, q, t, reserve) for sets of sizes low to high - 1 as the smaller side: k whole segments, v segments of value two,
+    their parts (0: one-deletion neighbourhoods), the least elements of a signature, and the value that smaller ones may take away.
+
+    The cost of a plan is its signatures for a set of the middle size, plus MATCH_COST for each of their measured chance
+    matches, plus the next level's cost times the chance that the set must move on.
     """
+    return _cheapest(low, high, level, percent, rates)[1]
+
+
+@lru_cache(maxsize=None)
+def _cheapest(low: int, high: int, level: int, percent: int, rates: Rates) -> tuple[float, tuple[int, int, int, int, int]]:
+    """The cost of the cheapest plan, and the plan."""
     need = max(most_differences(s, percent) for s in range(max(low, high - 30), high)) + 1
-    size = max(1.0, (low + high) / 2)
-    spare = level * max(1, need // 4)
+    size = max(1.0, (low + high - 1) / 2)
+    if level == LEVELS - 1:
+        v = (need + 1) // 2
+        late = v + size
+        return late * (1 + MATCH_COST * _match_rate(rates, size, max(0.1, size / v - 1), 1)), (0, v, 0, 0, 0)
+    onward = _cheapest(low, high, level + 1, percent, rates)[0]
     best = None
-    for v in sorted({0, 1, need // 4, need // 2, (need + 1) // 2}):
-        for reserve in (0, 1, 2, 3, 4, 6, 8, 12):
-            total = need + reserve + spare
-            if 2 * v > total + 1:
-                continue
-            k = max(0, total - 2 * v)
-            segments = k + v
-            if not segments:
-                continue
-            each = size / segments
-            empty = exp(-each)
-            unmet = empty * segments - reserve - spare
-            cost = k + v * (1 + each) + 60 * max(0.0, unmet) + 10 * empty * segments
-            if best is None or cost < best[0]:
-                best = (cost, k, v, reserve + spare)
-    return best[1:]
-
-
-def _signatures(elements: np.ndarray, band: int, plan: tuple[int, int, int], level: int) -> tuple[np.ndarray, bool]:
-    """Signatures of one set under a band's plan, and whether its empty segments leave enough agreements."""
-    k, v, reserve = plan
-    segments = k + v
-    salt = np.uint64((band * LEVELS + level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for spare in sorted({0, 1, 2, 3, 4, 6, 8, *(round(need * f / 100) for f in (3, 5, 7, 10, 13, 17, 22, 30, 40, 60, 90))}):
+        spare += level * max(1, need // 4)
+        total = need + spare
+        unit = size / total
+        for v in sorted({0, total // 4, total // 2}):
+            k = total - 2 * v
+            for q in (0, *PARTS) if v else (0,):
+                covered = 2 * unit * (1 - 1 / q) if q else max(0.1, 2 * unit - 1)
+                late = v * (q or 1 + 2 * unit)
+                for t in LEAST:
+                    # value that is lost: whole segments, and segments of value two with any signature, of under t elements
+                    small = k * (1 - _over(unit, t - 1) if total > 1 else float(low < t))
+                    small_late = v * min(1.0, q * (1 - _over(covered, t - 1)) if q else 1 - _over(2 * unit, t))
+                    unmet = _over(small + 2 * small_late, spare) if v == 0 else _over(small / 2 + small_late, spare // 2)
+                    matches = k * _match_rate(rates, size, unit, t) + late * _match_rate(rates, size, covered, t)
+                    cost = k + late + MATCH_COST * matches + unmet * onward
+                    if best is None or cost < best[0]:
+                        best = (cost, (k, v, q, t, spare))
+    return best
+
+
+_ELEMENT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _segment_names(n: int, salt: np.uint64) -> np.ndarray:
+    return (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) + salt
+
+
+def _salt(band: int, level: int) -> np.uint64:
+    return np.uint64((band * LEVELS + level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+
+
+def _signatures(elements: np.ndarray, band: int, plan: tuple[int, int, int, int, int], level: int) -> tuple[np.ndarray, bool]:
+    """Signatures of one set under a band's plan, and whether its small signatures leave enough agreements (t = 0: always)."""
+    k, v, q, t, reserve = plan
+    salt = _salt(band, level)
     with np.errstate(over="ignore"):
         mixed = bytescan.mix(elements + salt)
-        where = (mixed >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
-        sums = np.zeros(segments, np.uint64)
-        np.add.at(sums, where, bytescan.mix(mixed ^ np.uint64(0x5851F42D4C957F2D)))
-        filled = np.bincount(where.astype(np.int64), minlength=segments)
-        name = (np.arange(segments, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) + salt
-        whole = bytescan.mix(sums + name)
-        out = [whole[filled > 0]]
+        unit = ((mixed >> np.uint64(32)) * np.uint64(k + 2 * v) >> np.uint64(32)).astype(np.int64)
+        own = bytescan.mix(mixed ^ _ELEMENT)
+        late = unit >= k
+        out, lost = [], 0
+        if k:
+            at = unit[~late]
+            sums = np.zeros(k, np.uint64)
+            np.add.at(sums, at, own[~late])
+            large = np.bincount(at, minlength=k) >= t
+            lost += k - int(large.sum())
+            out.append(bytescan.mix(sums + _segment_names(k, salt))[large])
         if v:
-            # segments k to k + v - 1 may differ in one element: each one-deletion variant stands beside the whole
-            late = where >= np.uint64(k)
-            at = where[late].astype(np.int64)
-            out.append(bytescan.mix(sums[at] - bytescan.mix(mixed[late] ^ np.uint64(0x5851F42D4C957F2D)) + name[at]))
-            single = np.flatnonzero(filled[k:] == 0) + k
-            out.append(bytescan.mix(sums[single] + name[single]))
-    # an empty whole segment may be one of the agreements; one with deletions is indexed even when empty
-    return (np.concatenate(out) if len(out) > 1 else out[0]), int((filled[:k] == 0).sum()) <= reserve
-
-
-def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+            at, own = (unit[late] - k) >> 1, own[late]
+            sizes = np.bincount(at, minlength=v)
+            parts = q or 1
+            names = _segment_names(v * parts, salt ^ _ELEMENT)
+            sums = np.zeros(v, np.uint64)
+            np.add.at(sums, at, own)
+            if q:
+                part = at * q + (mixed[late] & np.uint64(0xFFFF)).astype(np.int64) % q
+                within = np.zeros(v * q, np.uint64)
+                np.add.at(within, part, own)
+                rest = np.repeat(sizes, q) - np.bincount(part, minlength=v * q)
+                out.append(bytescan.mix(np.repeat(sums, q) - within + names)[rest >= t])
+                lost += 2 * int((rest.reshape(v, q) < t).any(1).sum())
+            else:  # the segment itself and the segment without each element
+                whole, less = bytescan.mix(sums + names), bytescan.mix(sums[at] - own + names[at])
+                out += [whole[sizes >= t], less[sizes[at] > t]] if t else [whole, less]
+                lost += 2 * int((sizes <= t).sum())
+    return np.concatenate(out), not t or lost <= reserve
+
+
+def signatures(elements: np.ndarray, percent: int = PERCENT, rates: Rates = ()) -> np.ndarray:
     """All signatures of one set of hashes: of its own band and of the lower bands that hold possible partners."""
     n = len(elements)
     edges = band_edges(1 << n.bit_length())
@@ -122,16 +204,41 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     least = -(-percent * n // 100)
     out = []
     for band in range(int(np.searchsorted(edges, max(1, least), "right")) - 1, own + 1):
-        low, high = edges[band], edges[band + 1]
         for level in range(LEVELS):
-            plan = allocation(low, high, level, percent)
-            if level == LEVELS - 1:
-                plan = (0, (plan[0] + 2 * plan[1] + 1) // 2, 0)  # with deletions alone no segment needs a reserve
-            found, enough = _signatures(elements, band, plan, level)
+            found, enough = _signatures(elements, band, allocation(edges[band], edges[band + 1], level, percent, rates), level)
             out.append(found)
             if enough:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def probes(elements: np.ndarray) -> tuple[list[int], list[int]]:
+    """One segment of each mean size in PROBES, as a signed long that sets of one band share if they are equal in it, and
+    its number of elements."""
+    n = len(elements)
+    band = int(np.searchsorted(band_edges(1 << n.bit_length()), n, "right")) - 1
+    sums, sizes = np.zeros(len(PROBES), np.uint64), []
+    with np.errstate(over="ignore"):
+        mixed = bytescan.mix(elements + _salt(band, LEVELS))
+        for k, size in enumerate(PROBES):
+            inside = mixed[(mixed >> np.uint64(32)) * np.uint64(max(1, round(n / size))) >> np.uint64(32) == 0]
+            sums[k] = bytescan.mix(inside ^ _ELEMENT).sum(dtype=np.uint64)
+            sizes.append(len(inside))
+        return bytescan.mix(sums + _segment_names(len(PROBES), _salt(band, LEVELS))).view(np.int64).tolist(), sizes
+
+
+def match_rates(rows: DataFrame) -> Rates:
+    """Chance matches, counted over all distinct sets of the named rows (node, n_shingles, probes, held): a few numbers for
+    each power of two of the sizes come to the driver."""
+    one = rows.where("node is not null").groupBy("node").agg(F.floor(F.log2(F.first("n_shingles"))).cast("int").alias("scale"), F.first("probes").alias("probes"), F.first("held").alias("held"))
+    sets = dict(one.groupBy("scale").count().collect())
+    flat = one.select("scale", F.posexplode(F.arrays_zip("probes", "held")).alias("probe", "p")).select("scale", "probe", "p.probes", F.least("p.held", F.lit(len(LEAST))).alias("held")).where("held > 0")
+    shared_by = flat.groupBy("scale", "probe", "held", "probes").agg(F.count("*").alias("c")).where("c > 1")
+    found = shared_by.groupBy("scale", "probe", "held").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("met")).collect()
+    table = {scale: np.zeros((len(PROBES), len(LEAST))) for scale in sets}
+    for r in found:
+        table[r["scale"]][r["probe"], : r["held"]] += r["met"] / sets[r["scale"]]
+    return tuple((scale, tuple(map(tuple, table[scale].tolist()))) for scale in sorted(table))
 
 
 def document_sets(buf: np.ndarray, offsets: np.ndarray, n_words: int = N_WORDS) -> Iterator[np.ndarray]:
@@ -191,8 +298,8 @@ def wide_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(both).sum())
 
 
-def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int = PERCENT) -> DataFrame:
-    """One pass over (doc_id, text): 'names' (doc_id, node, n), 'signatures' (key, node, sig, center) or 'sets' (node, n, elements)."""
+def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int = PERCENT, rates: Rates = ()) -> DataFrame:
+    """One pass over (doc_id, text): 'names' (_NAMED), 'signatures' (key, node, sig, center) or 'sets' (node, n, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -201,11 +308,14 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
             for part, buf, offsets, _ in bytescan.text_slices(batch, "text"):
                 part_no += 1
                 if what == "names":
-                    names, sizes = [], []
+                    names, sizes, segments, held = [], [], [], []
                     for s in document_sets(buf, offsets, n_words):
                         names.append(set_name(s) if len(s) else None)
                         sizes.append(len(s))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "node", "n_shingles"])
+                        one, filled = probes(s) if len(s) else (None, None)
+                        segments.append(one)
+                        held.append(filled)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segments, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int32()))], ["doc_id", "node", "n_shingles", "probes", "held"])
                 elif what == "sets":
                     kept, names, sizes = [], [], []
                     for s in document_sets(buf, offsets, n_words):
@@ -223,7 +333,7 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
                     for s in document_sets(buf, offsets, n_words):
                         if len(s) and (name := set_name(s)) not in seen:  # exact copies in a task count once
                             seen.add(name)
-                            found.append(signatures(s, percent))
+                            found.append(signatures(s, percent, rates))
                             names.append(name)
                     if found:
                         yield batch_stars(np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.int64), [len(f) for f in found]), part_no)
@@ -250,15 +360,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+_NAMED = "doc_id long, node long, n_shingles long, probes array<long>, held array<int>"
+
+
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT, shelf: Shelf | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (doc_id, node, n_shingles) for each input row, where node names the row's set, and
     classes (node, class) for the nodes that link with others."""
     spark = docs.sparkSession
     shelf = shelf or Shelf(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = shelf.put(_scan(texts, n_words, "names", "doc_id long, node long, n_shingles long"))
+    named = shelf.put(_scan(texts, n_words, "names", _NAMED))
+    rows = named.drop("probes", "held")
 
-    found = _scan(texts.select("doc_id", "text"), n_words, "signatures", "key long, node long, sig long, center long", percent)
+    found = _scan(texts.select("doc_id", "text"), n_words, "signatures", "key long, node long, sig long, center long", percent, match_rates(named))
     buckets = shelf.put(shared(found))
 
     # the sets of the nodes in shared buckets, scanned again from one row of each node
