@@ -158,6 +158,12 @@ def test_allocation_follows_what_is_shared():
     assert any(v and not q for v, q in kinds(RATES[2]))
 
 
+def test_sets_of_one_shingle_have_a_signature_of_their_own():
+    for rates in RATES:
+        found = [J.signatures(np.array([k], np.uint64), 85, rates) for k in range(200)]
+        assert len(np.unique(np.concatenate(found))) == sum(map(len, found))
+
+
 def test_match_rates_are_counts(spark):
     rows = corpus()
     named = J._scan(spark.createDataFrame(rows, "doc_id long, text string"), 4, "names", J._NAMED)

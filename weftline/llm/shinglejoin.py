@@ -56,6 +56,8 @@ LEAST = (1, 2, 3, 4, 5, 6)
 ASSUMED, LESSENED = 0.5, 0.15
 #: What a signature that another set shares by chance costs, next to one that none shares: it is written, paired and compared.
 MATCH_COST = 12.0
+#: What an empty signature costs: it is the same for all sets of a band.
+EMPTY_COST = 1000.0
 #: Words of 64 bits in a set's parity bitmap.
 PARITY = 8
 
@@ -123,7 +125,9 @@ def _cheapest(low: int, high: int, level: int, percent: int, rates: Rates) -> tu
     if level == LEVELS - 1:
         v = (need + 1) // 2
         late = v + size
-        return late * (1 + MATCH_COST * _match_rate(rates, size, max(0.1, size / v - 1), 1)), (0, v, 0, 0, 0)
+        # empty signatures are indexed here, and every set that has one shares it
+        empty = v * exp(-size / v) * (1 + size / v)
+        return late * (1 + MATCH_COST * _match_rate(rates, size, max(0.1, size / v - 1), 1)) + EMPTY_COST * empty, (0, v, 0, 0, 0)
     onward = _cheapest(low, high, level + 1, percent, rates)[0]
     best = None
     for spare in sorted({0, 1, 2, 3, 4, 6, 8, *(round(need * f / 100) for f in (3, 5, 7, 10, 13, 17, 22, 30, 40, 60, 90))}):
