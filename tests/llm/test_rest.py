@@ -3,7 +3,9 @@
 import hashlib
 import os
 import re
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -24,9 +26,9 @@ def plain_quality(text):
     words = [(m.group(), m.start()) for m in WORD.finditer(text or "")]
     names = [w for w, _ in words]
     grams = [tuple(names[k : k + 8]) for k in range(len(names) - 7)]
-    hit = set()
+    hit, times = set(), Counter(grams)
     for k, g in enumerate(grams):
-        if grams.count(g) > 1:
+        if times[g] > 1:
             hit |= set(range(k, k + 8))
     seen, dup = set(), 0
     for line in (text or "").split("\n"):
@@ -38,7 +40,7 @@ def plain_quality(text):
 
 def test_quality_rules(spark):
     more = [(100, "a b c d e f g h " * 4, "en", "s"), (101, "x\nx \nx\nx", "en", "s"), (102, " ".join(f"w{k}" for k in range(25)), None, None), (103, "é日 #\n\n é日 #", "en", "t")]
-    docs = odd_documents(spark).where("doc_id is null or doc_id <> 9").select("doc_id", "text", "lang", "source").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
+    docs = odd_documents(spark).select("doc_id", "text", "lang", "source").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
     got = sorted(map(repr, (tuple(r[c] for c in ("doc_id", *quality.METRICS, "base_failed")) for r in quality.judge(docs).collect())))
     want = []
     for d in docs.collect():
@@ -48,16 +50,52 @@ def test_quality_rules(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
-def test_bad_host_takes_its_documents_along(spark):
+def hosts_case(spark):
+    """40 hosts of which one fails far more often than the rest, one a little more often, and one has a single bad document."""
     good = " ".join(f"w{k}" for k in range(40))
-    rows = [(k, f"{good} {k}", "fine") for k in range(30)] + [(100 + k, "short", "bad") for k in range(30)] + [(200, good, "bad"), (201, good, None), (202, "short", "fine")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
-    assert kept[0] and not kept[100] and not kept[200] and kept[201] and not kept[202]
-    assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {i for i, k in kept.items() if k}
+    rng = np.random.default_rng(4)
+    rows = []
+    for h in range(40):
+        rate = {0: 0.7, 1: 0.15}.get(h, 0.08)
+        rows += [("short" if rng.random() < rate else f"{good} {h} {k}", f"host{h}") for k in range(60)]
+    rows += [("short", "single"), (good, None), (None, None), ("short", None)] + [(f"{good} {k}", "hot") for k in range(1200)]
+    return spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate(rows)], "doc_id long, text string, source string")
+
+
+def test_bad_host_takes_its_documents_along(spark):
+    docs = hosts_case(spark)
+    rows = quality.judge(docs).join(docs, "doc_id").collect()
+    lost = {r["source"] for r in rows if not r["kept"] and not r["base_failed"]}
+    assert lost == {"host0"} and not any(r["kept"] for r in rows if r["source"] == "host0")
+    assert all(r["kept"] != r["base_failed"] for r in rows if r["source"] != "host0")
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == kept
     assert quality.filter_documents(docs).columns == docs.columns and quality.filter_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["hosts", "one host", "all fail", "none"])
+def test_quality_sql_on_hosts_that_differ(spark, case):
+    docs = {"hosts": hosts_case(spark), "one host": hosts_case(spark).where("source = 'host1'"), "all fail": hosts_case(spark).where("text = 'short'"), "none": hosts_case(spark).limit(0)}[case]
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert_same(con, quality.judge(docs).drop("shrunk_rate"), quality.ORACLE)
+
+
+def test_prior_weighs_by_how_hosts_differ(spark):
+    """Against the plain formula; hosts with one document each tell nothing and so leave the prior as heavy as it may be."""
+    rng = np.random.default_rng(6)
+    for n, rates in ((np.full(200, 50), rng.beta(2, 8, 200)), (np.ones(300, int), np.full(300, 0.2)), (np.full(50, 40), np.full(50, 0.2))):
+        bad = rng.binomial(n, rates)
+        rows = [(f"h{k}", bool(j < b)) for k, (m, b) in enumerate(zip(n, bad, strict=True)) for j in range(m)]
+        got = {r["host"]: r["shrunk_rate"] for r in quality.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+        mu = bad.sum() / n.sum()
+        room = n.sum() - (n * n).sum() / n.sum() - len(n) + 1
+        rho = ((n * (bad / n - mu) ** 2).sum() / (mu * (1 - mu)) - len(n) + 1) / room if room > 0 else 0
+        weight = min(50.0, max(1.0, 1 / max(rho, 1e-9) - 1))
+        assert all(got[f"h{k}"] == pytest.approx((bad[k] + mu * weight) / (n[k] + weight)) for k in range(len(n)))
+        assert weight == pytest.approx(10, rel=0.5) if n[0] == 50 else weight > 25
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 48))

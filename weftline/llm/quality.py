@@ -1,8 +1,9 @@
 """Operator 9: quality rules with host-level verdicts.
 
-Word, symbol, line and repetition counts come from one vectorised scan of each text. Rule failures are summed by host,
-each host's failure rate is shrunk towards an empirical beta prior fitted to all hosts, and hosts whose shrunk rate is
-at least the threshold lose all their documents.
+Word, symbol, line and repetition counts come from one vectorised scan of each text. Rule failures are summed by host and
+each host's failure rate is shrunk towards an empirical beta prior fitted to all hosts. A host loses all its documents if
+the low end of its posterior still lies over twice the corpus's mean rate and over a tenth: then it is worse than
+the others beyond what its number of documents could do by chance.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from weftline.llm.lineage import Shelf, small_side
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-#: A host is rejected from this shrunk failure rate on: most of what it has fails.
-HOST_RATE = 0.5
-#: Documents that the prior weighs at most; keeps one odd pair of hosts from fixing all rates.
+#: A host is rejected if its shrunk rate less DEVIATIONS posterior standard deviations exceeds both RATIO times the mean
+#: rate and LEAST_RATE.
+RATIO = 2.0
+DEVIATIONS = 3.0
+LEAST_RATE = 0.1
+#: Documents that the prior weighs at most, as it does where hosts do not differ; it weighs one at least.
 PRIOR_WEIGHT = 50.0
 
 _SYMBOL = np.zeros(256, bool)
@@ -100,27 +104,35 @@ def base_failed(m: str = "") -> Column:
     return (F.col(f"{m}n_words") < MIN_WORDS) | (100 * F.col(f"{m}n_repeat_words") > REPEAT_PERCENT * F.col(f"{m}n_words"))
 
 
-def host_verdicts(rows: DataFrame, host: str = "host", failed: str = "failed", rate: float = HOST_RATE) -> DataFrame:
+def host_verdicts(rows: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate, host_kept) of each non-null host.
 
-    The beta prior's mean and weight are the mean and the moment-matched weight of all hosts' rates, the weight between
-    1 and PRIOR_WEIGHT; hosts of one document count for the mean like all others.
+    The beta prior's mean is the rate of all documents. Its weight is moment-matched: what hosts' rates vary beyond the
+    binomial noise of their numbers of documents (a host of one document has nothing but noise) gives the correlation rho of
+    two documents of one host, and the weight is 1 / rho - 1, between 1 and PRIOR_WEIGHT.
     """
     hosts = rows.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    own = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(own).alias("mean"), F.var_samp(own).alias("var"))
-    weight = F.least(F.lit(PRIOR_WEIGHT), F.greatest(F.lit(1.0), F.coalesce(F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1), F.lit(PRIOR_WEIGHT))))
+    n, bad = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(bad).alias("bad"), F.sum(n * n).alias("nn"), F.sum(bad * bad / n).alias("rr"))
+    mean, others = F.col("bad") / F.col("n"), F.col("k") - 1
+    spread = (F.col("rr") - F.col("bad") * mean) / (mean * (1 - mean)) - others  # beyond what noise alone gives
+    room = F.col("n") - F.col("nn") / F.col("n") - others
+    rho = F.when((mean > 0) & (mean < 1) & (room > 0), spread / room).otherwise(0.0)
+    weight = 1 / F.greatest(F.lit(1 / (1 + PRIOR_WEIGHT)), F.least(F.lit(0.5), rho)) - 1
     # the prior is one row
-    out = hosts.crossJoin(F.broadcast(prior.select("mean", weight.alias("weight"))))
+    out = hosts.crossJoin(F.broadcast(sums.select(mean.alias("mean"), weight.alias("weight"))))
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return out.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk < rate).alias("host_kept"))
+    out = out.withColumn("shrunk_rate", shrunk)
+    low = F.col("shrunk_rate") - DEVIATIONS * F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (F.col("n_docs") + F.col("weight") + 1))
+    return out.select("host", "n_docs", "n_failed", "shrunk_rate", (low <= F.greatest(RATIO * F.col("mean"), F.lit(LEAST_RATE))).alias("host_kept"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: id, metrics, base_failed, kept, and its host's shrunk_rate.
 
-    Empty and null texts fail (no words). Documents without a host are judged by the base rules alone. Repeated rows
-    are judged one by one; other columns of docs are not read.
+    Empty and null texts fail (no words). Documents without a host are judged by the base rules alone, and null ids like
+    others. Very long texts are measured whole, each as one slice. Repeated rows are judged one by one and count one by
+    one for their host; equal rates of hosts give equal verdicts. Other columns of docs are not read.
     """
     shelf = Shelf(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
@@ -133,9 +145,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without those that the rules or their host's verdict reject; all columns stay as they are.
+    """docs without those that the rules or their host's verdict reject; all columns stay as they are, whatever their names.
 
-    The texts are scanned twice (for the hosts, then for the documents) rather than shuffled.
+    Null and empty texts go; rows with a null host or id are judged by the base rules alone; repeated rows each stay or go
+    alike; of no documents none are left. The texts are scanned twice (for the hosts, then for the documents) rather than shuffled.
     """
     mark = "__quality"
     while mark in docs.columns:
@@ -173,13 +186,17 @@ WITH w AS (
   SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m
 ), h AS (
   SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS bad FROM f WHERE source IS NOT NULL GROUP BY source
+), t AS (
+  SELECT count(*) - 1 AS others, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS nn, sum(bad * bad / n) AS rr, sum(bad) / sum(n) AS mean FROM h
+), r AS (
+  SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND n - nn / n - others > 0
+    THEN ((rr - bad * mean) / (mean * (1 - mean)) - others) / (n - nn / n - others) ELSE 0.0 END AS rho FROM t
 ), p AS (
-  SELECT avg(bad / n) AS mean, var_samp(bad / n) AS var FROM h
+  SELECT mean, 1 / greatest(1 / 51.0, least(0.5, rho)) - 1 AS weight FROM r
 ), v AS (
-  SELECT source, (bad + mean * weight) / (n + weight) AS shrunk_rate
-  FROM h, (SELECT mean, least(50.0, greatest(1.0, coalesce(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 END, 50.0))) AS weight FROM p)
+  SELECT source, n + weight AS m, (bad + mean * weight) / (n + weight) AS shrunk, mean FROM h, p
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND coalesce(shrunk_rate < 0.5, TRUE)) AS kept
+  (NOT base_failed AND coalesce(shrunk - 3.0 * sqrt(shrunk * (1 - shrunk) / (m + 1)) <= greatest(2 * mean, 0.1), TRUE)) AS kept
 FROM f LEFT JOIN v ON f.source = v.source
 """
