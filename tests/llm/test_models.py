@@ -1,5 +1,7 @@
 """Language identification, toxicity and URL filters: exact parts, held-out accuracy, odd input."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,6 +35,73 @@ def test_block_chain_is_the_whole_chain():
             assert np.allclose(got[a:b], plain_marginals(emit[a:b], moves, start))
 
 
+def test_a_text_in_pieces_is_the_whole_chain():
+    rng = np.random.default_rng(1)
+    words = [f"{'xy'[k % 2]}{k % 37}" for k in range(900)] + ["123", "--"] * 20 + ["z" * 700] + ["ünd"] * 60
+    buf = np.frombuffer("  \n ".join(words).encode(), np.uint8)
+    model = langid.Crf(["a", "b", "c"], rng.normal(size=(langid.HASHED, 3)), np.zeros(0, np.uint64), np.zeros((0, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores, lettered, cuts = langid.word_scores(model, buf, np.array([0, len(buf)]))
+    want = plain_marginals(scores, model.moves, model.start)[lettered].sum(0)
+    for size in (10, 100, 500, 2000, 10**6):
+        assert np.allclose(langid._long_sums(model, buf, size), want)
+    assert np.allclose(langid.chain_marginals(scores, cuts, np.zeros((3, 3)), model.start)[1:], np.exp(scores - np.log(np.exp(scores).sum(1, keepdims=True)))[1:])  # moves that tell nothing, a singular matrix
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """By finite differences of the log likelihood, and the likelihood by all label sequences."""
+    rng = np.random.default_rng(3)
+    bounds = np.array([0, 4, 5, 11])
+    emit, moves, start, gold = rng.normal(size=(11, 3)) * 2, rng.normal(size=(3, 3)) * 2, rng.normal(size=3), rng.integers(0, 3, 11)
+    by_emit, by_moves, by_start, value = langid.gradients(emit, gold, bounds, moves, start)
+    plain = 0.0
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        total = lambda y, a=a: start[y[0]] + sum(emit[a + k, c] for k, c in enumerate(y)) + sum(moves[p, c] for p, c in zip(y[:-1], y[1:], strict=True))
+        plain += np.log(sum(np.exp(total(y)) for y in itertools.product(range(3), repeat=b - a))) - total(gold[a:b])
+    assert np.isclose(value, plain)
+    for grad, param in ((by_emit, emit), (by_moves, moves), (by_start, start)):
+        for at in np.ndindex(param.shape):
+            old, both = param[at], []
+            for d in (1e-5, -1e-5):
+                param[at] = old + d
+                both.append(langid.gradients(emit, gold, bounds, moves, start)[3])
+            param[at] = old
+            assert np.isclose(grad[at], (both[0] - both[1]) / 2e-5, atol=1e-6)
+
+
+def test_predictions_by_a_plain_chain(spark):
+    """lang_pred and score of every document against word features looked up one by one and a plain forward-backward."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000").limit(150)
+    model = langid.fit(docs)
+    mix = lambda x: int(langid.bytescan.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+
+    def emission(word):
+        marked = [1, *(b + 3 for b in word), 2]
+        slots = []
+        for n in (*langid.ORDERS, *langid.AFFIXES):
+            for k in range(len(marked) - n + 1):
+                if n in langid.ORDERS or k == 0 or k + n == len(marked):
+                    h = 0
+                    for b in marked[k : k + n]:
+                        h = h * 0x100000001B3 + b
+                    slots.append(mix(h + n * 0x9E3779B97F4A7C15) % langid.HASHED)
+        out = model.grams[slots].sum(0) / np.sqrt(len(slots))
+        h = langid.bytescan.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+        at = int(np.searchsorted(model.lexicon, h))
+        return out + (model.words[at] if at < len(model.lexicon) and model.lexicon[at] == h else 0)
+
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for d in docs.collect():
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in (d["text"] or "").encode().split()]
+        has = np.array([any(c > 127 or chr(c).isalpha() for c in w) for w in words], bool)
+        r = got[d["doc_id"]]
+        if not has.any():
+            assert r["lang_pred"] == "und"
+            continue
+        emit = np.array([emission(w) if x else np.zeros(len(model.labels)) for w, x in zip(words, has, strict=True)])
+        mean = plain_marginals(emit, model.moves, model.start)[has].mean(0)
+        assert r["lang_pred"] == model.labels[int(mean.argmax())] and np.isclose(r["score"], mean.max(), atol=1e-4)
+
+
 def test_language_accuracy_and_code_switching(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id")

@@ -1,13 +1,14 @@
 """Operator 4: language identification by a linear-chain conditional random field.
 
 Every word of a text gets a distribution over languages by forward-backward: its features are hashed byte n-grams with
-marked borders (so prefixes and suffixes are features of their own) and a lexicon of frequent words, and transitions
-between languages are learned from code-switched sequences, spliced from labelled texts. A document's language is
-that with the largest mean probability of its words.
+marked borders, affixes (the longer n-grams at a border) and a lexicon of frequent words. Weights of features and of the
+transitions between languages follow the exact gradient of the likelihood of code-switched sequences, spliced from
+labelled texts. A document's language is that with the largest mean probability of its words.
 
 Texts are cut into blocks of words that are carried through the chain side by side: the product of each block's
 transfer matrices gives the messages at its borders, and then all blocks run forward and backward at once. That is
-the exact chain over the whole text.
+the exact chain over the whole text. A text of more than two slices is read in pieces, twice: first for each piece's transfer
+matrix, then with the messages from both sides, so that memory is bounded by the slice (and the longest word).
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import types as T
 from weftline.llm import bytescan
 
 UNKNOWN = "und"
-#: Labelled documents that are sampled for each language, and the windows and words taken from each.
-SAMPLE = 500
-WINDOWS = 3
+#: About so many labelled documents are sampled for each language, and read whole.
+SAMPLE = 200
+#: Words of one text in a row within a training sequence.
 WORDS = 30
-#: Bytes of a word that training looks at.
-WORD_BYTES = 64
 ORDERS = (1, 2, 3, 4)
+#: Lengths of n-grams that are features at a word's border only.
+AFFIXES = (5, 6)
 HASHED = 1 << 16
 #: A word is in the lexicon from so many occurrences in the sample.
 LEXICON_COUNT = 5
@@ -40,7 +41,7 @@ SEED = 11
 #: Words in a block of the chain.
 BLOCK = 32
 #: Bytes of text whose chains are in memory at once (about 300 bytes for each).
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: A document whose language is less sure than this is rejected by the filter.
 MIN_SCORE = 0.3
 
@@ -75,13 +76,15 @@ def gram_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     found, owner = [], []
     rolling = np.zeros(len(marked), np.uint64)
     with np.errstate(over="ignore"):
-        for n in range(1, max(ORDERS) + 1):
+        for n in range(1, max(AFFIXES) + 1):
             m = len(marked) - n + 1
             if m <= 0:
                 break
             rolling = rolling[:m] * np.uint64(0x100000001B3) + marked[n - 1 :]
-            if n in ORDERS:
+            if n in ORDERS or n in AFFIXES:
                 fit = np.flatnonzero(word[:m] == word[n - 1 :])
+                if n in AFFIXES:
+                    fit = fit[(marked[fit] == 1) | (marked[fit + n - 1] == 2)]
                 found.append((bytescan.mix(rolling[fit] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(HASHED - 1)).astype(np.int64))
                 owner.append(word[fit])
     found, owner = np.concatenate(found), np.concatenate(owner)
@@ -106,85 +109,155 @@ def _scores(model: Crf, features: np.ndarray, at: np.ndarray, lexical: np.ndarra
     return sums
 
 
-def chain_marginals(emit: np.ndarray, cuts: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Exact marginals of every word. emit: scores, words x labels; cuts: offsets of the documents' words."""
-    n_labels = emit.shape[1]
-    sizes = np.diff(cuts)
-    docs = np.flatnonzero(sizes)
+class _Lanes:
+    """The documents' words in blocks that are carried side by side. head: the message before each document's first word
+    (instead of the start scores); tail: what comes back to its last word."""
+
+    def __init__(self, emit: np.ndarray, cuts: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int, head: np.ndarray | None, tail: np.ndarray | None):
+        n_labels = emit.shape[1]
+        sizes = np.diff(cuts)
+        docs = np.flatnonzero(sizes)
+        self.blocks = blocks = -(-sizes[docs] // block)
+        self.lane0 = lane0 = np.concatenate([[0], np.cumsum(blocks)])  # first lane of each document
+        self.block, self.lanes, self.a, self.start = block, int(lane0[-1]), np.exp(moves), np.exp(start)
+        owner = np.repeat(np.arange(len(docs)), sizes[docs])
+        inside = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(sizes[docs])[:-1]]), sizes[docs])
+        self.lane, self.step = lane0[owner] + inside // block, inside % block
+        self.place = np.repeat(cuts[docs], sizes[docs]) + inside
+        raw = emit[self.place]
+        self.e = np.ones((block, self.lanes, n_labels))
+        self.e[self.step, self.lane] = np.exp(raw - raw.max(1, keepdims=True))
+        self.length = np.full(self.lanes, block)
+        self.length[lane0[1:] - 1] = sizes[docs] - (blocks - 1) * block
+        self.first = np.zeros(self.lanes, bool)
+        if head is None:
+            self.first[lane0[:-1]] = True
+        # from the message before the block to that at its end (moves come before each word); a first block forgets what
+        # was before it, so that any message of sum one may stand there
+        transfer = np.broadcast_to(np.eye(n_labels), (self.lanes, n_labels, n_labels)).copy()
+        for t in range(block):
+            active = slice(None) if t < self.length.min() else self.length > t
+            part = (transfer[active].reshape(-1, n_labels) @ self.a).reshape(-1, n_labels, n_labels) * self.e[t][active][:, None, :]
+            if t == 0:  # every block has a first word
+                part[self.first] = (self.start * self.e[0][self.first])[:, None, :]
+            transfer[active] = part / part.max((1, 2), keepdims=True)
+        self.transfer = transfer
+        self.before = np.full((self.lanes, n_labels), 1 / n_labels)
+        if head is not None:
+            self.before[lane0[:-1]] = head
+        self.after = np.ones((self.lanes, n_labels))  # what the next block sends back to the last word of this one
+        if tail is not None:
+            self.after[lane0[1:] - 1] = tail
+
+    def exchange(self) -> None:
+        """The messages at the borders of all blocks."""
+        order = np.argsort(-self.blocks, kind="stable")
+        lead, depth = self.lane0[:-1][order], self.blocks[order]
+        for k in range(1, int(depth[0])):
+            now = lead[: int(np.searchsorted(-depth, -k, "left"))] + k
+            m = np.einsum("ni,nij->nj", self.before[now - 1], self.transfer[now - 1])
+            self.before[now] = m / m.sum(1, keepdims=True)
+        for k in range(int(depth[0]) - 1, 0, -1):
+            now = lead[: int(np.searchsorted(-depth, -k, "left"))] + k
+            m = np.einsum("nij,nj->ni", self.transfer[now], self.after[now])
+            self.after[now - 1] = m / m.max(1, keepdims=True)
+
+    def marginals(self) -> np.ndarray:
+        """Of the documents' words in order."""
+        forward = np.empty_like(self.e)
+        f = self.before
+        for t in range(self.block):
+            f = (f @ self.a) * self.e[t]
+            if t == 0:
+                f[self.first] = self.start * self.e[0][self.first]
+            f = f / f.sum(1, keepdims=True)
+            forward[t] = f
+        marg, b, full = np.empty_like(self.e), self.after, self.length == self.block
+        for t in range(self.block - 1, -1, -1):
+            if t == self.block - 1:
+                b = self.after.copy()
+                b[~full] = 1.0
+            else:
+                b = (self.e[t + 1] * b) @ self.a.T
+                b /= b.max(1, keepdims=True)
+                ended = self.length == t + 1
+                b[ended] = self.after[ended]
+            g = forward[t] * b
+            marg[t] = g / g.sum(1, keepdims=True)
+        return marg[self.step, self.lane]
+
+
+def chain_marginals(emit: np.ndarray, cuts: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int = BLOCK, head: np.ndarray | None = None, tail: np.ndarray | None = None) -> np.ndarray:
+    """Exact marginals of every word. emit: scores, words x labels; cuts: offsets of the documents' words. head and tail:
+    messages from what stands before and after, for a piece of a document."""
     out = np.zeros_like(emit)
-    if not len(docs):
-        return out
-    blocks = -(-sizes[docs] // block)
-    lane0 = np.concatenate([[0], np.cumsum(blocks)])  # first lane of each document
-    lanes = int(lane0[-1])
-    a = np.exp(moves)
-    e = np.ones((block, lanes, n_labels))
-    owner = np.repeat(np.arange(len(docs)), sizes[docs])
-    inside = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(sizes[docs])[:-1]]), sizes[docs])
-    lane, step = lane0[owner] + inside // block, inside % block
-    raw = emit[np.repeat(cuts[docs], sizes[docs]) + inside]
-    e[step, lane] = np.exp(raw - raw.max(1, keepdims=True))
-    length = np.full(lanes, block)
-    length[lane0[1:] - 1] = sizes[docs] - (blocks - 1) * block
-    full = length == block
-    first = np.zeros(lanes, bool)
-    first[lane0[:-1]] = True
-    # transfer matrices: from the message before the block to that at its end (moves come before each word)
-    transfer = np.broadcast_to(np.eye(n_labels), (lanes, n_labels, n_labels)).copy()
-    for t in range(block):
-        active = slice(None) if t < length.min() else length > t
-        part = (transfer[active].reshape(-1, n_labels) @ a).reshape(-1, n_labels, n_labels) * e[t][active][:, None, :]
-        transfer[active] = part / part.max((1, 2), keepdims=True)
-    # messages at block borders; the start message stands for what the first move would give
-    before = np.ones((lanes, n_labels))
-    initial = np.linalg.solve(a.T, np.exp(start)) if abs(np.linalg.det(a)) > 1e-12 else None
-    order = np.argsort(-blocks, kind="stable")
-    lead = lane0[:-1][order]
-    depth = blocks[order]
-    live = np.arange(len(order))
-    before[lead] = initial if initial is not None else np.exp(start)
-    k = 1
-    while True:
-        live = live[: int(np.searchsorted(-depth, -k, "left"))] if k else live
-        if not len(live):
-            break
-        prev, now = lead[live] + k - 1, lead[live] + k
-        m = np.einsum("ni,nij->nj", before[prev], transfer[prev])
-        before[now] = m / np.abs(m).sum(1, keepdims=True)
-        k += 1
-    after = np.ones((lanes, n_labels))  # what the next block sends back to the last word of this one
-    for k in range(int(depth[0]) - 1, 0, -1):
-        alive = int(np.searchsorted(-depth, -k, "left"))
-        now = lead[:alive] + k
-        m = np.einsum("nij,nj->ni", transfer[now], after[now])
-        after[now - 1] = m / m.max(1, keepdims=True)
+    if cuts[-1] > cuts[0]:
+        lanes = _Lanes(emit, cuts, moves, start, block, head, tail)
+        lanes.exchange()
+        out[lanes.place] = lanes.marginals()
+    return out
+
+
+def chain_transfer(emit: np.ndarray, moves: np.ndarray, start: np.ndarray | None, block: int = BLOCK) -> np.ndarray:
+    """The matrix that carries a message over all these words, up to its scale; with start scores for a text's first words."""
+    n = emit.shape[1]
+    lanes = _Lanes(emit, np.array([0, len(emit)]), moves, np.zeros(n) if start is None else start, block, np.ones(n) if start is None else None, None)
+    out = np.eye(n)
+    for t in lanes.transfer:
+        out = out @ t
+        out /= out.max()
+    return out
+
+
+def expectations(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of short sequences side by side: every word's marginals, the expected number of each transition, and the
+    sum of the log partition functions."""
+    sizes = np.diff(bounds)
+    count, longest, n = len(sizes), int(sizes.max()), emit.shape[1]
+    owner = np.repeat(np.arange(count), sizes)
+    inside = np.arange(len(emit)) - bounds[owner]
+    top = emit.max(1)
+    e, live = np.ones((longest, count, n)), np.arange(longest)[:, None] < sizes
+    e[inside, owner] = np.exp(emit - top[:, None])
+    a, total = np.exp(moves), float(top.sum())
     forward = np.empty_like(e)
-    f = before
-    for t in range(block):
-        f = (f @ a) * e[t]
-        if t == 0:
-            f[first] = np.exp(start) * e[0][first]
-        f = f / f.sum(1, keepdims=True)
+    f = np.exp(start) * e[0]
+    for t in range(longest):
+        if t:
+            f = np.where(live[t][:, None], (f @ a) * e[t], f)
+        scale = f.sum(1, keepdims=True)
+        total += float(np.log(scale).sum())
+        f = f / scale
         forward[t] = f
-    b = after
-    marg = np.empty_like(e)
-    for t in range(block - 1, -1, -1):
-        if t == block - 1:
-            b = after.copy()
-            b[~full] = 1.0
-        else:
-            b = (e[t + 1] * b) @ a.T
+    marg, pairs, b = np.empty_like(e), np.zeros((n, n)), np.ones((count, n))
+    for t in range(longest - 1, -1, -1):
+        if t < longest - 1:
+            on = live[t + 1]
+            right = e[t + 1] * b
+            cell = forward[t][:, :, None] * a * right[:, None, :]
+            pairs += (cell / cell.sum((1, 2), keepdims=True))[on].sum(0)
+            b = np.where(on[:, None], right @ a.T, 1.0)
             b /= b.max(1, keepdims=True)
-            ended = length == t + 1
-            b[ended] = after[ended]
         g = forward[t] * b
         marg[t] = g / g.sum(1, keepdims=True)
-    out[np.repeat(cuts[docs], sizes[docs]) + inside] = marg[step, lane]
-    return out
+    return marg[inside, owner], pairs, total
+
+
+def gradients(emit: np.ndarray, gold: np.ndarray, bounds: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of the negative log likelihood of the gold labels: by emission scores, by moves, by start scores; and its value."""
+    marg, pairs, total = expectations(emit, bounds, moves, start)
+    words = np.arange(len(gold))
+    inner = np.ones(len(gold), bool)
+    inner[bounds[:-1]] = False
+    right = np.flatnonzero(inner)
+    value = total - emit[words, gold].sum() - moves[gold[right - 1], gold[right]].sum() - start[gold[bounds[:-1]]].sum()
+    marg[words, gold] -= 1
+    np.subtract.at(pairs, (gold[right - 1], gold[right]), 1.0)
+    return marg, pairs, marg[bounds[:-1]].sum(0), float(value)
 
 
 def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
-    """A model from (label, words joined by spaces) windows; None without any."""
+    """A model from (label, text) samples; None without any word."""
     samples = [(lang, text) for lang, text in samples if text.strip()]
     if not samples:
         return None
@@ -203,7 +276,8 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
     n = len(labels)
     model = Crf(labels, np.zeros((HASHED, n)), lexicon, np.zeros((len(lexicon), n)), np.eye(n), np.zeros(n))
     gold_of = {lang: i for i, lang in enumerate(labels)}
-    windows = [(int(cuts[k]), int(cuts[k + 1]), gold_of[samples[k][0]]) for k in range(len(samples)) if cuts[k + 1] > cuts[k]]
+    # all words of each text, so many in a row
+    windows = [(p, min(p + WORDS, int(cuts[k + 1])), gold_of[samples[k][0]]) for k in range(len(samples)) for p in range(int(cuts[k]), int(cuts[k + 1]), WORDS)]
     sums = [np.full_like(x, 1e-6) for x in (model.grams, model.words, model.moves, model.start)]
     length = 2 * WORDS
 
@@ -235,18 +309,7 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
             feats, fat = bytescan.gather(at, features, flat)
             lex = lexical[flat]
             emit = _scores(model, feats, fat, lex)
-            marg = chain_marginals(emit, bounds, model.moves, model.start)
-            delta = marg.copy()
-            delta[np.arange(len(y)), y] -= 1
-            # expected transitions, from the marginals of neighbouring words under the model
-            inner = np.ones(len(y), bool)
-            inner[bounds[:-1]] = False
-            right = np.flatnonzero(inner)
-            left = right - 1
-            pair = marg[left][:, :, None] * np.exp(model.moves)[None] * marg[right][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            grad_moves = pair.sum(0)
-            np.add.at(grad_moves, (y[left], y[right]), -1.0)
+            delta, grad_moves, grad_start, _ = gradients(emit, y, bounds, model.moves, model.start)
             scale = 1 / len(batch)
             scaled = delta / np.sqrt(np.diff(fat))[:, None]
             rows, where = np.unique(feats, return_inverse=True)
@@ -260,19 +323,18 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
                 np.add.at(grad, where.ravel(), delta[has])
                 step(model.words, sums[1], rows, grad * scale + 1e-5 * model.words[rows], 0.2)
             step(model.moves, sums[2], slice(None), grad_moves * scale, 0.1)
-            step(model.start, sums[3], slice(None), delta[bounds[:-1]].sum(0) * scale, 0.1)
+            step(model.start, sums[3], slice(None), grad_start * scale, 0.1)
     model.grams = model.grams.astype(np.float32)
     return model
 
 
-def predict_slice(model: Crf, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mean marginals of each document's words with a letter, documents x labels; zeros for documents without such words."""
+def word_scores(model: Crf, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission scores of all words (zeros for those without a letter), which words have a letter, the documents' cuts."""
     low = bytescan.LOWER[buf]
     starts, ends = bytescan.spans(low, offsets, bytescan.WORD_SEPARATORS)
     cuts = bytescan.document_of(starts, offsets)
-    n = len(offsets) - 1
     if not len(starts):
-        return np.zeros((n, len(model.labels)))
+        return np.zeros((0, len(model.labels))), np.zeros(0, bool), cuts
     hashes = bytescan.span_hashes(low, starts, ends)
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     features, at = gram_features(low, starts[first], ends[first])
@@ -281,38 +343,73 @@ def predict_slice(model: Crf, buf: np.ndarray, offsets: np.ndarray) -> np.ndarra
     lettered = (blanks[ends[first]] - blanks[starts[first]]) < ends[first] - starts[first]
     scores = _scores(model, features, at, _lexicon_rows(model.lexicon, unique)) * lettered[:, None]
     inverse = inverse.ravel()
-    marg = chain_marginals(scores[inverse], cuts, model.moves, model.start) * lettered[inverse][:, None]
-    total = np.zeros((len(marg) + 1, marg.shape[1]))
-    np.cumsum(marg, axis=0, out=total[1:])
-    sums = total[cuts[1:]] - total[cuts[:-1]]
+    return scores[inverse], lettered[inverse], cuts
+
+
+def predict_slice(model: Crf, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean marginals of each document's words with a letter, documents x labels; zeros for documents without such words."""
+    if len(offsets) == 2 and len(buf) > 2 * SLICE:
+        sums = _long_sums(model, buf)[None]
+    else:
+        scores, lettered, cuts = word_scores(model, buf, offsets)
+        marg = chain_marginals(scores, cuts, model.moves, model.start) * lettered[:, None]
+        total = np.zeros((len(marg) + 1, len(model.labels)))
+        np.cumsum(marg, axis=0, out=total[1:])
+        sums = total[cuts[1:]] - total[cuts[:-1]]
     return sums / np.maximum(sums.sum(1, keepdims=True), 1e-12)
 
 
-def _training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trainable: Column) -> list[tuple[str, str]]:
-    """Windows of words from a bounded sample of labelled texts: at most about SAMPLE texts of each language."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), trainable.alias("ok")).where("ok and lang is not null")
+def _pieces(buf: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Pieces of about so many bytes, cut between words; a longer word makes a longer piece."""
+    out, lo = [], 0
+    while lo < len(buf):
+        hi = lo + size
+        while hi < len(buf):
+            gap = np.flatnonzero(bytescan.WORD_SEPARATORS[buf[hi : hi + size]])
+            if len(gap):
+                hi += int(gap[0])
+                break
+            hi += size
+        hi = min(hi, len(buf))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _long_sums(model: Crf, buf: np.ndarray, size: int = SLICE) -> np.ndarray:
+    """Summed marginals of the words with a letter of one text, read in pieces."""
+    n = len(model.labels)
+    pieces, carries = [], []
+    for lo, hi in _pieces(buf, size):
+        scores, _, _ = word_scores(model, buf[lo:hi], np.array([0, hi - lo]))
+        if len(scores):
+            carries.append(chain_transfer(scores, model.moves, None if pieces else model.start))
+            pieces.append((lo, hi))
+    tails = [np.ones(n)] * len(pieces)
+    for k in range(len(pieces) - 2, -1, -1):
+        m = carries[k + 1] @ tails[k + 1]
+        tails[k] = m / m.max()
+    head, sums = np.full(n, 1 / n), np.zeros(n)
+    for k, (lo, hi) in enumerate(pieces):
+        scores, lettered, cuts = word_scores(model, buf[lo:hi], np.array([0, hi - lo]))
+        sums += chain_marginals(scores, cuts, model.moves, model.start, head=head[None] if k else None, tail=tails[k][None])[lettered].sum(0)
+        head = head @ carries[k]
+        head /= head.sum()
+    return sums
+
+
+def _training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trainable: Column) -> list[tuple[str, str]]:
+    """A sample of the distinct labelled texts, by hash: about SAMPLE for each language, whole."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), trainable.alias("ok")).where("ok and lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(SAMPLE << 20) // n)))).otherwise(share)
-    picked = rows.where("text is not null").where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < share).select("lang", "text", F.xxhash64("text").alias("h"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, out = [], []
-            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.encode().split()
-                for k in range(WINDOWS):
-                    at = abs(h + k * 7919) % max(1, len(words) - WORDS + 1)
-                    if k == 0 or len(words) > WORDS:
-                        langs.append(lang)
-                        out.append(b" ".join(w[:WORD_BYTES] for w in words[at : at + WORDS]).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], ["lang", "words"])
-
-    got = picked.mapInArrow(cut, "lang string, words string").limit(2 * SAMPLE * WINDOWS * len(counts)).collect()
-    return sorted((r["lang"], r["words"]) for r in got)
+    # copies have one hash, so that a common text counts once
+    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < share).select("lang", "text").distinct()
+    return sorted((r["lang"], r["text"]) for r in picked.collect())
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -321,9 +418,10 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf | None:
-    """The model of the labelled documents whose crc32(id) mod 4 is not 2."""
+    """The model of the labelled documents whose crc32(id) mod 4 is not 2; None if no label or no word is left. Rows with a null
+    id, text or label are not learned from, copies of a text count once, and texts are learned from whole, however long."""
     known = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
-    return train(_training_windows(docs, id_col, text_col, lang_col, known))
+    return train(_training_texts(docs, id_col, text_col, lang_col, known))
 
 
 def predict(docs: DataFrame, model: Crf | None, text_col: str, pred: str, score: str) -> DataFrame:
@@ -355,8 +453,9 @@ def predict(docs: DataFrame, model: Crf | None, text_col: str, pred: str, score:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (mean probability of the predicted language, 0 for und).
 
-    Texts that are null or without a letter are "und"; so are all if there is nothing to learn from. Null ids are neither
-    held out nor learned from. Repeated rows are predicted one by one; other columns are not read.
+    Texts that are null, empty or without a letter are "und"; so are all if there is nothing to learn from. Very long texts
+    are read whole, in pieces. Of languages with equal means the first in order wins. Null ids are neither held out nor
+    learned from. Repeated rows are predicted one by one, alike, and learned from once; other columns are not read.
     """
     model = fit(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -364,7 +463,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those that have no language or a score under MIN_SCORE; all columns stay as they are."""
+    """docs without those that have no language or a score under MIN_SCORE; all columns stay as they are, whatever their names.
+
+    Null, empty and letterless texts go, and all texts where nothing can be learned; repeated rows each stay or go
+    alike; null ids are judged like others.
+    """
     mark = "__lang"
     while mark in docs.columns:
         mark += "_"
