@@ -151,12 +151,21 @@ def test_each_kind_of_segment_finds_every_qualifying_pair_alone(kind):
 
 def test_allocation_follows_what_is_shared():
     """Whole segments where chance matches are rare; subsets and then one-deletion neighbourhoods as they grow."""
-    kinds = lambda rates: [J.allocation(n, n + n // 3, 0, 85, rates)[1:3] for n in (20, 60, 150, 300, 1000)]
-    assert all(v == 0 for v, _ in kinds(())[1:])
-    assert any(v and q for rates in RATES[1:] for v, q in kinds(rates))
+    kinds = lambda rates: [J.allocation(n, n + max(1, n // 3), 0, 85, rates)[1:3] for n in (10, 18, 40, 150, 300, 1000)]
+    assert all(v == 0 for v, _ in kinds(())[3:])
+    assert any(v and q for rates in RATES for v, q in kinds(rates))
     assert any(v and not q for v, q in kinds(RATES[2]))
 
 
+def test_signatures_stay_in_proportion():
+    """However much is shared: about as many as agreements are needed."""
+    rng = np.random.default_rng(0)
+    for n in (150, 400, 1200):
+        need = J.most_differences(n) + 1
+        own = [np.mean([len(J._signatures(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), k, J.allocation(n, n + n // 4, 0, 85, rates), 0)[0]) for k in range(5)]) for rates in RATES]
+        assert max(own) <= 1.45 * 1.25 * need + 12
+
+
 def test_sets_of_one_shingle_have_a_signature_of_their_own():
     for rates in RATES:
         found = [J.signatures(np.array([k], np.uint64), 85, rates) for k in range(200)]

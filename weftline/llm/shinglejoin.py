@@ -53,10 +53,13 @@ PROBES = (1, 2, 4, 8, 16)
 LEAST = (1, 2, 3, 4, 5, 6)
 #: Chance matches of a signature of one element that are assumed beside the counted ones, and the factor by which each further
 #: element of LEAST lessens them: one segment of a band is a small sample, and a passage that many texts share may miss it.
-ASSUMED, LESSENED = 0.5, 0.15
+ASSUMED, LESSENED = 2.0, 0.15
 #: What a signature that another set shares by chance costs, next to one that none shares: it is written, paired and compared.
 MATCH_COST = 12.0
-#: What an empty signature costs: it is the same for all sets of a band.
+#: Signatures that a set may have on average, for each agreement that its band needs, and beside those: what the join
+#: shuffles stays in proportion to its input, however much is shared. It is a matter of cost alone and loses no pair.
+MOST, FREE = 1.45, 12
+#: What an empty signature costs, for each match of a signature of one element: it is the same for all sets of a band.
 EMPTY_COST = 1000.0
 #: Words of 64 bits in a set's parity bitmap.
 PARITY = 8
@@ -93,7 +96,9 @@ def _match_rate(rates: Rates, size: float, covered: float, least: int) -> float:
     if not table:
         return assumed
     near = min(table, key=lambda k: (abs(k - log2(max(1.0, size))), k))
-    return assumed + float(np.exp(np.interp(log(max(covered, 0.1)), np.log(PROBES), np.log(np.array([r[least - 1] for r in table[near]]) + 1e-9))))
+    counted = np.array([r[least - 1] for r in table[near]])
+    chance = np.maximum(0.0, counted - counted[-1])  # what the largest segments share are near copies, which any plan meets
+    return assumed + float(np.exp(np.interp(log(max(covered, 0.1)), np.log(PROBES), np.log(chance + 1e-9))))
 
 
 def _over(mean: float, at_most: int) -> float:
@@ -111,15 +116,15 @@ def allocation(low: int, high: int, level: int, percent: int = PERCENT, rates: R
     """(k, v, q, t, reserve) for sets of sizes low to high - 1 as the smaller side: k whole segments, v segments of value two,
     their parts (0: one-deletion neighbourhoods), the least elements of a signature, and the value that smaller ones may take away.
 
-    The cost of a plan is its signatures for a set of the middle size, plus MATCH_COST for each of their measured chance
+    The cost of a plan, of those that MOST and FREE admit, is its signatures for a set of the middle size, plus MATCH_COST for each of their measured chance
     matches, plus the next level's cost times the chance that the set must move on.
     """
-    return _cheapest(low, high, level, percent, rates)[1]
+    return _cheapest(low, high, level, percent, rates)[2]
 
 
 @lru_cache(maxsize=None)
-def _cheapest(low: int, high: int, level: int, percent: int, rates: Rates) -> tuple[float, tuple[int, int, int, int, int]]:
-    """The cost of the cheapest plan, and the plan."""
+def _cheapest(low: int, high: int, level: int, percent: int, rates: Rates) -> tuple[float, float, tuple[int, int, int, int, int]]:
+    """The cost and the expected signatures of the cheapest plan, from this level on, and the plan."""
     need = max(most_differences(s, percent) for s in range(max(low, high - 30), high)) + 1
     size = max(1.0, (low + high - 1) / 2)
     if level == LEVELS - 1:
@@ -127,8 +132,9 @@ def _cheapest(low: int, high: int, level: int, percent: int, rates: Rates) -> tu
         late = v + size
         # empty signatures are indexed here, and every set that has one shares it
         empty = v * exp(-size / v) * (1 + size / v)
-        return late * (1 + MATCH_COST * _match_rate(rates, size, max(0.1, size / v - 1), 1)) + EMPTY_COST * empty, (0, v, 0, 0, 0)
-    onward = _cheapest(low, high, level + 1, percent, rates)[0]
+        cost = late * (1 + MATCH_COST * _match_rate(rates, size, max(0.1, size / v - 1), 1)) + EMPTY_COST * empty * max(1.0, _match_rate(rates, size, 1, 1))
+        return cost, late, (0, v, 0, 0, 0)
+    onward, more, _ = _cheapest(low, high, level + 1, percent, rates)
     best = None
     for spare in sorted({0, 1, 2, 3, 4, 6, 8, *(round(need * f / 100) for f in (3, 5, 7, 10, 13, 17, 22, 30, 40, 60, 90))}):
         spare += level * max(1, need // 4)
@@ -145,10 +151,12 @@ def _cheapest(low: int, high: int, level: int, percent: int, rates: Rates) -> tu
                     small_late = v * min(1.0, q * (1 - _over(covered, t - 1)) if q else 1 - _over(2 * unit, t))
                     unmet = _over(small + 2 * small_late, spare) if v == 0 else _over(small / 2 + small_late, spare // 2)
                     matches = k * _match_rate(rates, size, unit, t) + late * _match_rate(rates, size, covered, t)
-                    cost = k + late + MATCH_COST * matches + unmet * onward
-                    if best is None or cost < best[0]:
-                        best = (cost, (k, v, q, t, spare))
-    return best
+                    rows = k * (_over(unit, t - 1) if total > 1 else float(low >= t)) + late * _over(covered, t - 1)
+                    cost, rows = rows + MATCH_COST * matches + unmet * onward, rows + unmet * more
+                    over = max(0.0, rows - (MOST + level) * need - FREE)
+                    if best is None or (over, cost) < best[0]:
+                        best = ((over, cost), rows, (k, v, q, t, spare))
+    return best[0][1], best[1], best[2]
 
 
 _ELEMENT = np.uint64(0x5851F42D4C957F2D)
