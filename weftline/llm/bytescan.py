@@ -6,6 +6,7 @@ Python object is made for each word. All separators used here are ASCII, so byte
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,13 @@ import pyarrow.compute as pc
 #: Bytes of text that are hashed at once; bounds the memory of the temporary arrays (about 40 bytes for each).
 BLOCK = 1 << 20
 #: Bytes of text that one slice of a batch may hold (a longer document makes a slice of its own).
-SLICE = 3 << 20
+SLICE = 1 << 20
+
+try:  # where the C library has it
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -116,6 +123,14 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Itera
         lo, hi = int(offsets[i]), int(offsets[j])
         yield batch.slice(i, j - i), data[lo:hi], offsets[i : j + 1] - lo, present[i:j]
         i = j
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker is kept for later tasks, beside which its share would stay taken."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def gather(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
