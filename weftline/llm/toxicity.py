@@ -3,9 +3,13 @@
 Confirmed toxic texts are the positives and any texts of the training folds the unlabelled; labels of 0 are used for the
 class prior only. Linear classifiers over the presence of features minimise the non-negative risk: the prior times the
 positives' loss, plus the unlabelled texts' loss as negatives less the prior times the positives' loss as
-negatives, which is held at zero or above (Kiryo et al., 2017). Words, and beginnings of longer words (for languages that
-build words from stems), each as present, as standing twice or as frequent for the text's length, are features if positives have them clearly more often than unlabelled texts. Several classifiers
-from resampled texts are averaged.
+negatives, which is held at zero or above (Kiryo et al., 2017). Features are words and beginnings of longer words (for
+languages that build words from stems), each as present, as standing twice or as frequent for the text's length. Those that
+positives have clearly more or clearly less often than unlabelled texts enter the model, and their weights are free.
+Several classifiers from resampled texts are averaged.
+
+Training rows are a bounded sample; their texts are read whole. Features are counted by aggregation on the executors, and
+only the chosen ones' places in each sampled text come to the driver.
 """
 
 from __future__ import annotations
@@ -19,19 +23,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bytescan
+from weftline.llm.lineage import Shelf
 
-#: Positives and unlabelled texts that are sampled at most, and the distinct features (by smallest hash) taken from each.
+#: About so many positives and unlabelled texts are sampled, by hash; copies of a text count once.
 POSITIVES = 2_000
 UNLABELLED = 4_000
-WORDS = 20_000
 #: Bytes of the beginnings that are features of longer words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature is frequent if it stands once in so many words at least.
 FREQUENT = 150
-#: A feature's word stands in so many positives at least, and its excess there has this z score.
+#: A feature stands in so many sampled texts at least, and the difference of its shares has this z score, up or down.
 LEAST_COUNT = 4
 LEAST_Z = 5.0
-FEATURES = 400
+#: The model's size: features with the largest z scores.
+FEATURES = 600
 CLASSIFIERS = 3
 STEPS = 800
 SEED = 5
@@ -105,54 +110,66 @@ def known_pairs(words: np.ndarray, found: list[np.ndarray], owners: list[np.ndar
     return np.concatenate(docs), np.concatenate(places)
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the features that positives have clearly more often."""
-    positive, unlabelled = list(positive), list(unlabelled)
-    words, counts = np.unique(np.concatenate(positive), return_counts=True)
-    words, counts = words[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
-    other, times = np.unique(np.concatenate(unlabelled), return_counts=True) if unlabelled else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    seen = np.zeros(len(words))
-    if len(other) and len(words):
-        at = np.minimum(np.searchsorted(other, words), len(other) - 1)
-        seen = np.where(other[at] == words, times[at], 0)
-    p, q = counts / len(positive), (seen + 0.5) / (len(unlabelled) + 1)
-    z = (p - q) / np.sqrt(q * (1 - np.minimum(q, 0.999)) * (1 / len(positive) + 1 / (len(unlabelled) + 1)))
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(words[best[z[best] >= LEAST_Z]])
-
-
-def nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of one linear classifier under the non-negative risk with the sigmoid loss, by Adam."""
+def z_score(positive: Column, unlabelled: Column, n_positive: int, n_unlabelled: int) -> Column:
+    """How far a feature's share of the positives lies over its share of the unlabelled texts, in standard errors."""
+    p, q = positive / n_positive, (unlabelled + 0.5) / (n_unlabelled + 1)
+    return (p - q) / F.sqrt(q * (1 - F.least(q, F.lit(0.999))) * (1 / n_positive + 1 / (n_unlabelled + 1)))
+
+
+def select(texts: DataFrame, n_positive: int, n_unlabelled: int) -> np.ndarray:
+    """Sorted hashes of the features of texts (features as bytes of 64-bit hashes, positive, unlabelled) that positives have clearly
+    more or less often: counted within each batch, then by one aggregation."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(b, np.uint64) for b in batch.column(0).to_pylist()]
+            if not lists:
+                continue
+            found, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            sizes = [len(x) for x in lists]
+            sums = [np.bincount(inverse, np.repeat(np.asarray(batch.column(k).to_numpy(zero_copy_only=False), float), sizes), minlength=len(found)).astype(np.int64) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, sums)], ["feature", "p", "u"])
+
+    counts = texts.select("features", "positive", "unlabelled").mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    scored = counts.where(F.col("p") + F.col("u") >= LEAST_COUNT).withColumn("z", F.abs(z_score(F.col("p"), F.col("u"), n_positive, n_unlabelled))).where(F.col("z") >= LEAST_Z)
+    chosen = scored.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    return np.sort(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
+
+
+def nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias of one linear classifier under the non-negative risk with the sigmoid loss, by Adam. Weights start
+    from the log ratios of the features' shares and are drawn back to them."""
     d = x_pos.shape[1]
-    w = np.concatenate([np.full(d, 1.0), [-1.0]])
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    pos, unl = np.c_[x_pos, np.ones(len(x_pos))], np.c_[x_unl, np.ones(len(x_unl))]
+    p, q = (x_pos.sum(0) + 0.5) / (len(x_pos) + 1), (x_unl.sum(0) + 0.5) / (len(x_unl) + 1)
+    w = np.append(np.clip(np.log(p / q), -1, 1), -1.0).astype(np.float32)
+    first = w.copy()
+    m, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
+    pos, unl = (np.c_[x, np.ones(len(x))].astype(np.float32) for x in (x_pos, x_unl))
     for t in range(1, steps + 1):
         sp, su = 1 / (1 + np.exp(-np.clip(pos @ w, -50, 50))), 1 / (1 + np.exp(-np.clip(unl @ w, -50, 50)))
         # loss of a positive is 1 - s, of a negative s
         slope_p, slope_u = sp * (1 - sp), su * (1 - su)
         negative = su.mean() - prior * sp.mean()
-        grad_negative = unl.T @ slope_u / len(unl) - prior * (pos.T @ slope_p) / len(pos)
-        grad = -prior * (pos.T @ slope_p) / len(pos) + grad_negative if negative >= 0 else -grad_negative
-        grad[:-1] += decay * w[:-1] / max(1, d)
+        by_pos = prior * (slope_p @ pos) / len(pos)
+        grad_negative = (slope_u @ unl) / len(unl) - by_pos
+        grad = grad_negative - by_pos if negative >= 0 else -grad_negative
+        grad[:-1] += decay * (w[:-1] - first[:-1]) / max(1, d)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        np.maximum(w[:-1], 0, out=w[:-1])  # a feature of positives never speaks against
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(float), float(w[-1])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Toxic:
-    """Classifiers of distinct word hashes. Without positives or telling words the score is the prior."""
-    if not positive or not unlabelled or not 0 < prior < 1:
+def train(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Toxic:
+    """Classifiers over the sorted features ``words``; texts are places in them. Without texts of both kinds or features the
+    score is the prior."""
+    if not len(words) or not positive or not unlabelled or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Toxic(np.zeros(0, np.uint64), np.zeros((1, 0)), np.array([np.log(p / (1 - p))]))
-    # copies of one text would make all its words telling
-    words = select(*({t.tobytes(): t for t in texts}.values() for texts in (positive, unlabelled)))
 
     def matrix(texts: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(texts), len(words)))
+        x = np.zeros((len(texts), len(words)), np.float32)
         for k, t in enumerate(texts):
-            x[k, np.searchsorted(words, np.intersect1d(words, t, assume_unique=True))] = 1
+            x[k, t] = 1
         return x
 
     x_pos, x_unl = matrix(positive), matrix(unlabelled)
@@ -171,18 +188,26 @@ def fold(id_col: str, parts: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxic:
-    """The model of the documents and labels whose crc32(id) mod 5 is not 0."""
+    """The model of the documents and labels whose crc32(id) mod 5 is not 0.
+
+    Null ids, texts and labels are not learned from; of an id with several labels each counts for the prior and any 1 makes
+    its documents positives. Copies of a text count once; texts are read whole, however long. Without a toxic label, a
+    document or a telling feature all scores are the prior.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(fold("id") != 0).where("y in (0, 1)")
     total = known.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     n, toxic = total["n"], total["toxic"] or 0
     prior = toxic / n if n else 0.0
+    none = np.zeros(0, np.uint64)
     if not toxic:
-        return train([], [], prior)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(fold("id") != 0)
+        return train(none, [], [], prior)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(fold("id") != 0).where("text is not null")
     many = rows.select("id").count()
-    # at most POSITIVES ids, so the side is small
-    chosen = known.where("y = 1").where(_below(F.col("id"), POSITIVES, toxic)).select("id").distinct().limit(2 * POSITIVES).withColumn("positive", F.lit(True))
-    picked = rows.join(F.broadcast(chosen), "id", "left").where(F.col("positive") | _below(F.col("id"), UNLABELLED, many)).select("text", F.coalesce("positive", F.lit(False)).alias("positive"), _below(F.col("id"), UNLABELLED, many).alias("unlabelled"))
+    # ids by hash, about POSITIVES of them
+    chosen = known.where("y = 1").where(_below(F.col("id"), POSITIVES, toxic)).select("id").distinct().withColumn("positive", F.lit(True))
+    flagged = rows.join(F.broadcast(chosen), "id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), _below(F.col("id"), UNLABELLED, many).alias("unlabelled"))
+    # copies of one text would make all its words telling
+    picked = flagged.where("positive or unlabelled").groupBy("text").agg(F.bool_or("positive").alias("positive"), F.bool_or("unlabelled").alias("unlabelled"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,23 +216,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 hashes, owner = np.concatenate(found), np.concatenate(owners)
                 hashes = hashes[np.argsort(owner, kind="stable")]
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
-                words = []
+                features = []
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     all_of = np.unique(np.concatenate(features_of(*np.unique(hashes[a:b], return_counts=True), n_words[k])))
-                    words.append(all_of[all_of > 0][:WORDS])
-                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in words], pa.binary()), part.column(1), part.column(2)], ["words", "positive", "unlabelled"])
+                    features.append(all_of[all_of > 0].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), part.column(1), part.column(2)], ["features", "positive", "unlabelled"])
+
+    texts = Shelf(docs.sparkSession).put(picked.mapInArrow(hashed, "features binary, positive boolean, unlabelled boolean"))
+    sizes = texts.agg(F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")).first()
+    if not sizes["p"] or not sizes["u"]:
+        return train(none, [], [], prior)
+    words = select(texts, sizes["p"], sizes["u"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.flatnonzero(np.isin(words, np.frombuffer(b, np.uint64), assume_unique=True)).astype(np.int16) for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out], pa.binary()), batch.column(1), batch.column(2)], ["places", "positive", "unlabelled"])
 
-    got = picked.mapInArrow(hashed, "words binary, positive boolean, unlabelled boolean").limit(3 * (POSITIVES + UNLABELLED)).collect()
-    got.sort(key=lambda r: (bytes(r["words"]), r["positive"]))
-    read = lambda r: np.frombuffer(bytes(r["words"]), np.uint64)
-    return train([read(r) for r in got if r["positive"]], [read(r) for r in got if r["unlabelled"]], prior)
+    got = [(bytes(r["places"]), r["positive"], r["unlabelled"]) for r in texts.mapInArrow(places, "places binary, positive boolean, unlabelled boolean").collect()]
+    got.sort()
+    read = lambda raw: np.frombuffer(raw, np.int16).astype(np.int64)
+    return train(words, [read(x) for x, p, _ in got if p], [read(x) for x, _, u in got if u], prior)
 
 
 def score(docs: DataFrame, model: Toxic, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null and empty texts have no words and get the score that the biases give. Null ids are not held out. Repeated rows
-    are scored one by one; other columns are not read.
+    Null and empty texts have no words and get the score that the biases give; very long ones are scored whole, each as
+    one slice. Null ids are not held out. Repeated rows are scored one by one, alike; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
