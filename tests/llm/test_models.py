@@ -260,6 +260,24 @@ def test_suffix_statistics_cover_all_rows(spark):
     assert len(got) == 800 and all((r["verdict"] == "block") == (r["page_id"] == 1) for r in got)
 
 
+def test_held_out_labels(spark):
+    """URLs that rules label, judged by trees that have not seen their fold."""
+    for pages, rules in ((spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), urlfilter.RULES), suffix_case(spark)):
+        found = {(r["ruling"], r["verdict"]): r["n"] for r in urlfilter.held_out_counts(pages, rules=rules).collect()}
+        right = sum(n for (a, b), n in found.items() if a == b)
+        print(found)
+        assert sum(found.values()) > 100 and right >= 0.9 * sum(found.values())
+
+
+def test_no_label_is_its_own_evidence(spark):
+    """Every labelled URL has a suffix of its own: the rates say nothing, and held-out verdicts follow the longer host alone."""
+    rows = [(None, f"http://{'q' * (3 + 20 * (k % 2))}.s{k}x/{'ab'[k % 2]}/p") for k in range(120)]
+    rules = tuple((("allow", "block")[k % 2], f"s{k}x/{'ab'[k % 2]}/") for k in range(120))
+    judge = urlfilter.Judge(spark.createDataFrame(rows, "page_id long, url string").select("url"), rules)
+    rates = judge.featured(judge.distinct, own_fold=True).select("b_suffix_rate").distinct().collect()
+    assert len(rates) == 1 and len(judge.featured(judge.distinct).select("b_suffix_rate").distinct().collect()) == 2
+
+
 def test_one_common_url_does_not_fill_the_sample(spark):
     pages, rules = suffix_case(spark)
     first = pages.where("page_id is null").orderBy(F.xxhash64("url")).first()["url"]

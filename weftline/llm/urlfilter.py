@@ -1,10 +1,12 @@
 """Operator 10 [native]: URL rules, then gradient-boosted trees on lexical features, all as DataFrame expressions.
 
 Allow and block rules (host, path prefix; a rule fits its host and all subdomains, the longest rule wins) come first.
-Every other URL is judged by boosted trees. The trees learn from labelled URLs, here those that a rule labels, against
-a background of other URLs that count as allowed with less weight. Each level of a tree is one aggregation of gradient
-histograms by (leaf, feature, bin) over a bounded sample, of which the driver sees only the histograms. Scoring is one
-expression.
+Every other URL is judged by boosted trees, which learn from the labelled URLs alone: those that a rule labels. Each level of
+a tree is one aggregation of gradient histograms by (leaf, feature, bin) over a bounded sample, of which the driver sees
+only the histograms. Scoring is one expression.
+
+Suffix statistics, and those of the path's first part, are counted over all rows: a suffix's share of them, and how many of
+its labelled ones are blocked. For a URL that the trees learn from, the latter leaves out all URLs of its own fold, so that no label is its own evidence.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 #: Distinct labelled URLs that the trees learn from at most, chosen by hash; each weighs as much as its rows.
 SAMPLE = 20_000
-#: Weight of a background URL (one that no rule labels) as an allowed one; as many are sampled.
-BACKGROUND = 0.5
+#: Folds of the labelled URLs, by the CRC of the URL.
+FOLDS = 5
 TREES = 10
 DEPTH = 3
 RATE = 0.4
@@ -41,13 +43,16 @@ BINS = {
     "f_depth": (1, 2, 3, 4, 6, 8),
     "f_labels": (1, 2, 3, 4, 5),
     "f_digit_ratio": (0.0, 0.05, 0.08, 0.1, 0.13, 0.16, 0.2, 0.3),
-    "f_entropy": (2.0, 2.4, 2.6, 2.8, 3.0, 3.2, 3.4, 3.6, 3.8, 4.0),
+    "f_entropy": (3.0, 3.4, 3.6, 3.8, 4.0, 4.1, 4.2, 4.3, 4.4, 4.6, 5.0),
+    "f_host_entropy": (2.0, 2.4, 2.6, 2.8, 3.0, 3.2, 3.4, 3.6, 3.8, 4.0),
     "f_params": (0, 1, 2, 3),
     "f_hyphens": (0, 1, 2, 3),
     "f_has_fragment": (0,),
     "f_path_suffix": (0, 1),
     "f_suffix_rate": (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95),
-    "f_suffix_count": (1, 10, 100, 1000, 10_000),
+    "f_suffix_share": (0.0001, 0.001, 0.01, 0.03, 0.1, 0.3),
+    "f_head_rate": (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95),
+    "f_head_share": (0.0001, 0.001, 0.01, 0.03, 0.1, 0.3),
 }
 
 
@@ -83,14 +88,26 @@ def suffix_of(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
+def head_of(path: Column) -> Column:
+    """The path's first part."""
+    return F.regexp_extract(path, "^/*([^/]*)", 1)
+
+
+#: Keys of the statistics.
+KEYS = ("suffix", "head")
+
+
+def entropy(text: Column) -> Column:
+    """Of the text's characters, in bits."""
+    n = F.greatest(F.length(text), F.lit(1)).cast("double")
+    share = lambda c: (F.length(text) - F.length(F.replace(text, c))) / n
+    return F.aggregate(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+
+
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
-    """Features of one URL. Entropy is that of the host's characters, in bits."""
+    """Features of one URL."""
     text = F.coalesce(url, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    chars = F.split(host, "")
-    n = F.greatest(F.length(host), F.lit(1)).cast("double")
-    share = lambda c: (F.length(host) - F.length(F.replace(host, c))) / n
-    entropy = F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     return {
         "f_length": F.length(text).cast("double"),
@@ -98,7 +115,8 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
         "f_depth": F.size(F.filter(F.split(path, "/"), lambda p: p != "")).cast("double"),
         "f_labels": F.size(F.split(host, r"\.")).cast("double"),
         "f_digit_ratio": F.length(F.regexp_replace(text, "[^0-9]", "")) / size,
-        "f_entropy": entropy,
+        "f_entropy": entropy(text),
+        "f_host_entropy": entropy(host),
         "f_params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))).cast("double"),
         "f_hyphens": (F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit("")))).cast("double"),
         "f_has_fragment": F.when(text.contains("#"), 1.0).otherwise(0.0),
@@ -189,47 +207,71 @@ def boost(rows: DataFrame, features: list[str], label: str, weight: str, trees:
     return start, forest
 
 
+def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """pages (url, ..) with host, path, rule, ruling (the rule's verdict), suffix, head and fold."""
+    url = F.col("url")
+    ruled = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    return ruled.withColumns({"ruling": verdict_of(F.col("rule"), rules), "suffix": suffix_of(F.col("host")), "head": head_of(F.col("path")), "fold": F.crc32(F.coalesce(url, F.lit("")).cast("binary")) % FOLDS})
+
+
+class Judge:
+    """Suffix statistics and trees learned from the labelled URLs of a table. without: a fold that nothing is learned from."""
+
+    def __init__(self, pages: DataFrame, rules=RULES, sample: int = SAMPLE, without: int | None = None):
+        """pages: (url). Without labelled URLs of both kinds the trees give the only label there is, or allow."""
+        shelf = Shelf(pages.sparkSession)
+        # each URL once, weighing as much as its rows
+        self.distinct = shelf.put(with_rules(shelf.put(pages.groupBy("url").agg(F.count("*").alias("times"))), rules).withColumn("label", (F.coalesce("ruling", F.lit("")) == "block").cast("int")))
+        learned = F.col("rule").isNotNull() & (F.lit(True) if without is None else F.col("fold") != without)
+        known = F.when(learned, F.col("times")).otherwise(0)
+        blocked = known * F.col("label")
+        by_fold = [F.sum(F.when(F.col("fold") == k, c).otherwise(0)).alias(f"{n}{k}") for k in range(FOLDS) for n, c in (("known", known), ("blocked", blocked))]
+        total = self.distinct.agg(F.sum("times")).first()[0] or 1
+        self.statistics = {}
+        for key in KEYS:  # of all rows
+            counts = shelf.put(self.distinct.groupBy(key).agg((F.sum("times") / F.lit(total)).alias(f"f_{key}_share"), F.sum(known).alias("known"), F.sum(blocked).alias("blocked"), *by_fold))
+            self.statistics[key] = small_side(counts)
+        # a bounded sample by hash of the URL, for growing the trees alone
+        examples = self.distinct.where(learned).orderBy(F.xxhash64("url"), "url").limit(sample)
+        self.features = [f"b{f[1:]}" for f in BINS]
+        training = shelf.put(self.featured(examples, own_fold=True).groupBy(*self.features, "label").agg(F.sum("times").cast("double").alias("weight")).coalesce(1))
+        start, forest = boost(training, self.features, "label", "weight")
+        self.margin = reduce(lambda a, b: a + b, [_tree(t) for t in forest], F.lit(start))
+
+    def featured(self, df: DataFrame, own_fold: bool = False) -> DataFrame:
+        """df (see with_rules) with its binned features; own_fold: rates of the statistics leave out the row's fold."""
+        less = lambda n: F.element_at(F.array(*[F.col(f"{n}{k}") for k in range(FOLDS)]), F.col("fold").cast("int") + 1) if own_fold else F.lit(0)
+        rate = (F.coalesce(F.col("blocked") - less("blocked"), F.lit(0)) + 1) / (F.coalesce(F.col("known") - less("known"), F.lit(0)) + 2)
+        for key, counts in self.statistics.items():
+            joined = df.join(counts, key, "left").withColumns({f"f_{key}_rate": rate, f"f_{key}_share": F.coalesce(f"f_{key}_share", F.lit(0.0))})
+            df = joined.drop(*[c for c in counts.columns if c not in (key, f"f_{key}_share")])
+        raw = df.withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
+        return raw.withColumns({f"b{f[1:]}": _bin(f) for f in BINS}).drop(*BINS)
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """df (see with_rules) with the trees' score for every row, also of those that a rule decides."""
+        return self.featured(df).withColumn("score", _probability(self.margin)).drop(*self.features)
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (of the trees; null where a rule decides).
 
-    Null and malformed URLs have an empty host and path, fit no rule and are judged like others by their features.
-    Without labelled URLs of both kinds the trees give the only label there is, or allow. Repeated rows stay; other
-    columns of pages are not read.
+    Null, empty and malformed URLs have an empty host and path, fit no rule and are judged like others by their features;
+    very long ones are read whole. Of rules of one length the first in order of the text wins. Repeated rows stay and get
+    one verdict; null ids stay; of no pages there are no verdicts; other columns of pages are not read.
     """
-    shelf = Shelf(pages.sparkSession)
-    url = F.col("url")
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-
-    def with_rules(df: DataFrame) -> DataFrame:
-        ruled = df.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-        return ruled.withColumn("ruling", verdict_of(F.col("rule"), rules)).withColumn("suffix", suffix_of(F.col("host")))
-
-    ruled = with_rules(base)
-    # each URL once, weighing as much as its rows
-    distinct = with_rules(shelf.put(base.groupBy("url").agg(F.count("*").alias("times"))))
-    # bounded samples by hash of the URL, for growing the trees alone
-    known = F.col("rule").isNotNull()
-    examples = distinct.select("url", "host", "path", "suffix", "times", known.alias("known"), (F.coalesce("ruling", F.lit("")) == "block").cast("int").alias("label"), (F.col("times") * F.when(known, 1.0).otherwise(BACKGROUND)).alias("weight"))
-    pick = lambda ruled_ones: examples.where(F.col("known") == ruled_ones).orderBy(F.xxhash64("url"), "url").limit(sample)
-    labelled = shelf.put(pick(True).union(pick(False)))
-    # of all rows' suffixes
-    suffixes = shelf.put(examples.groupBy("suffix").agg(F.sum("times").alias("suffix_count"), ((F.sum(F.col("label") * F.col("weight")) + 1) / (F.sum("weight") + 2)).alias("suffix_rate")))
-
-    side = small_side(suffixes)
-
-    def featured(df: DataFrame) -> DataFrame:
-        raw = df.join(side, "suffix", "left").withColumns(
-            lexical_features(F.col("url"), F.col("host"), F.col("path")) | {"f_suffix_rate": F.coalesce("suffix_rate", F.lit(0.5)), "f_suffix_count": F.coalesce(F.col("suffix_count").cast("double"), F.lit(0.0))}
-        )
-        return raw.withColumns({f"b{f[1:]}": _bin(f) for f in BINS}).drop(*BINS, "suffix_rate", "suffix_count")
-
-    features = [f"b{f[1:]}" for f in BINS]
-    training = shelf.put(featured(labelled).groupBy(*features, "label").agg(F.sum("weight").alias("weight")).coalesce(1))
-    start, forest = boost(training, features, "label", "weight")
-    margin = reduce(lambda a, b: a + b, [_tree(t) for t in forest], F.lit(start))
-    scored = featured(ruled).withColumn("score", F.when(F.col("rule").isNull(), _probability(margin)))
+    judge = Judge(base.select("url"), rules, sample)
+    scored = judge.scored(with_rules(base, rules)).withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruling", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow")).alias("verdict"), "score")
 
 
+def held_out_counts(pages: DataFrame, url_col: str = "url", rules=RULES, fold: int = 0) -> DataFrame:
+    """(ruling, verdict, n) of the distinct labelled URLs of a fold, judged by trees that have learned from the other folds alone."""
+    judge = Judge(pages.select(F.col(url_col).cast("string").alias("url")), rules, without=fold)
+    own = judge.scored(judge.distinct.where((F.col("fold") == fold) & F.col("rule").isNotNull()))
+    return own.groupBy("ruling", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow").alias("verdict")).agg(F.count("*").alias("n"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
