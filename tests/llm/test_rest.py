@@ -1,5 +1,6 @@
 """Embeddings, archives, quality rules and the pipeline against plain versions."""
 
+import gzip
 import hashlib
 import os
 import re
@@ -182,14 +183,38 @@ def test_hadamard():
 
 
 def test_chunk_framing():
-    for p in (b"", b"x", b"WARC/1.1\r\n" * 9, b"a WARC/1.1" * 5 + b"WARC/1.", os.urandom(20_000)):
-        framed = warc.chunked(p, 7)
-        assert b"WARC/1.1" not in framed and warc.unchunked(framed) == p
+    for p in (b"", b"x", b"WARC/1.1\r\n" * 9, os.urandom(20_000)):
+        assert warc.unchunked(warc.chunked(p, 7)) == p
     for bad in (b"", b"5\r\nab\r\n", b"3\r\nabcde\r\n0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.unchunked(bad)
 
 
+def test_records_are_framed_by_their_length():
+    bodies = [b"", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 9, b"\r\n\r\n", os.urandom(300_000), b"x" * 300_000]
+    records = [warc.record("response", f"n{k}", b) for k, b in enumerate(bodies)]
+    records[1] = records[1].replace(b"WARC/1.1", b"WARC/1.0", 1)
+    whole = b"".join(records)
+    for raw in (whole, gzip.compress(whole), b"".join(map(warc.member, records)), warc.SEPARATOR.encode("latin-1").join(map(warc.member, records))):
+        assert [b for _, b in warc.parse_records(warc.inflated(raw))] == bodies
+    assert [b for _, b in warc.parse_records(bytes([c]) for c in b"".join(records[:3]))] == bodies[:3]
+    for bad in (whole[:-400], b"junk\r\n\r\n", records[0] + b"x"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records([bad]))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(warc.inflated(warc.member(records[3])[:-9])))
+
+
+def test_other_archives(spark, tmp_path):
+    """An archive as other tools write them: a member for each record, no separators, kinds that are no pages, bare HTTP bodies."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nWARC/1.1\r\nbody"
+    records = [warc.record("warcinfo", "i", b"software: x"), warc.record("request", "q", b"GET / HTTP/1.1\r\n\r\n"), warc.record("response", "r", http, WARC_Payload_Digest="sha1:ABC")]
+    for name, raw in (("a.warc.gz", b"".join(map(gzip.compress, records))), ("b.warc", b"".join(records)), ("c.data", b"".join(map(gzip.compress, records)))):
+        (tmp_path / name).write_bytes(raw)
+    got = warc.read_archives(spark, f"file://{tmp_path}", with_payload=True).collect()
+    assert [bytes(r["payload"]) for r in got] == [b"WARC/1.1\r\nbody"] * 3 and {r["page_id"] for r in got} == {None}
+
+
 def pages(spark):
     big = "é" * 30_000 + "WARC/1.1\r\n" + "<p>" * 9000
     html = ["x" * 200, "x" * 200, "short", "short", None, "", big, big, "a WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 20, "\r\n" * 100, "日本" * 40, "y" * 100, "y" * 100, "y" * 99, "y" * 99]
@@ -213,6 +238,17 @@ def test_archives(spark, tmp_path):
     assert sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in got), key=key) == sorted(want, key=key)
     records = warc.read_records(spark, folder)
     assert records.where("type = 'continuation'").count() > 10
+    named = {r["name"] for r in records.where("type = 'response'").collect()}
+    revisits = records.where("type = 'revisit'").collect()
+    assert revisits and {r["target"] for r in revisits} - {None} <= named and records.select("name").distinct().count() == records.count()
+    # the files are gzip members to any other reader, and Spark splits them anywhere
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*"))
+    assert sum(1 for _ in warc.parse_records([raw])) == records.count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    try:
+        assert warc.read_records(spark, folder).groupBy("type").count().orderBy("type").collect() == records.groupBy("type").count().orderBy("type").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_archive_errors(spark, tmp_path):
@@ -221,6 +257,11 @@ def test_archive_errors(spark, tmp_path):
     records = warc.read_records(spark, folder)
     with pytest.raises(Exception, match="do not add up"):
         warc.reassemble(records.where("segment is null or segment <> 2")).select("block").collect()
+    lone = warc.record("revisit", "v", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Payload_Digest="sha256:ab", X_Refers_To_Page=5, WARC_Refers_To="<none>")
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.warc").write_bytes(lone)
+    with pytest.raises(Exception, match="does not find its response"):
+        warc.read_archives(spark, f"file://{tmp_path}/v").collect()
     warc.write_archives(pages(spark).limit(0), f"{folder}0")
     assert warc.read_archives(spark, f"{folder}0").count() == 0
 
