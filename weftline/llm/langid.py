@@ -72,7 +72,7 @@ def gram_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     place[to[:-1]] = place[to[1:] - 1] = False
     marked[place] = body.astype(np.uint64) + np.uint64(3)
     marked[to[:-1]], marked[to[1:] - 1] = 1, 2
-    word = np.repeat(np.arange(len(starts)), sizes)
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
     found, owner = [], []
     rolling = np.zeros(len(marked), np.uint64)
     with np.errstate(over="ignore"):
@@ -85,7 +85,7 @@ def gram_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
                 fit = np.flatnonzero(word[:m] == word[n - 1 :])
                 if n in AFFIXES:
                     fit = fit[(marked[fit] == 1) | (marked[fit + n - 1] == 2)]
-                found.append((bytescan.mix(rolling[fit] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(HASHED - 1)).astype(np.int64))
+                found.append((bytescan.mix(rolling[fit] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(HASHED - 1)).astype(np.int32))
                 owner.append(word[fit])
     found, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -268,11 +268,15 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     starts, ends = bytescan.spans(buf, offsets, bytescan.WORD_SEPARATORS)
     cuts = bytescan.document_of(starts, offsets)
-    hashes = bytescan.span_hashes(buf, starts, ends)
-    features, at = gram_features(buf, starts, ends)
-    known, times = np.unique(hashes, return_counts=True)
+    # features of each distinct word
+    known, seen_at, word, times = np.unique(bytescan.span_hashes(buf, starts, ends, 1 << 15), return_index=True, return_inverse=True, return_counts=True)
+    parts = [gram_features(buf, starts[seen_at[k : k + 4096]], ends[seen_at[k : k + 4096]]) for k in range(0, len(known), 4096)]
+    features = np.concatenate([f for f, _ in parts])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
+    word = word.ravel().astype(np.int32)
     lexicon = known[times >= LEXICON_COUNT]
-    lexical = _lexicon_rows(lexicon, hashes)
+    lexical = _lexicon_rows(lexicon, known)
+    del buf, raw, starts, ends, parts
     n = len(labels)
     model = Crf(labels, np.zeros((HASHED, n)), lexicon, np.zeros((len(lexicon), n)), np.eye(n), np.zeros(n))
     gold_of = {lang: i for i, lang in enumerate(labels)}
@@ -297,17 +301,17 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
                 if rng.random() < 0.5:
                     break
             if len(now) >= length:
-                sequences.append((now[:length], gold[:length]))
+                sequences.append((np.array(now[:length], np.int32), np.array(gold[:length], np.int16)))
                 now, gold = [], []
         if now:
-            sequences.append((now, gold))
+            sequences.append((np.array(now, np.int32), np.array(gold, np.int16)))
         for k in range(0, len(sequences), BATCH):
             batch = sequences[k : k + BATCH]
-            flat = np.concatenate([np.array(s) for s, _ in batch])
-            y = np.concatenate([np.array(g) for _, g in batch])
+            flat = np.concatenate([s for s, _ in batch])
+            y = np.concatenate([g for _, g in batch]).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum([len(s) for s, _ in batch])])
-            feats, fat = bytescan.gather(at, features, flat)
-            lex = lexical[flat]
+            feats, fat = bytescan.gather(at, features, word[flat])
+            lex = lexical[word[flat]]
             emit = _scores(model, feats, fat, lex)
             delta, grad_moves, grad_start, _ = gradients(emit, y, bounds, model.moves, model.start)
             scale = 1 / len(batch)
@@ -325,6 +329,7 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
             step(model.moves, sums[2], slice(None), grad_moves * scale, 0.1)
             step(model.start, sums[3], slice(None), grad_start * scale, 0.1)
     model.grams = model.grams.astype(np.float32)
+    bytescan.release()
     return model
 
 
