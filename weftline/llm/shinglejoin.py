@@ -61,6 +61,8 @@ MATCH_COST = 12.0
 MOST, FREE = 1.45, 12
 #: What an empty signature costs, for each match of a signature of one element: it is the same for all sets of a band.
 EMPTY_COST = 1000.0
+#: Names of sets that a task remembers, to pass on copies once.
+SEEN = 200_000
 #: Words of 64 bits in a set's parity bitmap.
 PARITY = 8
 
@@ -314,11 +316,13 @@ def _scan(rows: DataFrame, n_words: int, what: str, schema: str, percent: int =
     """One pass over (doc_id, text): 'names' (_NAMED), 'signatures' (key, node, sig, center) or 'sets' (node, n, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[int] = set()  # of late; copies that it has forgotten meet in the shuffle
         part_no = 0
         for batch in batches:
             for part, buf, offsets, _ in bytescan.text_slices(batch, "text"):
                 part_no += 1
+                if len(seen) > SEEN:
+                    seen.clear()
                 if what == "names":
                     names, sizes, segments, held = [], [], [], []
                     for s in document_sets(buf, offsets, n_words):
@@ -411,15 +415,16 @@ def component_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id (smallest linked doc_id, itself included).
 
-    Null and empty texts have empty sets and link with nothing. Rows with a null id get a null component. Repeated rows
-    and copies share a class. Other columns of docs are not read.
+    Null and empty texts have empty sets and link with nothing; very long texts are read whole. Rows with a null id get a
+    null component. Repeated rows and copies share a class; of no documents there are no rows. Other columns are not read.
     """
     return component_ids(*link_classes(docs, id_col, text_col, n_words, percent)).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without all but one row of each class: the row with the smallest doc_id (of repeated ids the first set and one
-    of its rows). Rows with empty sets or null ids link with nothing and stay. All columns stay as they are.
+    of its rows). Rows with empty sets or null ids link with nothing and stay; very long texts are compared whole. All
+    columns stay as they are, whatever their names.
     """
     shelf = Shelf(docs.sparkSession)
     rows, classes = link_classes(docs, id_col, text_col, n_words, percent, shelf)
@@ -464,3 +469,25 @@ def _name_rows(docs: DataFrame, id_col: str, text_col: str, name: str, n_words:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')) END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), low AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(documents.doc_id, coalesce(low.b, documents.doc_id)) AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN low ON low.a = documents.doc_id
+"""
