@@ -3,7 +3,7 @@
 Each table rotates unit vectors by three rounds of random signs and the fast Hadamard transform, and the hash of a
 rotation is the signed axis next to the vector; a table joins several such hashes. Multiprobing adds the buckets that
 the least certain second choices give. The number of tables follows from the hashes in a table and the dimension, so
-that the chance of a pair at the threshold to share a bucket does not depend on the number of vectors. Candidates of a bucket are compared by the signs of two more rotations, then
+that the chance of a pair at the threshold to share a bucket does not depend on the number of vectors. Candidates of a bucket are compared by the signs of more rotations, then
 verified by their cosine. Links exist only within the classes that verified links make, so each class is searched
 exhaustively in blocks and every vector's links are counted without listing the pairs.
 """
@@ -11,7 +11,7 @@ exhaustively in blocks and every vector's links are counted without listing the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, log
 
 import numpy as np
@@ -33,10 +33,15 @@ PROBES = ((), (0,), (1,), (0, 1))
 #: Shorter vectors are padded to this size, since few axes make few different rotations.
 LEAST_SIZE = 64
 SEED = 7
-#: Sign bits, of 128, in which vectors at the threshold may differ: the mean of 18.4 and five deviations.
-SKETCH_BITS = 38
-#: Vectors of a class that are compared in one block.
-BLOCK = 512
+#: Longs of sign bits in a sketch, and the bits of them in which vectors at the threshold may differ: the mean of 73.5 and five
+#: deviations.
+SKETCH = 8
+SKETCH_BITS = 113
+#: Components of the vectors of a class in one block, and vectors that are multiplied with it at once.
+BLOCK = 1 << 18
+STRIPE = 512
+#: Cosines this near the threshold are computed again, by one formula everywhere.
+DOUBT = 1e-9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -149,15 +154,23 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs of 64 sign bits of further rotations of each row."""
+def sketches(x: np.ndarray) -> list[np.ndarray]:
+    """Longs of 64 sign bits of further rotations of each row."""
     x = padded(x)
     d = x.shape[1]
-    out = []
-    for k in range(2):
-        bits = np.concatenate([rotate(x, _signs(d, 10_000 + 100 * k + j)) for j in range(-(-64 // d))], 1)[:, :64] > 0
-        out.append(np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64))
-    return out[0], out[1]
+    bits = np.concatenate([rotate(x, _signs(d, 10_000 + j)) for j in range(-(-64 * SKETCH // d))], 1)[:, : 64 * SKETCH] > 0
+    return list(np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64).T)
+
+
+def linked(x: np.ndarray, y: np.ndarray, cosine: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether cosine reaches the threshold; x[i] and y[j] are the unit rows of each entry. The order of a sum decides the last digits, so
+    entries in doubt are summed again in extended precision, the same way for candidates and within classes."""
+    near = cosine >= threshold
+    doubt = np.abs(cosine - threshold) < DOUBT
+    if doubt.any():
+        again = (x[i[doubt]].astype(np.longdouble) * y[j[doubt]]).sum(1)
+        near[doubt] = again.astype(float) >= threshold
+    return near
 
 
 def _units(values: pa.Array, at: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -222,21 +235,30 @@ def _named(vectors: DataFrame) -> DataFrame:
 
 
 def _with_units(vectors: DataFrame, schema: str, make) -> DataFrame:
-    """make(nodes, unit rows) of all comparable vectors, each direction once a task and length."""
+    """make(nodes, unit rows) of all comparable vectors, each direction once a batch and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
         for part_no, batch in enumerate(batches):
             for x, at in _by_length(batch.column(1)):
                 nodes, first = np.unique(_names(x), return_index=True)
-                new = ~np.isin(nodes, seen)
-                seen = np.concatenate([seen, nodes[new]])
-                if new.any():
-                    yield make(nodes[new], x[first[new]], part_no)
+                yield make(nodes, x[first], part_no)
 
     return vectors.mapInArrow(run, schema)
 
 
+def _stripe(part: np.ndarray, x: np.ndarray, k: int, block: np.ndarray, both: bool, times: np.ndarray, threshold: float) -> np.ndarray:
+    """The weighted number of rows of x linked with each of the rows from k on; of two blocks, those of the other block alone."""
+    cosine = part @ x.T
+    near = cosine >= threshold
+    i, j = np.nonzero(np.abs(cosine - threshold) < DOUBT)
+    near[i, j] = linked(part, x, cosine[i, j], i, j, threshold)
+    if both:
+        near &= block[k : k + len(part), None] != block[None, :]
+    else:
+        near[np.arange(len(part)), k + np.arange(len(part))] = False
+    return near @ times
+
+
 def _class_links(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): of members (cell, node, times, values, left, right) sorted by cell, the weighted number of
     linked nodes found in each cell. A cell holds one block of a class or two; pairs within a block count in the cell of the block alone."""
@@ -244,11 +266,11 @@ def _class_links(members: DataFrame, threshold: float) -> DataFrame:
     def links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         x, at = _units(rows["values"].combine_chunks(), len(rows["values"][0]))
         node, times, block = (rows[c].to_numpy()[at] for c in ("node", "times", "block"))
-        near = x @ x.T >= threshold
-        np.fill_diagonal(near, False)
-        if block.min() != block.max():
-            near &= block[:, None] != block[None, :]
-        return node, near @ times
+        both, found = block.min() != block.max(), np.zeros(len(x))
+        for k in range(0, len(x), STRIPE):
+            part = x[k : k + STRIPE]
+            found[k : k + STRIPE] = _stripe(part, x, k, block, both, times, threshold)
+        return node, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -279,7 +301,8 @@ def _class_links(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int | None = None, hashes: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id is its component's smallest).
 
-    Null and zero vectors, and those with null or non-finite components, link with nothing; vectors of different lengths do
+    Repeated ids each keep their own vector; of equal ids in a component all are kept or none. Very long vectors are read
+    whole. Other columns of vectors are not read; of no vectors there are no rows. Null and zero vectors, and those with null or non-finite components, link with nothing; vectors of different lengths do
     not link. Equal vectors link and share a class. Null ids stay null, with a null component, and are kept. hashes: hashes in a table; None takes three, or more
     for so many vectors that buckets of unrelated ones would hold over about 8. tables: None takes as many as RECALL needs with these hashes.
     """
@@ -297,32 +320,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return batch_stars(keys.ravel().view(np.int64), np.repeat(nodes, keys.shape[1]), part_no)
 
     def sketch_rows(nodes: np.ndarray, x: np.ndarray, part_no: int) -> pa.RecordBatch:
-        a, b = sketches(x)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(a), pa.array(b)], ["node", "s", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), *map(pa.array, sketches(x))], ["node", *bits])
 
+    bits = [f"s{k}" for k in range(SKETCH)]
     buckets = shelf.put(shared(_with_units(source, SIGNATURE_ROWS, signature_rows)))
     marked = buckets.select("node").union(buckets.select("center")).distinct()
-    short = shelf.put(_with_units(source, "node long, s long, t long", sketch_rows).join(marked, "node", "left_semi").dropDuplicates(["node"]))
+    short = shelf.put(_with_units(source, "node long, " + ", ".join(f"{b} long" for b in bits), sketch_rows).join(marked, "node", "left_semi").dropDuplicates(["node"]))
     distinct = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("smallest"), F.count("vec_id").alias("times"))
 
     def fits(a, b):
-        return F.bit_count(a("s").bitwiseXOR(b("s"))) + F.bit_count(a("t").bitwiseXOR(b("t"))) <= SKETCH_BITS
+        return reduce(lambda x, y: x + y, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in bits]) <= SKETCH_BITS
 
     def verify(close: DataFrame) -> DataFrame:
         wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
         holders = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("vec_id").alias("vec_id"))
         full = shelf.put(_named(source.join(holders.select("vec_id").distinct(), "vec_id", "left_semi")).join(holders, ["vec_id", "node"]).dropDuplicates(["node"]).select("node", "values"))
         u, v = (full.select(F.col("node").alias(k), F.col("values").alias(f"v{k}")) for k in "ab")
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
-        scaled = lambda k: F.transform(F.col(k), lambda z: z / F.array_max(F.transform(F.col(k), F.abs)))
-        both = close.join(u, "a").join(v, "b").where(F.size("va") == F.size("vb")).select("a", "b", scaled("va").alias("va"), scaled("vb").alias("vb"))
-        return both.where(dot(F.col("va"), F.col("vb")) >= threshold * F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb")))).select("a", "b")
+        both = close.join(u, "a").join(v, "b").where(F.size("va") == F.size("vb")).select("a", "b", "va", "vb")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                for size in np.unique(lengths):
+                    some = batch.take(pa.array(np.flatnonzero(lengths == size)))
+                    (x, _), (y, _) = (_units(some.column(c), int(size)) for c in (2, 3))
+                    at = np.arange(len(x))
+                    hit = pa.array(linked(x, y, (x * y).sum(1), at, at, threshold))
+                    yield pa.RecordBatch.from_arrays([some.column(0).filter(hit), some.column(1).filter(hit)], ["a", "b"])
+
+        return both.mapInArrow(near, "a long, b long")
 
     classes = bucket_classes(buckets, short, fits, verify, shelf)
     # search each class exhaustively: blocks of its members by hash, a cell for each pair of blocks
     sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = classes.join(sizes, "component").join(distinct, "node").where("smallest is not null").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dimensions = rows.where("node is not null").groupBy("node").agg(F.first("size").alias("dimension"))
+    blocks = F.ceil(F.col("size") / F.greatest(F.lit(256), F.lit(BLOCK) / F.col("dimension"))).cast("int")
+    placed = classes.join(sizes, "component").join(distinct, "node").join(dimensions, "node").where("smallest is not null").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     full = _named(source.where("vec_id is not null")).join(placed.select("node", "component", "times", "blocks", "block", F.col("smallest").alias("vec_id")), ["vec_id", "node"])
     cells = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -338,3 +371,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), n AS (
+  SELECT a, count(*) AS n_links FROM link GROUP BY a
+), c AS (
+  SELECT a, min(b) AS least FROM reach GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE, "op9_quality_rules": quality.ORACLE}
+    return {"op1_ngram_jaccard_join": shinglejoin.ORACLE, "op7_embedding_neardup": neardup.ORACLE, "op8_warc": warc.ORACLE, "op9_quality_rules": quality.ORACLE}
