@@ -49,6 +49,19 @@ def test_packing_equals_library(spark):
     assert packing.pack(empty(spark), WORD).count() == 0
 
 
+def test_batches_hold_one_length(spark):
+    rows = packing.pack(spark.read.parquet(SF).repartition(3), WORD).collect()
+    batches: dict = {}
+    for r in rows:
+        batches.setdefault(r["batch_id"], []).append(r)
+    full = 0
+    for held in batches.values():
+        size = held[0]["length"]
+        assert {r["length"] for r in held} == {size} and sorted(r["batch_row"] for r in held) == list(range(len(held))) and len(held) * size <= 4096
+        full += len(held) * size == 4096
+    assert full and len(batches) - full <= 3 * 12  # a task leaves one short batch a bucket
+
+
 def test_packing_chunk_cases(spark):
     texts = ["don't 's 'tis é!É́ x́ a≮ «h» 12ab34!? <|ENDOFTEXT|> a b ×÷ İstanbul Σς ①²", "x<|endoftext|>y", "a'b''s !'s ’s", "\x00a\x1cb", "naïve ﬁ ſ ŉ", "日本語text!日本"]
     check_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
@@ -117,7 +130,7 @@ def test_token_counts(spark, rule):
         got.setdefault(r["doc_id"], {})[r["section"]] = r
     for d in docs.collect():
         if not d["text"]:
-            assert d["doc_id"] not in got
+            assert [tuple(r)[1:] for r in got[d["doc_id"]].values()] == [(0, 0, 0, 0.0, 0, 0)]
             continue
         counts, crossing = plain_counts(d["text"], rule)
         rows = [got[d["doc_id"]][k] for k in range(len(got[d["doc_id"]]))]
@@ -127,6 +140,26 @@ def test_token_counts(spark, rule):
 
 def test_token_counts_edges(spark):
     assert tokencount.count_tokens(empty(spark), RANKS, P.PATTERN).count() == 0
-    assert tokencount.count_tokens(odd_documents(spark), RANKS, P.PATTERN).where(F.col("doc_id").isNull()).count() == 1
+    assert tokencount.count_tokens(odd_documents(spark), RANKS, P.PATTERN).where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_field_counts(spark):
+    """Fields of one document, empty and null ones included, against the tokens of the whole looked at one by one."""
+    rows = [(1, "A title", "Some text,\nand more.", "x"), (2, None, "only text", ""), (3, "", "", None), (4, "日本", "é🎉", "ß"), (None, "t", "u", "v"), (1, "A title", "Some text,\nand more.", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string, field string")
+    got = tokencount.count_field_tokens(docs, ["title", "body", "field"], RANKS, P.PATTERN, rule="first").collect()
+    coder, want = tokencount.RankBpe(RANKS, P.PATTERN).coder, []
+    for i, *fields in rows:
+        parts = [(f or "") + ("\n" if k < 2 else "") for k, f in enumerate(fields)]
+        owner = [k for k, p in enumerate(parts) for _ in p.encode()]
+        counts, at, whole = [0, 0, 0], 0, "".join(parts)
+        for t in coder.encode_ordinary(whole):
+            counts[owner[at]] += 1
+            at += len(coder.decode_single_token_bytes(t))
+        want += [(i, n, float(c), len(p), sum(counts)) for n, c, p in zip(("title", "body", "field"), counts, parts, strict=True)]
+    assert sorted(((r["doc_id"], r["field"], r["n_tokens"], r["length"], r["doc_tokens"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_unknown_rule(spark):
     with pytest.raises(ValueError):
         tokencount.count_tokens(empty(spark), RANKS, P.PATTERN, rule="none")

@@ -1,13 +1,14 @@
 """Operator 2: token counts by section, attributed by offsets.
 
 A document is encoded whole, once. The bytes of each token give its character span, which is joined with the spans of
-the document's sections; a token that crosses a border is allotted by an explicit rule.
+the document's sections, or of the fields that it was put together from; a token that crosses a border is allotted by an
+explicit rule.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +76,18 @@ def attribute(buf: np.ndarray, token_ends: np.ndarray, borders: np.ndarray, rule
     return counts, touched
 
 
-def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sections: Callable[[np.ndarray], np.ndarray] = line_sections, rule: str = "most") -> DataFrame:
+def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sections: Callable[[np.ndarray], np.ndarray] | str = line_sections, rule: str = "most") -> DataFrame:
     """One row per section: doc_id, section (from 0), start and length in characters, n_tokens, n_crossing, doc_tokens.
 
-    n_tokens is a double and whole but for the rule "split". Null and empty texts have no section and so no row. Null ids
-    stay null; repeated rows are counted one by one; other columns are not read.
+    sections: a function from a text's bytes to the character offsets of its borders, from 0 to its length, or the name of an
+    array column that holds them. n_tokens is a double and whole but for the rule "split". A null or empty text is one
+    empty section without tokens (with an array column: as many empty sections as it says); very long texts are encoded
+    whole. Of sections with equal shares of a token the first takes it ("most"). Null ids stay null; repeated rows are
+    counted one by one; other columns are not read; of no documents there are no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.col(sections).cast("array<long>").alias("borders")] if isinstance(sections, str) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (ranks, pattern) not in _coders:
@@ -94,7 +98,10 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
                 sizes, out = [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
                     own = buf[offsets[k] : offsets[k + 1]]
-                    ends, borders = coder.ends(text), sections(own)
+                    ends = coder.ends(text)
+                    borders = np.asarray(part.column(2)[k].as_py() or [0, 0], np.int64) if isinstance(sections, str) else sections(own)
+                    if len(borders) < 2:
+                        borders = np.array([0, 0])
                     counts, touched = attribute(own, ends, borders, rule)
                     n = len(counts)
                     sizes.append(n)
@@ -107,6 +114,17 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
     return rows.mapInArrow(run, "doc_id long, section long, start long, length long, n_tokens double, n_crossing long, doc_tokens long")
 
 
+def count_field_tokens(docs: DataFrame, fields: Sequence[str], ranks: str, pattern: str, id_col: str = "doc_id", between: str = "\n", rule: str = "most") -> DataFrame:
+    """One row per document and field: doc_id, field, start, length, n_tokens, n_crossing, doc_tokens, of documents that are
+    put together from their fields, with ``between`` after each but the last as part of it. Null fields are empty and have a row."""
+    texts = [F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(between if k < len(fields) - 1 else "")) for k, f in enumerate(fields)]
+    ends = [sum((F.length(t) for t in texts[1 : k + 1]), F.length(texts[0])) for k in range(len(texts))]
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.concat(*texts).alias("text"), F.array(F.lit(0), *ends).alias("borders"))
+    counts = count_tokens(whole, ranks, pattern, "doc_id", "text", "borders", rule)
+    names = F.array(*map(F.lit, fields))
+    return counts.withColumn("section", F.element_at(names, F.col("section").cast("int") + 1)).withColumnRenamed("section", "field")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
