@@ -23,7 +23,7 @@ def components(edges: DataFrame, shelf: Shelf, most: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges stay the same: the number of rounds grows with the
-    logarithm of the nodes. Smallest neighbours come from partial aggregation, and they are joined back to the edges, so
+    logarithm of the nodes (``most`` rounds; a RuntimeError beyond, never a wrong answer). Smallest neighbours come from partial aggregation, and they are joined back to the edges, so
     no node's neighbours are gathered in one place and a hot node's join can be split.
     """
     now = shelf.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -351,6 +351,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return both.mapInArrow(near, "a long, b long")
 
     classes = bucket_classes(buckets, short, fits, verify, shelf)
+    shelf.clear(rows, classes)
     # search each class exhaustively: blocks of its members by hash, a cell for each pair of blocks
     sizes = classes.groupBy("component").agg(F.count("*").alias("size"))
     dimensions = rows.where("node is not null").groupBy("node").agg(F.first("size").alias("dimension"))

@@ -402,6 +402,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return (100 * small >= percent * large) & (bits * (100 + percent) <= (100 - percent) * (small + large))
 
     classes = bucket_classes(buckets, sets.drop("wide", "elements"), fits, lambda pairs: _verified(pairs, sets, percent), shelf)
+    shelf.clear(named, classes)
     return rows, classes.withColumnRenamed("component", "class")
 
 
