@@ -78,3 +78,28 @@ def test_broken_root_warns_and_keeps(spark, tmp_path):
     found, failed = ignore.ignored_by_git(ignore.requests(ev, ok, 10))
     ignored, warnings = ignore.fail_open(found, failed)
     assert kept(ignore.drop_ignored(ev, ignored)) == ["a.log"] and warnings.count() == 1
+
+
+def test_native_rules_equal_git(spark, tmp_path):
+    """Ignore files with order, negation, anchors and folders, each path as git itself answers for it."""
+    lines = "# no\n*.log\n!keep.log\n/top.txt\nbuild/\n!build/a.py\ndoc/*.md\n!doc/b.md\n**/deep/x\nlib/**\n!lib/k\na/**/z\n\\!odd\n\\#odd\nsp ace\ntrail   \n[ab]?.c\n[!x]9\nq\\*r\n"
+    inner = "*.py\n!/b.py\n"
+    repo = tmp_path / "repo"
+    (repo / "sub").mkdir(parents=True)
+    subprocess.run(["git", "init", "-q", str(repo)], check=True)
+    (repo / ".gitignore").write_text(lines)
+    (repo / "sub" / ".gitignore").write_text(inner)
+    names = ["x.log", "keep.log", "d/keep.log", "d/x.log", "top.txt", "d/top.txt", "build", "build/", "build/a.py", "d/build/c", "doc/a.md", "doc/b.md", "d/doc/a.md", "deep/x", "d/e/deep/x", "deep/x/y", "lib", "lib/k", "lib/m/n", "a/z", "a/b/z", "a/b/c/z/t", "!odd", "#odd", "sp ace", "trail", "a1.c", "b/a1.c", "c1.c", "x9", "y9", "q*r", "qxr", "sub/a.py", "sub/b.py", "sub/d/b.py", "ok.txt"]
+    forced = ["tracked.log", "build2/t.log"]
+    for f in forced:
+        (repo / f).parent.mkdir(exist_ok=True)
+        (repo / f).write_text("x")
+        subprocess.run(["git", "-C", str(repo), "add", "-f", f], check=True)
+    names += forced
+    root = str(repo)
+    asked = spark.createDataFrame([(root, n.rstrip("/"), n, 0) for n in names], "repo_root string, rel_key string, asked string, chunk int")
+    rules = ignore.git_rules(root, lines)
+    rules = spark.createDataFrame(rules + ignore.git_rules(root, inner, "sub", len(rules)), ignore.GIT_RULE)
+    tracked = spark.createDataFrame([(root, f) for f in forced], "repo_root string, rel_key string")
+    got = {r["rel_key"] for r in ignore.ignored_by_rules(asked, rules, tracked).collect()}
+    assert got == ignore.git_check_ignore(root, names)

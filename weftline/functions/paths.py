@@ -77,6 +77,39 @@ def glob_to_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def git_glob_to_regex(pattern: str) -> str:
+    """A regular expression for a glob of an ignore file: * and ? stay within a folder, ** between slashes spans folders, a
+    backslash takes a character as it is. Anchors are not included."""
+    out, i, n = [], 0, len(pattern)
+    while i < n:
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+        elif pattern[i:] == "**" and i and pattern[i - 1] == "/":
+            out.append(".+")
+            i = n
+        elif c == "*":
+            while pattern[i : i + 1] == "*":
+                i += 1
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+            i += 1
+        elif c == "[" and (end := pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] in "!^"))) > 0:
+            other = pattern[i + 1] in "!^"
+            inner = pattern[i + 1 + other : end].replace("\\", "\\\\").replace("[", r"\[").replace("]", r"\]").replace("&&", r"&\&").replace("^", r"\^")
+            out.append(f"(?!/)[{'^' if other else ''}{inner}]")
+            i = end + 1
+        elif c == "\\" and i + 1 < n:
+            out.append(escape_regex(pattern[i + 1]))
+            i += 2
+        else:
+            out.append(escape_regex(c))
+            i += 1
+    return "".join(out)
+
+
 def escape_regex(text: str) -> str:
     """The text as a regular expression that matches it, in Java's and RE2's dialect."""
     return "".join("\\" + c if c in r"\.^$|()[]{}*+?-#&~" else c for c in text)

@@ -6,6 +6,7 @@ name), glob (a regular expression for the whole path) and path (a path and all b
 
 from __future__ import annotations
 
+import re
 import shutil
 import subprocess
 from collections.abc import Iterator, Mapping, Sequence
@@ -147,14 +148,45 @@ def requests(events: DataFrame, root_ok: DataFrame, chunk: int) -> DataFrame:
     return rows.withColumn("chunk", F.floor(F.monotonically_increasing_id() / chunk)).drop("seq")
 
 
-def ignored_by_patterns(asked: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(repo_root, rel_key) of asked rows that a root's pattern matches. patterns: (repo_root, pattern), base-name globs as regular
-    expressions, with a slash at the end for directories only. A declared subset of git's rules: no negation, no order."""
-    base = F.regexp_extract("asked", "([^/]*)/?$", 1)
-    dir_only = F.col("pattern").endswith("/")
-    fits = F.regexp(base, F.concat(F.lit("^"), F.rtrim(F.col("pattern"), F.lit("/")), F.lit("$"))) & (~dir_only | F.col("asked").endswith("/"))
-    inside = dir_only & F.regexp(F.concat(F.lit("/"), F.col("asked")), F.concat(F.lit("/"), F.rtrim(F.col("pattern"), F.lit("/")), F.lit("/")))
-    return asked.join(patterns, "repo_root").where(fits | inside).select("repo_root", "rel_key").distinct()
+GIT_RULE = "repo_root string, ord int, pattern string, negated boolean, dir_only boolean"
+
+
+def git_rules(root: str, text: str, folder: str = "", first: int = 0) -> list[tuple[str, int, str, bool, bool]]:
+    """GIT_RULE rows of an ignore file's lines, in order from ``first`` on. folder: where below the root the file lies; the files of
+    deeper folders must come later. pattern is a regular expression for a path below the root."""
+    out = []
+    for line in text.splitlines():
+        kept = re.sub(r"(?<!\\)[ \t]+$", "", line)
+        if not kept or kept.startswith("#"):
+            continue
+        negated = kept.startswith("!")
+        body = kept[1:] if negated else kept
+        dir_only = body.endswith("/")
+        body = body.rstrip("/") if dir_only else body
+        if not body:
+            continue
+        anchored = "/" in body
+        prefix = paths.escape_regex(folder.strip("/") + "/") if folder.strip("/") else ""
+        out.append((root, first + len(out), "(?s)^" + prefix + ("" if anchored else "(?:.*/)?") + paths.git_glob_to_regex(body.removeprefix("/")) + r"\z", negated, dir_only))
+    return out
+
+
+def ignored_by_rules(asked: DataFrame, rules: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
+    """(repo_root, rel_key) of asked rows (see requests) that ignore files leave out, without git being asked.
+
+    rules: GIT_RULE rows. For a path and each folder above it the last rule that matches decides, and a path is ignored if
+    any of these is: nothing below an ignored folder can be taken back. tracked: (repo_root, rel_key) of paths under version
+    control, which are never ignored. Rules are configuration, so they are broadcast; the work is one row for each path, folder
+    above it and rule, aggregated before anything is shuffled.
+    """
+    parts = F.split(F.rtrim(F.col("asked"), F.lit("/")), "/")
+    one = asked.select("repo_root", "rel_key", "asked").distinct().withColumn("parts", parts)
+    above = one.select("repo_root", "rel_key", "asked", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"), "parts")
+    prefix = above.select("repo_root", "rel_key", "asked", "n", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("path"), ((F.col("n") < F.size("parts")) | F.col("asked").endswith("/")).alias("is_dir"))
+    hit = prefix.join(F.broadcast(rules), "repo_root").where(F.regexp("path", F.col("pattern")) & (~F.col("dir_only") | F.col("is_dir")))
+    last = hit.groupBy("repo_root", "rel_key", "asked", "n").agg(F.max_by("negated", "ord").alias("negated"))
+    out = last.where(~F.col("negated")).select("repo_root", "rel_key").distinct()
+    return out if tracked is None else out.join(tracked.select("repo_root", "rel_key"), ["repo_root", "rel_key"], "left_anti")
 
 
 def fail_open(ignored: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,8 +13,8 @@ BASES = ("/ws/app", "/ws/app/lib", "/srv/app", "/data/ml", "/ws/appx")
 SUFFIXES = (".py", ".ts", ".md")
 LANGUAGES = (("python", [".py", ".pyi"]), ("typescript", [".ts", ".tsx"]), ("any", []))
 CUSTOM_IGNORES = {"/ws/app": ("d1/*.py", "d2", "d?/f1*"), "/srv/app": ("/srv/app/d3", "d4/", "d[5]/x"), "/data/ml": ("d6/*7.md",)}
-#: What a version-control ignore file of each root would hold: base-name patterns; a slash at the end asks for directories.
-PATTERNS = (("/ws/app", r"f\d*0\.py"), ("/ws/app", "d5/"), ("/srv/app", r"f\d*2\.md"), ("/data/ml", r".*\.ts"))
+#: What a version-control ignore file of each root would hold.
+IGNORE_FILES = {"/ws/app": "# made\nf*0.py\n!/d3/f*0.py\nd5/\n!d5/f*7.ts\n", "/srv/app": "/d2/*.md\n**/f*2.md\n", "/data/ml": "*.ts\n"}
 FAILED_ROOT = "/data/ml"
 GAP, CAP = 7200 * 10**6, 14400 * 10**6
 

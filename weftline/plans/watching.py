@@ -192,12 +192,13 @@ def flt2d_default_rules(spark, sf):
     return ignore.apply_rules(every, ignore.build_rules(True, {}), "path")
 
 
-_ASKED = "(SELECT event_id, repo_root, rel_path, rel_path AS key FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') AND (regexp_full_match(list_last(string_split(rel_path, '/')), CASE repo_root WHEN '/ws/app' THEN 'f\\d*0\\.py' ELSE 'f\\d*2\\.md' END) OR (repo_root = '/ws/app' AND starts_with(rel_path, 'd5/'))))"
+_ASKED = r"""(SELECT event_id FROM ev WHERE (repo_root = '/ws/app' AND (starts_with(rel_path, 'd5/') OR (regexp_full_match(rel_path, '(.*/)?f[^/]*0\.py') AND NOT starts_with(rel_path, 'd3/'))))
+OR (repo_root = '/srv/app' AND regexp_full_match(rel_path, 'd2/[^/]*\.md|(.*/)?f[^/]*2\.md')))"""
 
 
 @query(f"WITH {E} SELECT event_id, repo_root, rel_path FROM ev WHERE event_id NOT IN (SELECT event_id FROM {_ASKED})")
 def flt3_gitignore(spark, sf):
-    """Native mode: patterns as rows, and a root whose check failed keeps all."""
+    """Native mode: the lines of ignore files as rows, with order, negation and anchors, and a root whose check failed keeps all."""
     ev = views.events(spark, sf, False)
     ignored, _ = _ignored(spark, ev)
     return ignore.drop_ignored(ev, ignored).select("event_id", "repo_root", "rel_path")
@@ -206,9 +207,9 @@ def flt3_gitignore(spark, sf):
 def _ignored(spark, ev):
     root_ok = spark.createDataFrame([(r, True) for r in ("/ws/app", "/srv/app", "/data/ml")] + [("/ws/app/lib", False)], "repo_root string, root_ok boolean")
     asked = ignore.requests(ev, root_ok, 4000)
-    patterns = F.broadcast(spark.createDataFrame(list(views.PATTERNS), "repo_root string, pattern string"))
+    rules = spark.createDataFrame([r for root, lines in views.IGNORE_FILES.items() for r in ignore.git_rules(root, lines)], ignore.GIT_RULE)
     failed = spark.createDataFrame([(views.FAILED_ROOT, "timed out")], "repo_root string, error string")
-    return ignore.fail_open(ignore.ignored_by_patterns(asked, patterns), failed)
+    return ignore.fail_open(ignore.ignored_by_rules(asked, rules), failed)
 
 
 @query("SELECT '/data/ml' AS repo_root, 'gitignore filtering failed for /data/ml: timed out (fail-open)' AS warning")
