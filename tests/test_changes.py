@@ -113,3 +113,28 @@ def test_language_kind(spark):
 def test_printed_order(spark):
     rows = spark.createDataFrame([event(0, 1, "deleted", "a"), event(0, 2, "added", "a"), event(0, 3, "added", "A")], EVENT)
     assert [r["line"] for r in changes.printed(rows).collect()] == ["ADDED     [r] A", "ADDED     [r] a", "DELETED   [r] a"]
+
+
+def test_capped_starts_equal_a_plain_loop():
+    import numpy as np
+
+    from weftline.operators.changes import capped_starts
+
+    def plain(times, gap, cap, start=None, last=None):
+        out = []
+        for t in times:
+            if last is None or t - last > gap or t - start >= cap:
+                start = t
+            last = t
+            out.append(start)
+        return out
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        times = np.sort(rng.integers(0, 60, int(rng.integers(0, 40))))
+        gap, cap = int(rng.integers(0, 6)), int(rng.integers(1, 20))
+        assert capped_starts(times, gap, cap).tolist() == plain(times, gap, cap)
+        cut = int(rng.integers(0, len(times) + 1))
+        first = capped_starts(times[:cut], gap, cap)
+        open_ = (int(first[-1]), int(times[cut - 1])) if cut else (None, None)
+        assert [*first.tolist(), *capped_starts(times[cut:], gap, cap, *open_).tolist()] == plain(times, gap, cap)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,15 +20,24 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def capped_starts(times: Sequence[int], gap: int, cap: int) -> list[int]:
+def capped_starts(times: Sequence[int] | np.ndarray, gap: int, cap: int, start: int | None = None, last: int | None = None) -> np.ndarray:
     """For sorted times, the start of the batch that each belongs to: a batch ends after a gap of more than ``gap``, or
-    before an event that is ``cap`` or more after its start."""
-    out, start, last = [], 0, None
-    for t in times:
-        if last is None or t - last > gap or t - start >= cap:
-            start = t
-        last = t
-        out.append(start)
+    before an event that is ``cap`` or more after its start. start, last: of a batch that is still open.
+
+    A cap makes each batch depend on the one before, so the loop is over batches, never over events.
+    """
+    t = np.asarray(times, np.int64)
+    out = np.empty(len(t), np.int64)
+    runs = np.concatenate([[0], np.flatnonzero(np.diff(t) > gap) + 1, [len(t)]])
+    for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+        i = a
+        if a == 0 and b and last is not None and t[0] - last <= gap:
+            i = int(np.searchsorted(t[:b], start + cap, "left"))
+            out[:i] = start
+        while i < b:
+            j = max(i + 1, a + int(np.searchsorted(t[a:b], t[i] + cap, "left")))
+            out[i:j] = t[i]
+            i = j
     return out
 
 
@@ -42,13 +52,17 @@ def capped_batches(events: DataFrame, key: str, time: str, order: str, gap: int,
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner = start = last = None
         for frame in frames:
-            keys, times = frame[key].tolist(), frame[time].tolist()
-            out = []
-            for k, t in zip(keys, times, strict=True):
-                if k != owner or last is None or t - last > gap or t - start >= cap:
-                    owner, start = k, t
-                last = t
-                out.append(start)
+            if not len(frame):
+                continue
+            keys, times = frame[key], frame[time].to_numpy(np.int64)
+            changed = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).to_numpy(bool)
+            cuts = np.union1d(np.flatnonzero(changed), [0, len(frame)])
+            out = np.empty(len(frame), np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                name = None if pd.isna(keys.iloc[a]) else keys.iloc[a]
+                goes_on = a == 0 and last is not None and name == owner
+                out[a:b] = capped_starts(times[a:b], gap, cap, start if goes_on else None, last if goes_on else None)
+                owner, start, last = name, int(out[b - 1]), int(times[b - 1])
             yield frame.assign(batch_start=out)
 
     return events.repartition(parts, key).sortWithinPartitions(key, time, order).mapInPandas(run, schema)

@@ -15,26 +15,29 @@ from weftline.model import WatchConfig
 from weftline.operators import attribution, changes, ignore
 
 
-def capped_batches_stream(events: DataFrame, key: str, time: str, order: str, gap: int, cap: int) -> DataFrame:
+def capped_batches_stream(events: DataFrame, key: str, time: str, order: str, gap: int, cap: int, expire_ms: int | None = None) -> DataFrame:
     """The streaming twin of changes.capped_batches: events with batch_start; the state of a key is its batch's start and last time.
 
-    A key's events must come in order across micro-batches; within one they are sorted here.
+    A key's events must come in order across micro-batches; within one they are sorted here. expire_ms: a key that has been
+    quiet for so long, by the clock, is forgotten (its next event starts a batch); None keeps two numbers for each key.
     """
     schema = StructType([*events.schema.fields]).add("batch_start", "long")
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, last = state.get if state.exists else (None, None)
         frame = pd.concat(list(frames)).sort_values([time, order])
-        out = []
-        for t in frame[time].tolist():
-            if last is None or t - last > gap or t - start >= cap:
-                start = t
-            last = t
-            out.append(start)
-        state.update((start, last))
+        times = frame[time].to_numpy("int64")
+        out = changes.capped_starts(times, gap, cap, start, last)
+        state.update((int(out[-1]), int(times[-1])))
+        if expire_ms is not None:
+            state.setTimeoutDuration(expire_ms)
         yield frame.assign(batch_start=out)
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, "start long, last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy(key).applyInPandasWithState(run, schema, "start long, last long", "append", timeout)
 
 
 def prepare(raw: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig, batch: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
