@@ -1,4 +1,8 @@
-"""A training-corpus pipeline over ``documents``: language, quality, near duplicates, packing."""
+"""A training-corpus pipeline over ``documents``: language, quality, near duplicates, packing.
+
+All stages take null ids, sources and texts, empty and very long texts, repeated rows, empty tables and further columns of any
+name; all but the last return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -12,22 +16,34 @@ from weftline.llm.lineage import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language or with one that is too unsure."""
+    """Drops documents without a language or with one that is too unsure.
+
+    Null, empty and letterless texts go, and all texts if there is no label to learn from. Repeated rows each stay or go
+    alike; null ids are judged like others; long texts are read whole, in pieces; of equal languages the first wins.
+    """
     return langid.filter_documents(docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or whose source is rejected."""
+    """Drops documents that fail the base rules or whose source is rejected.
+
+    Null and empty texts fail; a null source is never rejected. Repeated rows each stay or go alike; sources with equal
+    rates are judged alike; long texts are measured whole.
+    """
     return quality.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document with the smallest id: five-word shingles, similarity 0.8."""
+    """Keeps of each class of near duplicates the document with the smallest id: five-word shingles, similarity 0.8.
+
+    Texts without words and rows with a null id link with nothing and stay. Of repeated ids in a class one row stays; long
+    texts are compared whole.
+    """
     return shinglejoin.keep_one_of_each(docs, n_words=5, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; null and empty texts are an end id alone, repeated rows and null ids are packed too."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
