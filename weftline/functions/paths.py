@@ -77,6 +77,42 @@ def glob_to_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def parts(path: Column) -> Column:
+    return F.split(path, "/")
+
+
+def named_parts(path: Column) -> Column:
+    """Its parts that are not empty."""
+    return F.filter(parts(path), lambda x: x != "")
+
+
+def joined(path: Column, by: str) -> Column:
+    """Its parts with another separator."""
+    return F.array_join(parts(path), by)
+
+
+def is_absolute(path: Column) -> Column:
+    return F.startswith(path, F.lit("/"))
+
+
+def resolved(path: Column, below: str = "/") -> Column:
+    """An absolute path as it is, any other below a folder."""
+    return F.when(is_absolute(path), path).otherwise(F.concat(F.lit(below.rstrip("/") + "/"), path))
+
+
+def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith(path, s))
+
+
+def without_suffix(path: Column, suffix: str, instead: str = "") -> Column:
+    return F.regexp_replace(path, escape_regex(suffix) + "$", instead)
+
+
+def matches_glob(path: Column, glob: str) -> Column:
+    """Whether the whole path matches a glob whose * and ? cross slashes."""
+    return path.rlike("(?s)^" + glob_to_regex(glob) + r"\z")
+
+
 def git_glob_to_regex(pattern: str) -> str:
     """A regular expression for a glob of an ignore file: * and ? stay within a folder, ** between slashes spans folders, a
     backslash takes a character as it is. Anchors are not included."""

@@ -35,6 +35,38 @@ def time_label(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")
 
 
+def last_match(text: Column, pattern: str) -> Column:
+    """The last match of a regular expression, or null."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(F.size(found) > 0, F.element_at(found, -1))
+
+
+def known(value: Column, values: tuple[str, ...], what: str) -> Column:
+    """The value itself; an error for any other than these."""
+    return F.when(value.isin(*values), value).otherwise(F.raise_error(f"unknown {what}").cast("string"))
+
+
+def format_tag(name: Column, number: Column) -> Column:
+    """name#number."""
+    return F.format_string("%s#%d", name, number)
+
+
+def position(text: Column, part: str) -> Column:
+    """Where the part first stands, from 0; -1 where it does not."""
+    return F.instr(text, part) - 1
+
+
+def number_of(name: Column, numbers: dict[str, int], other: int = 0) -> Column:
+    """The name's number, or ``other``."""
+    table = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, name), F.lit(other))
+
+
+def json_int(text: Column, path: str) -> Column:
+    """An integer in a JSON text; null where it is not there."""
+    return F.try_variant_get(F.parse_json(text), path, "int")
+
+
 def split_list(text: Column) -> Column:
     """Comma-separated parts, trimmed, without empty ones; an empty array for null."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

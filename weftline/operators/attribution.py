@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def check_roots(roots: DataFrame, known: DataFrame) -> DataFrame:
     return found.withColumn("root", F.when(F.coalesce("is_dir", F.lit(False)), F.col("root")).otherwise(bad)).drop("is_dir")
 
 
+def deepest(events: DataFrame, by: Sequence[str], path: str = "abs_path") -> DataFrame:
+    """(by.., deepest): the path with the most parts, of equals the last in order."""
+    return events.groupBy(*by).agg(F.max_by(path, F.struct(paths.depth(F.col(path)), F.col(path))).alias("deepest"))
+
+
 def nested_pairs(roots: DataFrame) -> DataFrame:
     """(outer_root, inner_root) of distinct roots where one contains the other, by the equality of an ancestor."""
     inner = roots.select(F.col("root").alias("inner_root"), F.explode(paths.ancestors(F.col("root"))).alias("root"))

@@ -94,6 +94,11 @@ def with_existence(events: DataFrame, snapshot: DataFrame, path: str = "abs_path
     return events.join(there, events[path] == there["p_"], "left").withColumn("exists_now", F.coalesce("there_", F.lit(False))).drop("p_", "there_")
 
 
+def first_and_last(events: DataFrame, key: Sequence[str], seq: str = "seq") -> DataFrame:
+    """(key.., first_seq, last_change): where each key was first seen, and its last change."""
+    return events.groupBy(*key).agg(F.min(seq).alias("first_seq"), F.max_by("change", seq).alias("last_change"))
+
+
 def raw_counts(events: DataFrame, batch: Sequence[str]) -> DataFrame:
     return events.groupBy(*batch).agg(F.count("*").alias("raw"))
 

@@ -76,6 +76,22 @@ def unique_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
+def merged_rules(*tables: DataFrame) -> DataFrame:
+    """Rule rows of all tables, equal (kind, value) once: the first by seq."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return unique_rules(out)
+
+
+def union_of_chunks(*found: DataFrame) -> DataFrame:
+    """(repo_root, rel_path) that any chunk's answer holds, once."""
+    out = found[0].select("repo_root", "rel_path")
+    for f in found[1:]:
+        out = out.union(f.select("repo_root", "rel_path"))
+    return out.distinct()
+
+
 def matches(path: Column, rules: Sequence[tuple] | None) -> Column:
     """Whether any rule of a driver-side list matches the path: one expression, so that the filter stays in the scan's stage."""
     out = F.lit(False)

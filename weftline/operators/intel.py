@@ -51,6 +51,17 @@ def without_child(parents: DataFrame, expected: DataFrame) -> DataFrame:
     return parents.join(expected.select(F.col("parent_id").alias("symbol_id")), "symbol_id", "left_anti")
 
 
+def sorted_names(rows: DataFrame, key: str, name: str, into: str) -> DataFrame:
+    """Each key's distinct names in order."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(name)).alias(into))
+
+
+def missing_names(expected: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, missing): of each key's expected names those that ``found`` does not have at all, in order."""
+    absent = expected.select(key, name).distinct().join(found.select(name).distinct().withColumn("there_", F.lit(True)), name, "left")
+    return absent.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("there_").isNull(), F.col(name)))).alias("missing"))
+
+
 def first_where(rows: DataFrame, usable: Column, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of each key's rows the first, in the given order, that can be used; keys without such a row have none."""
     rest = [c for c in rows.columns if c not in key]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
+from weftline.model import WatchConfig
 from weftline.operators import attribution, changes, ignore, intel
 from weftline.plans import views
 from weftline.session import shared_folder
@@ -18,7 +19,9 @@ QUERIES: dict[str, tuple] = {}
 BATCH = ["day"]
 
 
-def query(sql: str | None):
+def query(sql):
+    """Registers a query with its SQL, or a function that gives it (for SQL whose parts stand further below)."""
+
     def register(f):
         QUERIES[f.__name__] = (f, sql)
         return f
@@ -51,31 +54,43 @@ def src1_watch_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf)
 
 
-@query(f"WITH {E} SELECT seq, repo_root, repo_label, rel_path, change FROM ev")
+@query(lambda: f"""WITH {E}, k AS (SELECT * EXCLUDE (exists_now), arg_max(change, seq) OVER (PARTITION BY abs_path) <> 'deleted' AS exists_now FROM ev WHERE {_RULES_SQL}),
+c AS ({_COALESCE.format(b='').replace('FROM ev', 'FROM k')}) SELECT (SELECT count(*) FROM k) AS raw, (SELECT count(*) FROM c) AS filtered, repo_root, repo_label, rel_path, change FROM c""")
 def src2_watch_async(spark: SparkSession, sf: str) -> DataFrame:
-    """The asynchronous twin: the caller goes on while the query runs, and reads the batches that the watch has handed to its sink."""
-    return _streamed(spark, sf, beside=True)
-
-
-def _streamed(spark: SparkSession, sf: str, beside: bool = False) -> DataFrame:
+    """The watch query itself: it runs beside its caller, who reads the envelopes that its sink was handed. The stream of paths and
+    changes is one batch; what exists is told by each path's last change."""
     folder = _folder(spark)
-    schema = views.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(sf))
+    stream = _change_stream(spark, sf).select("change", F.col("abs_path").alias("path"))
     known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    cfg = WatchConfig(gitignore_filter=False, repo_custom_ignores={k: tuple(v) for k, v in views.CUSTOM_IGNORES.items()})
+    schema = "raw long, filtered long, repo_root string, repo_label string, rel_path string, change string"
+
+    def sink(envelope, number):
+        events = envelope.select("raw", "filtered", F.explode("events").alias("e")).select("raw", "filtered", "e.repo_root", "e.repo_label", "e.rel_path", "e.change")
+        events.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    running = watch.watch(stream, known, cfg, sink, f"{folder}/state", watch.NOW)
+    while running.isActive:
+        running.awaitTermination(1)
+    if running.exception():
+        raise running.exception()
+    return spark.read.schema(schema).parquet(f"{folder}/out").select("raw", "filtered", "repo_root", "repo_label", "rel_path", "change")
+
+
+def _change_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """(seq, change, abs_path) of events as a stream."""
+    stream = spark.readStream.schema(views.table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(*_stream_path(sf))
     user = F.col("user_id")
     path = F.concat(views.pick(user % 5, views.BASES), F.lit("/d"), user % 7, F.lit("/f"), user, views.pick(user % 3, views.SUFFIXES))
-    raw = stream.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("change"), path.alias("abs_path"))
-    out = attribution.attribute_few(raw, known).select("seq", "repo_root", "repo_label", "rel_path", "change")
-    writer = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if beside:
-        running = writer.foreachBatch(lambda frame, number: frame.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).start()
-        while running.isActive:
-            running.awaitTermination(1)
-        if running.exception():
-            raise running.exception()
-    else:
-        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out").select(*out.columns)
+    return stream.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("change"), path.alias("abs_path"))
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark)
+    known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    out = attribution.attribute_few(_change_stream(spark, sf), known).select("seq", "repo_root", "repo_label", "rel_path", "change")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def _stream_path(sf: str) -> tuple[str]:
@@ -393,7 +408,7 @@ def win2_first_roots(spark, sf):
 
 @query(f"WITH {E} SELECT abs_path, min(seq) AS first_seq, arg_max(change, seq) AS last_change FROM ev GROUP BY 1")
 def win3_first_and_last(spark, sf):
-    return views.events(spark, sf, False).groupBy("abs_path").agg(F.min("seq").alias("first_seq"), F.max_by("change", "seq").alias("last_change"))
+    return changes.first_and_last(views.events(spark, sf, False), ["abs_path"])
 
 
 @query(f"WITH {L} SELECT user_id, event_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4)::INT AS chunk FROM log")
@@ -408,13 +423,12 @@ def srt1_sorted_report(spark, sf):
 
 @query("SELECT p_type, list(DISTINCT p_brand ORDER BY p_brand) AS brands FROM part GROUP BY 1")
 def srt2_sorted_names(spark, sf):
-    return views.table(spark, sf, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
+    return intel.sorted_names(views.table(spark, sf, "part"), "p_type", "p_brand", "brands")
 
 
 @query(f"WITH {E} SELECT repo_root, arg_max(abs_path, {{'n': len(string_split(abs_path, '/')), 'p': abs_path}}) AS deepest FROM ev GROUP BY 1")
 def top1_deepest(spark, sf):
-    ev = views.events(spark, sf, False)
-    return ev.groupBy("repo_root").agg(F.max_by("abs_path", F.struct(paths.depth(F.col("abs_path")), F.col("abs_path"))).alias("deepest"))
+    return attribution.deepest(views.events(spark, sf, False), ["repo_root"])
 
 
 @query("SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part WHERE p_size > 25 GROUP BY 1")
@@ -433,7 +447,7 @@ def top3_first_usable(spark, sf):
 
 @query("SELECT page_id, list_last(regexp_extract_all(url, '[a-z]+')) AS word FROM pages")
 def top4_last_match(spark, sf):
-    return views.table(spark, sf, "pages").select("page_id", F.element_at(F.regexp_extract_all("url", F.lit("[a-z]+"), 0), -1).alias("word"))
+    return views.table(spark, sf, "pages").select("page_id", text.last_match(F.col("url"), "[a-z]+").alias("word"))
 
 
 # Set operations
@@ -442,15 +456,14 @@ def top4_last_match(spark, sf):
 @query("SELECT p_type AS value FROM part UNION SELECT p_brand FROM part")
 def set1_rule_union(spark, sf):
     p = views.table(spark, sf, "part")
-    rows = p.select(F.lit("path").alias("kind"), F.col("p_type").alias("value"), F.lit(0).alias("seq")).unionAll(p.select(F.lit("path"), F.col("p_brand"), F.lit(1)))
-    return rows.select("value").distinct()
+    rules = lambda c, seq: p.select(F.lit("path").alias("kind"), F.col(c).alias("value"), F.lit(seq).alias("seq"))
+    return ignore.merged_rules(rules("p_type", 0), rules("p_brand", 1)).select("value")
 
 
 @query(f"WITH {E} SELECT DISTINCT repo_root, rel_path FROM ev WHERE change = 'deleted' UNION SELECT DISTINCT repo_root, rel_path FROM ev WHERE change = 'added'")
 def set2_union_of_chunks(spark, sf):
     ev = views.events(spark, sf, False)
-    part = lambda c: ev.where(F.col("change") == c).select("repo_root", "rel_path")
-    return part("deleted").union(part("added")).distinct()
+    return ignore.union_of_chunks(ev.where("change = 'deleted'"), ev.where("change = 'added'"))
 
 
 @query(f"WITH {L} SELECT DISTINCT day, abs_path FROM log l WHERE change <> 'deleted' AND NOT EXISTS (SELECT 1 FROM log d WHERE d.day = l.day AND d.abs_path = l.abs_path AND d.change = 'deleted')")
@@ -460,12 +473,10 @@ def set3_difference(spark, sf):
     return changes.paths_without(log, "deleted", BATCH)
 
 
-@query("WITH a AS (SELECT p_type, list(DISTINCT p_brand) AS own FROM part GROUP BY 1), b AS (SELECT list(DISTINCT p_brand) AS every FROM part WHERE p_size < 10) SELECT p_type, list_sort(list_filter(own, lambda x: NOT list_contains(every, x))) AS missing FROM a, b")
+@query("WITH a AS (SELECT p_type, list(DISTINCT p_brand) AS own FROM part GROUP BY 1), b AS (SELECT list(DISTINCT p_brand) AS every FROM part WHERE p_size < 5 AND p_partkey % 3 = 0) SELECT p_type, list_sort(list_filter(own, lambda x: NOT list_contains(every, x))) AS missing FROM a, b")
 def set4_missing_names(spark, sf):
     p = views.table(spark, sf, "part")
-    own = p.groupBy("p_type").agg(F.collect_set("p_brand").alias("own"))
-    every = p.where("p_size < 10").agg(F.collect_set("p_brand").alias("every"))
-    return own.crossJoin(F.broadcast(every)).select("p_type", F.array_sort(F.array_except("own", "every")).alias("missing"))  # one row
+    return intel.missing_names(p, p.where("p_size < 5 and p_partkey % 3 = 0"), "p_type", "p_brand")
 
 
 @query(f"WITH {L} SELECT event_id, abs_path FROM log")
@@ -510,8 +521,6 @@ def st6_empty_batches(spark, sf):
 @query(f"WITH {E}, k AS (SELECT * FROM ev WHERE {_RULES_SQL}) {_COALESCE.format(b='').replace('FROM ev', 'FROM k')}")
 def ent1_whole_path(spark, sf):
     """The startup plan's rules, attribution and coalescing as one pass without batches."""
-    from weftline.model import WatchConfig
-
     raw = views.change_log(spark, sf).withColumnRenamed("abs_path", "path")
     known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
     cfg = WatchConfig(gitignore_filter=False, repo_custom_ignores={k: tuple(v) for k, v in views.CUSTOM_IGNORES.items()})

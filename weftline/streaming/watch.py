@@ -66,6 +66,10 @@ def change_rows(frame: DataFrame) -> DataFrame:
     return rows.select("seq", "change", "path", "exists_now", "is_dir")
 
 
+#: As ``every``: what there is now, then end.
+NOW = "now"
+
+
 def watch(stream: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Runs change rows (see change_rows) through prepare, one envelope row for each micro-batch in which the ignore rules
     leave a change, into the sink. raw counts what they leave; git's rules and coalescing come after.
@@ -95,7 +99,8 @@ def watch(stream: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig,
             frame.unpersist()
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer).start()
+    trigger = {} if every is None else {"availableNow": True} if every == NOW else {"processingTime": every}
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def notify(send: Callable[[list[tuple[str, int]]], None], suffixes: Sequence[str]) -> Callable[[DataFrame, int], None]:
