@@ -155,3 +155,114 @@ def ent3_events_without_coalescing(spark, sf):
     known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
     cfg = WatchConfig(gitignore_filter=False, defaults_filter=False, coalesce_events=False)
     return watch.prepare(views.change_log(spark, sf, False).withColumnRenamed("abs_path", "path"), known, cfg)[0].select("abs_path", "repo_root", "repo_label", "rel_path", "change")
+
+
+# The facade, the command line and the exports
+
+
+def _workspace(spark, sf, facts=("symbols", "occurrences", "calls"), **more):
+    from weftline.workspace import Workspace
+
+    tables = {"symbols": views.part_symbols, "occurrences": views.occurrences, "calls": views.calls}
+    return Workspace(spark, "Python", [".py"], facts={f: tables[f](spark, sf) for f in facts}, **more)
+
+
+@query("SELECT 'file:///r' || r_regionkey AS uri, r_regionkey = 1 AS before, TRUE AS within, r_regionkey = 1 AS after FROM region")
+def lq11_open_files(spark, sf):
+    """Which files are open before, within and after a block that opens them all, one being open already."""
+    uris = [f"file:///r{r['r_regionkey']}" for r in views.table(spark, sf, "region").select("r_regionkey").toLocalIterator()]
+    with _workspace(spark, sf) as w, w.open_files("file:///r1"):
+        before = {u: w.is_open(u) for u in uris}
+        with w.open_files(*uris):
+            within = {u: w.is_open(u) for u in uris}
+        after = {u: w.is_open(u) for u in uris}
+    return spark.createDataFrame([(u, before[u], within[u], after[u]) for u in uris], "uri string, before boolean, within boolean, after boolean")
+
+
+@query("""SELECT capability, running, FALSE AS closed FROM (VALUES ('document_symbol_provider', FALSE), ('workspace_symbol_provider', FALSE), ('definition_provider', TRUE), ('type_definition_provider', FALSE),
+('references_provider', TRUE), ('hover_provider', FALSE), ('call_hierarchy_provider', FALSE), ('rename_provider', TRUE)) t(capability, running)""")
+def lq14_lifecycle(spark, sf):
+    """What a workspace with occurrences alone can do while it runs, and after it was closed twice."""
+    from weftline.workspace import PROVIDERS
+
+    with _workspace(spark, sf, ("occurrences",)) as w:
+        running = {p: w.supports(p) for p in PROVIDERS}
+    w.close()
+    return spark.createDataFrame([(p, running[p], w.supports(p)) for p in PROVIDERS], "capability string, running boolean, closed boolean")
+
+
+@query("SELECT 'publish_diagnostics' AS capability, name, TRUE AS supported FROM (VALUES ('related_information'), ('tag_support'), ('code_description'), ('data')) t(name)")
+def lq15_client_capabilities(spark, sf):
+    told = _workspace(spark, sf).client_capabilities()
+    return spark.createDataFrame([(c, n, v) for c, names in told.items() for n, v in names.items()], "capability string, name string, supported boolean")
+
+
+@query("SELECT * FROM (VALUES (1, 'error'), (2, 'second')) t(case_no, taken)")
+def lq16_default_servers(spark, sf):
+    """The first usable server of facts is taken; where none is, there is no default."""
+    second = {"symbols": views.part_symbols(spark, sf)}
+    taken = []
+    for servers in ([lambda: None], [lambda: None, lambda: second, lambda: {}]):
+        try:
+            with _workspace(spark, sf, (), servers=servers) as w:
+                taken.append("second" if w.facts is second else "other")
+        except RuntimeError:
+            taken.append("error")
+    return spark.createDataFrame(list(enumerate(taken, 1)), "case_no int, taken string")
+
+
+@query(f"""WITH {E}, d AS (SELECT day, count(*) AS n FROM ev WHERE day = (SELECT min(day) FROM ev) GROUP BY 1) SELECT day, '= ' || n || ' of ' || n || ' changes' AS foot, n AS lines FROM d""")
+def snk2_console(spark, sf):
+    """What the console sink prints of the first day: its lines, and the last one without the time."""
+    import contextlib
+    import io
+
+    ev = views.events(spark, sf, False)
+    day = ev.agg(F.min("day")).first()[0]
+    ev = ev.where(F.col("day") == day)
+    batch = changes.envelopes(changes.headers(ev, ev, ["day"]), ev, ["day"]).withColumn("ts", F.localtimestamp())
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        watch.console(batch.select("ts", "raw", "filtered", "events", "warnings"), 0)
+    lines = out.getvalue().rstrip("\n").split("\n")
+    return spark.createDataFrame([(day, lines[-1].partition(" at ")[0], len(lines) - 1)], "day date, foot string, lines long")
+
+
+@query(f"WITH {E} SELECT 0 AS batch, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM ev")
+def snk3_collected_batches(spark, sf):
+    """Batches handed to the caller's own function, as rows."""
+    from weftline.plans.watching import _change_stream
+
+    got = []
+
+    def take(frame, number):
+        r = frame.agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+        got.append((number, r["n"], r["a"], r["b"]))
+
+    _change_stream(spark, sf).writeStream.foreachBatch(take).option("checkpointLocation", f"{_folder(spark)}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.createDataFrame(got, "batch int, n long, first_seq long, last_seq long")
+
+
+@query("SELECT * FROM (VALUES ('debounce_ms', '900'), ('exit', '2'), ('force_polling', 'False'), ('ignore_dirs', 'a|b'), ('ignore_entity_globs', '*.x'), ('ignore_entity_regex', '^q'), ('ignore_paths', '/z|w'), ('poll_delay_ms', '300'), ('step_ms', '20')) t(name, value)")
+def ent2_command_line(spark, sf):
+    """Options as parsed, defaults included, and the exit code for a path that is no directory."""
+    import contextlib
+    import io
+
+    from weftline.__main__ import arguments, main
+
+    args = arguments(["/no/such/folder", "--debounce-ms", "900", "--step-ms", "20", "--no-force-polling", "--ignore-dirs", "a,b", "--ignore-entity-globs", "*.x", "--ignore-entity-regex", "^q", "--ignore-paths", "/z,w"])
+    with contextlib.redirect_stderr(io.StringIO()):
+        code = main(["/no/such/folder"])
+    names = ("debounce_ms", "step_ms", "force_polling", "poll_delay_ms", "ignore_dirs", "ignore_entity_globs", "ignore_entity_regex", "ignore_paths")
+    rows = [(n, str(getattr(args, n)).replace(",", "|")) for n in names] + [("exit", str(code))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+@query("SELECT * FROM (VALUES ('weftline', 'WatchConfig'), ('weftline', 'Workspace'), ('weftline', 'watch'), ('weftline.sources', 'load_languages'), ('weftline.streaming', 'wait_for')) t(module, name)")
+def ent5_exports(spark, sf):
+    """Names that the packages promise, each found."""
+    from importlib import import_module
+
+    rows = [(m, n) for m in ("weftline", "weftline.sources", "weftline.streaming") for n in import_module(m).__all__ if getattr(import_module(m), n) is not None]
+    kept = {"WatchConfig", "Workspace", "load_languages", "wait_for"}
+    return spark.createDataFrame([(m, n) for m, n in rows if n in kept or (m, n) == ("weftline", "watch")], "module string, name string")
