@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once; bounds the memory of the temporary arrays (about 40 bytes for each).
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Bytes of text that one slice of a batch may hold (a longer document makes a slice of its own).
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 try:  # where the C library has it
     _libc = ctypes.CDLL("libc.so.6")
@@ -126,6 +127,19 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Itera
     release()
 
 
+def text_column(scan, fields: list[tuple[str, str]]) -> object:
+    """A column function of a text column: a struct of the fields (name, type), whose arrays ``scan`` gives for the bytes and
+    offsets of some texts at a time. Only the texts go to Python and only the structs come back; the other columns stay."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = pa.RecordBatch.from_arrays([texts], ["text"])
+            found = [pa.StructArray.from_arrays(scan(buf, offsets), [n for n, _ in fields]) for _, buf, offsets, _ in text_slices(rows, "text")]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.struct([(n, pa.type_for_alias(t)) for n, t in fields]))
+
+    return F.arrow_udf(run, ", ".join(f"{n} {'long' if t == 'int64' else t}" for n, t in fields))
+
+
 def release() -> None:
     """Gives freed memory back to the system: a worker is kept for later tasks, beside which its share would stay taken."""
     pa.default_memory_pool().release_unused()

@@ -13,14 +13,12 @@ matrix, then with the messages from both sides, so that memory is bounded by the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.llm import bytescan
 
@@ -429,30 +427,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(_training_texts(docs, id_col, text_col, lang_col, known))
 
 
-def predict(docs: DataFrame, model: Crf | None, text_col: str, pred: str, score: str) -> DataFrame:
-    """docs with two more columns, the predicted language and its score."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, offsets, _ in bytescan.text_slices(batch, text_col, SLICE):
-                n = part.num_rows
-                # a letter is what Unicode calls one; ASCII decides nearly always
-                letters = np.zeros(len(buf) + 1, np.int64)
-                np.cumsum((buf < 128) & ~_LETTERLESS[buf], out=letters[1:])
-                has = letters[offsets[1:]] > letters[offsets[:-1]]
-                for k in np.flatnonzero(~has & (np.diff(offsets) > 0)).tolist():
-                    has[k] = any(map(str.isalpha, buf[offsets[k] : offsets[k + 1]].tobytes().decode()))
-                if model is None:
-                    names, best = np.array([UNKNOWN] * n, object), np.zeros(n)
-                else:
-                    mean = predict_slice(model, buf, offsets)
-                    names = np.array(model.labels, object)[mean.argmax(1)]
-                    best = np.clip(mean.max(1), 0, 1)
-                    names[~has], best[~has] = UNKNOWN, 0.0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names.tolist(), pa.string()), pa.array(best)], [*part.schema.names, pred, score])
-
-    return docs.mapInArrow(run, schema)
+def predict(text: Column, model: Crf | None) -> Column:
+    """A struct of the predicted language (lang) and its score."""
+
+    def scan(buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        n = len(offsets) - 1
+        names, best = np.array([UNKNOWN] * n, object), np.zeros(n)
+        cuts = [0]  # chains of so many bytes of text are in memory at once
+        while cuts[-1] < n:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + SLICE, "right")) - 1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, off = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            # a letter is what Unicode calls one; ASCII decides nearly always
+            letters = np.zeros(len(own) + 1, np.int32)
+            np.cumsum((own < 128) & ~_LETTERLESS[own], out=letters[1:])
+            has = letters[off[1:]] > letters[off[:-1]]
+            for k in np.flatnonzero(~has & (np.diff(off) > 0)).tolist():
+                has[k] = any(map(str.isalpha, own[off[k] : off[k + 1]].tobytes().decode()))
+            if model is not None and has.any():
+                mean = predict_slice(model, own, off)
+                at = a + np.flatnonzero(has)
+                names[at] = np.array(model.labels, object)[mean.argmax(1)][has]
+                best[at] = np.clip(mean.max(1), 0, 1)[has]
+        return [pa.array(names.tolist(), pa.string()), pa.array(best)]
+
+    return bytescan.text_column(scan, [("lang", "string"), ("score", "double")])(text)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -463,8 +462,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learned from. Repeated rows are predicted one by one, alike, and learned from once; other columns are not read.
     """
     model = fit(docs, id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return predict(rows, model, "text", "lang_pred", "score").select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col).cast("string"), model).alias("p"))
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("p.lang").alias("lang_pred"), "p.score")
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -476,8 +475,8 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mark = "__lang"
     while mark in docs.columns:
         mark += "_"
-    judged = predict(docs, fit(docs, id_col, text_col, lang_col), text_col, mark, mark + "_score")
-    return judged.where((F.col(mark) != UNKNOWN) & (F.col(mark + "_score") >= MIN_SCORE)).drop(mark, mark + "_score")
+    judged = docs.select("*", predict(F.col(text_col).cast("string"), fit(docs, id_col, text_col, lang_col)).alias(mark))
+    return judged.where((F.col(f"{mark}.lang") != UNKNOWN) & (F.col(f"{mark}.score") >= MIN_SCORE)).drop(mark)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

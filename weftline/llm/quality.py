@@ -8,13 +8,10 @@ the others beyond what its number of documents could do by chance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.llm import bytescan
 from weftline.llm.lineage import Shelf, small_side
@@ -86,17 +83,9 @@ def metrics_of(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [words, word_chars, symbols, dup_lines, repeat]
 
 
-def measure(docs: DataFrame, text_col: str, into: str) -> DataFrame:
-    """docs with a struct column ``into`` that holds the metrics of each whole text (null: none)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType([T.StructField(m, T.LongType()) for m in METRICS]))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, offsets, _ in bytescan.text_slices(batch, text_col):
-                values = pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in metrics_of(buf, offsets)], list(METRICS))
-                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, into])
-
-    return docs.mapInArrow(run, schema)
+def measure(text: Column) -> Column:
+    """A struct of the metrics of each whole text (null: none)."""
+    return bytescan.text_column(lambda buf, offsets: [pa.array(v.astype(np.int64)) for v in metrics_of(buf, offsets)], [(m, "int64") for m in METRICS])(text)
 
 
 def base_failed(m: str = "") -> Column:
@@ -136,7 +125,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     shelf = Shelf(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
-    measured = measure(rows, "text", "m").select("doc_id", "host", "m.*")
+    measured = rows.select("doc_id", "host", measure(F.col("text")).alias("m")).select("doc_id", "host", "m.*")
     stored = shelf.put(measured.withColumn("base_failed", base_failed()))
     hosts = shelf.put(host_verdicts(stored, failed="base_failed"))
     verdict = hosts.select("host", "shrunk_rate", "host_kept")
@@ -153,9 +142,10 @@ def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "s
     mark = "__quality"
     while mark in docs.columns:
         mark += "_"
-    narrow = measure(docs.select(F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host")), "text", mark)
+    metrics = measure(F.col(text_col).cast("string")).alias(mark)
+    narrow = docs.select(F.col(host_col).cast("string").alias("host"), metrics)
     rejected = Shelf(docs.sparkSession).put(host_verdicts(narrow.select("host", base_failed(f"{mark}.").alias("failed"))).where(~F.col("host_kept")).select(F.col("host").alias(mark + "_host")))
-    kept = measure(docs, text_col, mark).where(~base_failed(f"{mark}.")).drop(mark)
+    kept = docs.select("*", metrics).where(~base_failed(f"{mark}.")).drop(mark)
     return kept.join(small_side(rejected), kept[host_col].cast("string") == F.col(mark + "_host"), "left_anti")
 
 
