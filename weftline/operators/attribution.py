@@ -28,7 +28,7 @@ def normalize_roots(roots: DataFrame) -> DataFrame:
 def check_roots(roots: DataFrame, known: DataFrame) -> DataFrame:
     """roots, or an error for one that the snapshot known (path, is_dir) does not have as a directory."""
     found = roots.join(known.select(F.col("path").alias("root"), "is_dir"), "root", "left")
-    bad = F.raise_error(F.concat(F.lit("Invalid root (must exist and be a directory): "), F.col("root"))).cast("string")
+    bad = F.raise_error(F.concat(F.lit("not a directory: "), F.col("root"))).cast("string")
     return found.withColumn("root", F.when(F.coalesce("is_dir", F.lit(False)), F.col("root")).otherwise(bad)).drop("is_dir")
 
 
