@@ -269,6 +269,50 @@ def test_held_out_labels(spark):
         assert sum(found.values()) > 100 and right >= 0.9 * sum(found.values())
 
 
+def plain_features(url, counts, total):
+    """The features of one URL in plain Python; counts: for each key of the statistics its value to (rows, known, blocked)."""
+    host, path = plain_url(url)
+    text = url or ""
+    bits = lambda s: -sum(n / len(s) * np.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+    after = text.split("?", 1)[1].split("#")[0] if "?" in text else ""
+    last = path.rsplit(".", 1)[-1] if "." in path else ""
+    out = {"f_length": len(text), "f_host_length": len(host), "f_depth": sum(p != "" for p in path.split("/")), "f_labels": len(host.split(".")), "f_digit_ratio": sum(c in "0123456789" for c in text) / max(1, len(text))}
+    out |= {"f_entropy": bits(text), "f_host_entropy": bits(host), "f_params": len(after.split("&")) if after else 0, "f_hyphens": host.count("-"), "f_has_fragment": int("#" in text)}
+    out["f_path_suffix"] = 0 if path.endswith("/") else 2 if last and all("a" <= c <= "z" for c in last) else 1
+    for key, value in (("suffix", host.split(".")[-1]), ("head", path.lstrip("/").split("/")[0])):
+        rows, known, blocked = counts[key].get(value, (0, 0, 0))
+        out |= {f"f_{key}_share": rows / total, f"f_{key}_rate": (blocked + 1) / (known + 2)}
+    return {f"b{f[1:]}": sum(v > bound for bound in urlfilter.BINS[f]) for f, v in out.items()}
+
+
+def test_verdicts_by_plain_trees(spark):
+    """Every URL that no rule decides, against features, statistics and trees evaluated one by one."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    urls = [r["url"] for r in pages.collect()]
+    judge = urlfilter.Judge(pages.select("url"))
+    counts = {"suffix": {}, "head": {}}
+    for u in urls:
+        host, path = plain_url(u)
+        rule, verdict = plain_rule(host, path)
+        for key, value in (("suffix", host.split(".")[-1]), ("head", path.lstrip("/").split("/")[0])):
+            a, b, c = counts[key].get(value, (0, 0, 0))
+            counts[key][value] = (a + 1, b + bool(rule), c + (verdict == "block"))
+
+    def leaf(tree, bins, at=""):
+        node = tree[at]
+        return leaf(tree, bins, at + ("L" if bins[node[0]] <= node[1] else "R")) if isinstance(node, tuple) else node
+
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(pages).collect()}
+    free = 0
+    for r in pages.collect():
+        if got[r["page_id"]]["rule"] is None:
+            bins = plain_features(r["url"], counts, len(urls))
+            score = 1 / (1 + np.exp(-judge.start - sum(leaf(t, bins) for t in judge.forest)))
+            assert np.isclose(got[r["page_id"]]["score"], score) and got[r["page_id"]]["verdict"] == ("block" if score >= 0.5 else "allow")
+            free += 1
+    assert free > 50 and judge.forest
+
+
 def test_no_label_is_its_own_evidence(spark):
     """Every labelled URL has a suffix of its own: the rates say nothing, and held-out verdicts follow the longer host alone."""
     rows = [(None, f"http://{'q' * (3 + 20 * (k % 2))}.s{k}x/{'ab'[k % 2]}/p") for k in range(120)]

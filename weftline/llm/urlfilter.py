@@ -235,8 +235,8 @@ class Judge:
         examples = self.distinct.where(learned).orderBy(F.xxhash64("url"), "url").limit(sample)
         self.features = [f"b{f[1:]}" for f in BINS]
         training = shelf.put(self.featured(examples, own_fold=True).groupBy(*self.features, "label").agg(F.sum("times").cast("double").alias("weight")).coalesce(1))
-        start, forest = boost(training, self.features, "label", "weight")
-        self.margin = reduce(lambda a, b: a + b, [_tree(t) for t in forest], F.lit(start))
+        self.start, self.forest = boost(training, self.features, "label", "weight")
+        self.margin = reduce(lambda a, b: a + b, [_tree(t) for t in self.forest], F.lit(self.start))
 
     def featured(self, df: DataFrame, own_fold: bool = False) -> DataFrame:
         """df (see with_rules) with its binned features; own_fold: rates of the statistics leave out the row's fold."""
