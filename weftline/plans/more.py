@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import attribution, changes, ignore
 from weftline.plans import views
-from weftline.plans.watching import _SESSIONS, _folder, _stream_path, st1_capped_batches, st1_capped_batches_stream
+from weftline.plans.watching import _ASKED, _SESSIONS, _folder, _stream_path, st1_capped_batches, st1_capped_batches_stream
 from weftline.streaming import watch
 
 E, P = views.EVENTS_SQL, views.PUSH_SQL
@@ -266,3 +266,66 @@ def ent5_exports(spark, sf):
     rows = [(m, n) for m in ("weftline", "weftline.sources", "weftline.streaming") for n in import_module(m).__all__ if getattr(import_module(m), n) is not None]
     kept = {"WatchConfig", "Workspace", "load_languages", "wait_for"}
     return spark.createDataFrame([(m, n) for m, n in rows if n in kept or (m, n) == ("weftline", "watch")], "module string, name string")
+
+
+# Sources and git on folders made for the query
+
+
+@query("""SELECT CASE WHEN n_nationkey % 2 = 1 THEN 'added' WHEN n_nationkey % 4 = 0 THEN 'deleted' ELSE 'modified' END AS change, 'r' || n_regionkey || '/n' || n_nationkey AS path, n_nationkey % 4 <> 0 AS exists_now, FALSE AS is_dir FROM nation
+UNION ALL SELECT 'added', 'r' || r_regionkey || '/new', TRUE, TRUE FROM region""")
+def src1_workspace_source(spark, sf):
+    """What the workspace source tells of a folder between two listings: a file for each nation, a folder for each region."""
+    import os
+    import tempfile
+
+    from weftline.sources.snapshots import WorkspaceReader
+
+    nations = [tuple(r) for r in views.table(spark, sf, "nation").select("n_nationkey", "n_regionkey").toLocalIterator()]
+    regions = [r["r_regionkey"] for r in views.table(spark, sf, "region").select("r_regionkey").toLocalIterator()]
+    with tempfile.TemporaryDirectory() as root:  # read at once, on the driver
+        name = lambda n, r: os.path.join(root, f"r{r}", f"n{n}")
+
+        def write(n, r, text):
+            with open(name(n, r), "w") as f:
+                f.write(text)
+
+        for r in regions:
+            os.mkdir(os.path.join(root, f"r{r}"))
+        for n, r in nations:
+            if n % 2 == 0:
+                write(n, r, "a")
+        reader = WorkspaceReader({"roots": root, "stepMs": "10"})
+        start = reader.initialOffset()
+        for n, r in nations:
+            if n % 4 == 0:
+                os.unlink(name(n, r))
+            else:
+                write(n, r, "more")
+        for r in regions:
+            os.mkdir(os.path.join(root, f"r{r}", "new"))
+        rows = [(c, os.path.relpath(p, root), e, d) for c, p, e, d in reader.read(start)[0]]
+    return spark.createDataFrame(rows, "change string, path string, exists_now boolean, is_dir boolean")
+
+
+@query(lambda: f"WITH {E} SELECT DISTINCT rel_path AS rel_key FROM ev WHERE repo_root = '/ws/app' AND event_id IN (SELECT event_id FROM {_ASKED})")
+def flt3a_git_parity(spark, sf):
+    """The log's paths of one root, asked of git itself in a work tree with that root's ignore file (of the rules, where git is not
+    installed). Executors see the folder, as in a local session."""
+    import os
+    import subprocess
+    import tempfile
+
+    lines = views.IGNORE_FILES["/ws/app"]
+    ev = views.events(spark, sf, False).where("repo_root = '/ws/app'")
+    with tempfile.TemporaryDirectory() as root:
+        own = ev.withColumn("repo_root", F.lit(root))
+        asked = ignore.requests(own, spark.createDataFrame([(root, True)], "repo_root string, root_ok boolean"), 50)
+        if ignore.git_available():
+            with open(os.path.join(root, ".gitignore"), "w") as f:
+                f.write(lines)
+            subprocess.run(["git", "init", "-q", root], check=True)
+            found = ignore.ignored_by_git(asked)[0]
+        else:
+            found = ignore.ignored_by_rules(asked, spark.createDataFrame(ignore.git_rules(root, lines), ignore.GIT_RULE))
+        rows = [(r["rel_key"],) for r in found.toLocalIterator()]
+    return spark.createDataFrame(rows, "rel_key string")
