@@ -62,3 +62,12 @@ def test_uri(spark):
 def test_glob(spark, glob, text, want):
     rx = "(?s)^" + paths.glob_to_regex(glob) + r"\z"
     assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(rx)).first()[0] is want
+
+
+def test_labels_without_a_job_are_those_of_the_table(spark):
+    from weftline.operators import attribution
+
+    for roots in (["/a/x", "/b/x", "/a/x", "/c"], ["/"], ["/w/app", "/w/app/lib", "/s/app"], []):
+        table = spark.createDataFrame(list(enumerate(roots)), "ord int, root string")
+        want = [(r["root"], r["label"]) for r in attribution.normalize_roots(table).orderBy("ord").collect()]
+        assert attribution.labels_of(roots) == want

@@ -25,6 +25,13 @@ def normalize_roots(roots: DataFrame) -> DataFrame:
     return numbered.select("ord", "root", "base_name", F.when(F.col("n") == 1, F.col("base_name")).otherwise(F.format_string("%s#%d", "base_name", "k")).alias("label"))
 
 
+def labels_of(roots: Sequence[str]) -> list[tuple[str, str]]:
+    """(root, label) of a few roots that the driver holds, as normalize_roots gives them, without a job."""
+    first = list(dict.fromkeys(roots))
+    names = [r.rstrip("/").rpartition("/")[2] or r for r in first]
+    return [(r, n if names.count(n) == 1 else f"{n}#{names[: k + 1].count(n)}") for k, (r, n) in enumerate(zip(first, names, strict=True))]
+
+
 def check_roots(roots: DataFrame, known: DataFrame) -> DataFrame:
     """roots, or an error for one that the snapshot known (path, is_dir) does not have as a directory."""
     found = roots.join(known.select(F.col("path").alias("root"), "is_dir"), "root", "left")

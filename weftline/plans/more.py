@@ -152,7 +152,7 @@ def ent3_events_without_coalescing(spark, sf):
     """The whole path with coalescing off."""
     from weftline.model import WatchConfig
 
-    known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    known = attribution.labels_of([root for _, root in views.ROOTS])
     cfg = WatchConfig(gitignore_filter=False, defaults_filter=False, coalesce_events=False)
     return watch.prepare(views.change_log(spark, sf, False).withColumnRenamed("abs_path", "path"), known, cfg)[0].select("abs_path", "repo_root", "repo_label", "rel_path", "change")
 

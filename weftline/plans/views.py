@@ -52,7 +52,7 @@ def change_log(spark: SparkSession, sf: str, exists: bool = True) -> DataFrame:
 
 def events(spark: SparkSession, sf: str, exists: bool = True) -> DataFrame:
     """change_log with its roots' attribution; the roots are few, so it is a projection."""
-    known = [(r["root"], r["label"]) for r in attribution.normalize_roots(roots(spark)).toLocalIterator()]
+    known = attribution.labels_of([root for _, root in ROOTS])
     return attribution.attribute_few(change_log(spark, sf, exists), known)
 
 

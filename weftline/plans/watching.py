@@ -61,7 +61,7 @@ def src2_watch_async(spark: SparkSession, sf: str) -> DataFrame:
     changes is one batch; what exists is told by each path's last change."""
     folder = _folder(spark)
     stream = _change_stream(spark, sf).select("change", F.col("abs_path").alias("path"))
-    known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    known = attribution.labels_of([root for _, root in views.ROOTS])
     cfg = WatchConfig(gitignore_filter=False, repo_custom_ignores={k: tuple(v) for k, v in views.CUSTOM_IGNORES.items()})
     schema = "raw long, filtered long, repo_root string, repo_label string, rel_path string, change string"
 
@@ -87,7 +87,7 @@ def _change_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     folder = _folder(spark)
-    known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    known = attribution.labels_of([root for _, root in views.ROOTS])
     out = attribution.attribute_few(_change_stream(spark, sf), known).select("seq", "repo_root", "repo_label", "rel_path", "change")
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
@@ -243,7 +243,7 @@ def flt3a_git_requests(spark, sf):
 @query(f"WITH {R} SELECT mode, root, FALSE AS root_ok FROM roots, (VALUES ('on'), ('off')) t(mode)")
 def flt3c_gitignore_status(spark, sf):
     """With the filter on and off: none of the log's roots is a work tree here, so each is told so by git (or by its absence)."""
-    every = [r["root"] for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    every = [root for root, _ in attribution.labels_of([root for _, root in views.ROOTS])]
     rows = [("on" if on else "off", root, ok) for on in (True, False) for root, ok in ignore.gitignore_status(every, on)[2].items()]
     return spark.createDataFrame(rows, "mode string, root string, root_ok boolean")
 
@@ -483,7 +483,7 @@ def set4_missing_names(spark, sf):
 def set5_merged_roots(spark, sf):
     """One stream of several roots' changes: the union of each root's own, every change once, and of those outside all roots."""
     log = views.events(spark, sf, False).select("event_id", "abs_path", "repo_root")
-    known = [r["root"] for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    known = [root for root, _ in attribution.labels_of([root for _, root in views.ROOTS])]
     return changes.merged([log.where(F.col("repo_root") == r) for r in known] + [log.where("repo_root is null")]).select("event_id", "abs_path")
 
 
@@ -522,6 +522,6 @@ def st6_empty_batches(spark, sf):
 def ent1_whole_path(spark, sf):
     """The startup plan's rules, attribution and coalescing as one pass without batches."""
     raw = views.change_log(spark, sf).withColumnRenamed("abs_path", "path")
-    known = [(r["root"], r["label"]) for r in attribution.normalize_roots(views.roots(spark)).toLocalIterator()]
+    known = attribution.labels_of([root for _, root in views.ROOTS])
     cfg = WatchConfig(gitignore_filter=False, repo_custom_ignores={k: tuple(v) for k, v in views.CUSTOM_IGNORES.items()})
     return watch.prepare(raw, known, cfg)[0]
