@@ -314,15 +314,13 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Crf | None:
             delta, grad_moves, grad_start, _ = gradients(emit, y, bounds, model.moves, model.start)
             scale = 1 / len(batch)
             scaled = delta / np.sqrt(np.diff(fat))[:, None]
-            rows, where = np.unique(feats, return_inverse=True)
-            grad = np.zeros((len(rows), n))
-            np.add.at(grad, where.ravel(), np.repeat(scaled, np.diff(fat), axis=0))
+            rows = np.flatnonzero(np.bincount(feats, minlength=HASHED))
+            grad = np.stack([np.bincount(feats, np.repeat(c, np.diff(fat)), HASHED)[rows] for c in scaled.T], 1)
             step(model.grams, sums[0], rows, grad * scale + 1e-5 * model.grams[rows], 0.2)
             has = lex >= 0
             if has.any():
-                rows, where = np.unique(lex[has], return_inverse=True)
-                grad = np.zeros((len(rows), n))
-                np.add.at(grad, where.ravel(), delta[has])
+                rows = np.flatnonzero(np.bincount(lex[has], minlength=len(lexicon)))
+                grad = np.stack([np.bincount(lex[has], c, len(lexicon))[rows] for c in delta[has].T], 1)
                 step(model.words, sums[1], rows, grad * scale + 1e-5 * model.words[rows], 0.2)
             step(model.moves, sums[2], slice(None), grad_moves * scale, 0.1)
             step(model.start, sums[3], slice(None), grad_start * scale, 0.1)
