@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import langid, neardup, packing, piecebpe, quality, shinglejoin, tokencount, toxicity, urlfilter, warc
+from weftline.llm import infill, langid, neardup, packing, piecebpe, quality, shinglejoin, tokencount, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -19,9 +19,16 @@ def queries() -> dict:
             warc.op8_warc,
             quality.op9_quality_rules,
             urlfilter.op10_url_filters,
+            infill.op11_fill_in_middle,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": shinglejoin.ORACLE, "op7_embedding_neardup": neardup.ORACLE, "op8_warc": warc.ORACLE, "op9_quality_rules": quality.ORACLE}
+    return {
+        "op1_ngram_jaccard_join": shinglejoin.ORACLE,
+        "op7_embedding_neardup": neardup.ORACLE,
+        "op8_warc": warc.ORACLE,
+        "op9_quality_rules": quality.ORACLE,
+        "op11_fill_in_middle": infill.ORACLE,
+    }
