@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import infill, langid, neardup, packing, piecebpe, quality, shinglejoin, tokencount, toxicity, urlfilter, warc
+from weftline.llm import infill, langid, neardup, packing, piecebpe, quality, shinglejoin, tokencount, toxicity, urlfilter, warc, zipquality
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
             quality.op9_quality_rules,
             urlfilter.op10_url_filters,
             infill.op11_fill_in_middle,
+            zipquality.op12_quality_classifier,
         )
     }
 
