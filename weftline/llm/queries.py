@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import infill, langid, neardup, packing, piecebpe, quality, shinglejoin, tokencount, toxicity, urlfilter, warc, zipquality
+from weftline.llm import infill, langid, neardup, packing, piecebpe, prefixtrie, quality, shinglejoin, tokencount, toxicity, urlfilter, warc, zipquality
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
             urlfilter.op10_url_filters,
             infill.op11_fill_in_middle,
             zipquality.op12_quality_classifier,
+            prefixtrie.op13_conversation_trie,
         )
     }
 
