@@ -470,3 +470,19 @@ def _sharded_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE = """
+WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT c, c - c % 20 AS base, CASE WHEN c % 20 = 0 THEN [] ELSE list_transform(string_split(c::VARCHAR, ''), lambda b: ascii(b)::UBIGINT) END AS b FROM (SELECT DISTINCT c FROM t)),
+heads AS (SELECT c, base, CASE WHEN len(b) = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)::UBIGINT[]), lambda s, k: xor(s >> 1, (s & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 4 END AS h FROM bytes),
+rebuilt AS (SELECT heads.c, t.pos, r, x FROM heads JOIN t ON t.c = base AND pos <= h UNION ALL SELECT heads.c, pos, r, x FROM heads JOIN t USING (c) WHERE pos > h),
+seq AS (SELECT c, coalesce(list(sha256(strlen(r)::VARCHAR || ':' || r || x) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s,
+    coalesce(list(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))::BIGINT ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w FROM heads LEFT JOIN rebuilt USING (c) GROUP BY c),
+steps AS (SELECT c, d, s[1:d] AS k, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, d = len(s) AS last FROM seq, unnest(range(len(s) + 1)) u(d)),
+nodes AS (SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ids FROM steps GROUP BY k),
+kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sums AS (SELECT v.k[1:d] AS k, sum((v.n_convs - 1) * v.words)::BIGINT AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM nodes v LEFT JOIN kids USING (k), unnest(range(v.depth + 1)) u(d) GROUP BY ALL)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(kids.n, 0) AS n_children, sums.leaves AS n_leaves, sums.saved AS saved_tokens, sha256(nodes.ids) AS ends_sha256
+FROM nodes LEFT JOIN kids USING (k) JOIN sums USING (k) LEFT JOIN nodes up ON nodes.depth > 0 AND up.k = nodes.k[1:nodes.depth - 1]"""

@@ -33,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.ORACLE,
         "op9_quality_rules": quality.ORACLE,
         "op11_fill_in_middle": infill.ORACLE,
+        "op13_conversation_trie": prefixtrie.ORACLE,
     }
