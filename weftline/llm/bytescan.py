@@ -25,10 +25,6 @@ try:  # where the C library has it
 except (OSError, AttributeError):
     _libc = None
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 WORD_SEPARATORS = np.zeros(256, bool)
 WORD_SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LINE_SEPARATORS = np.zeros(256, bool)
@@ -36,27 +32,6 @@ LINE_SEPARATORS[0x0A] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n + 1 of each."""
-    size = 1 << max(16, int(n + 1).bit_length())
-    if size not in _powers:
-        tables = []
-        for base in (_BASE, _INVERSE):
-            out = np.empty(size, np.uint64)
-            out[0] = 1
-            k = 1
-            while k < size:
-                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
-                k *= 2
-            tables.append(out)
-        _powers.clear()
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     with np.errstate(over="ignore"):
@@ -65,24 +40,69 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_SIZE = np.uint64(0xD6E8FEB86659FD93)
+_FILL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def padded(buf: np.ndarray) -> np.ndarray:
+    """A copy with eight zeros at the end."""
+    out = np.zeros(len(buf) + 8, np.uint8)
+    out[: len(buf)] = buf
+    return out
+
+
+def _words(buf: np.ndarray) -> np.ndarray:
+    """For each position of padded bytes the eight bytes from it on as one number; a view."""
+    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+
+
+def _eights(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of these sizes in blocks of eight bytes: each block's span, its number in the span, and how many bytes it has."""
+    counts = (sizes + 7) >> 3
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return owner, number, np.minimum(sizes[owner] - 8 * number, 8)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """A 64-bit hash of each span buf[start:end]; spans are in order and do not overlap."""
+    """A 64-bit hash of each span buf[start:end]; spans are in order and do not overlap.
+
+    Each eight bytes are mixed, mixed again with their place in the span, and summed: what a byte adds is no multiple of a power
+    of anything, so spans built from few letters by a rule collide no more than others.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _power_tables(hi - lo)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
+        s, sizes = starts[i:j] - lo, ends[i:j] - starts[i:j]
+        owner, number, filled = _eights(sizes)
         with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[buf[lo:hi]] * power[: hi - lo], out=sums[1:])
-            s, e = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            parts = mix((_words(padded(buf[lo:hi]))[s[owner] + 8 * number] & _FILL[filled]) + _SIZE)
+            parts = mix(parts + (number.astype(np.uint64) + np.uint64(1)) * _PLACE)
+            sums = np.zeros(len(parts) + 1, np.uint64)
+            np.cumsum(parts, out=sums[1:])
+            last = np.cumsum((sizes + 7) >> 3)
+            out[i:j] = sums[last] - sums[last - ((sizes + 7) >> 3)] + sizes.astype(np.uint64) * _SIZE
         i = j
     return mix(out)
 
 
+def equal_spans(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of buf equal those of the other bytes, one by one; both are padded."""
+    same = sizes == other_sizes
+    at = np.flatnonzero(same)
+    step = 1 << 16  # spans at a time
+    mine, theirs = _words(buf), _words(other)
+    for k in range(0, len(at), step):
+        part = at[k : k + step]
+        owner, number, filled = _eights(sizes[part])
+        differ = (mine[starts[part][owner] + 8 * number] ^ theirs[other_starts[part][owner] + 8 * number]) & _FILL[filled]
+        same[part[owner[differ != 0]]] = False
+    return same
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs without separators; no run crosses a document's border."""
     inside = ~separators[buf]
@@ -166,14 +186,15 @@ def characters_before(buf: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """What is known of each distinct chunk of text, by its hash: a row of values, kept while there is room.
+    """What is known of each distinct chunk of text: a row of values, kept while there is room.
 
-    ``solve`` gets a list of new chunks (bytes) and returns their values in order and how many each has. Forgetting
-    chunks costs time only; a chunk takes about 40 bytes.
+    Chunks are found by hash and then compared byte by byte, so a hash that two chunks share costs time only. ``solve`` gets
+    a list of new chunks (bytes) and returns their values in order and how many each has. Forgetting chunks costs time
+    only; a chunk takes about 50 bytes beside its own.
     """
 
-    def __init__(self, solve, dtype, room: int = 600_000):
-        self.solve, self.dtype, self.room = solve, dtype, room
+    def __init__(self, solve, dtype, room: int = 600_000, size: int = 32 << 20):
+        self.solve, self.dtype, self.room, self.size = solve, dtype, room, size
         self._reset()
 
     def _reset(self) -> None:
@@ -181,25 +202,45 @@ class ChunkTable:
         self.rows = np.zeros(0, np.int64)
         self.offsets = np.zeros(1, np.int64)
         self.data = np.zeros(0, self.dtype)
+        self.byte_at = np.zeros(1, np.int64)
+        self.bytes = padded(np.zeros(0, np.uint8))
+
+    def _add(self, chunks: list[bytes]) -> np.ndarray:
+        """New rows for the chunks, in order."""
+        fresh, sizes = self.solve(chunks)
+        rows = len(self.offsets) - 1 + np.arange(len(chunks))
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.data = np.concatenate([self.data, fresh.astype(self.dtype, copy=False)])
+        self.byte_at = np.concatenate([self.byte_at, self.byte_at[-1] + np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))])
+        self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(b"".join([*chunks, bytes(8)]), np.uint8)])
+        return rows
 
     def lookup(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of all chunks in order, and the offsets of each chunk's values."""
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        inverse = inverse.ravel()
         at = np.searchsorted(self.keys, unique)
         at[at == len(self.keys)] = 0
         known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
         if not known.all():
-            if len(self.keys) + np.count_nonzero(~known) > self.room and len(self.keys):
-                self._reset()
-                known = np.zeros(len(unique), bool)
             new = np.flatnonzero(~known)
+            if len(self.keys) and (len(self.keys) + len(new) > self.room or len(self.bytes) + int((ends - starts)[first[new]].sum()) > self.size):
+                self._reset()
+                new = np.arange(len(unique))
             raw = buf.tobytes()
-            fresh, sizes = self.solve([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            rows = len(self.offsets) - 1 + np.arange(len(new))
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-            self.data = np.concatenate([self.data, fresh.astype(self.dtype, copy=False)])
+            rows = self._add([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             keys, rows = np.concatenate([self.keys, unique[new]]), np.concatenate([self.rows, rows])
             order = np.argsort(keys, kind="stable")
             self.keys, self.rows = keys[order], rows[order]
             at = np.searchsorted(self.keys, unique)
-        return gather(self.offsets, self.data, self.rows[at][inverse.ravel()])
+        found, sizes, own = self.rows[at], ends - starts, padded(buf)
+        rows = found[inverse]
+        # each unique hash's first chunk against what is kept, then the others against that first one
+        kept = equal_spans(own, starts[first], sizes[first], self.bytes, self.byte_at[found], self.byte_at[found + 1] - self.byte_at[found])
+        same = kept[inverse] & equal_spans(own, starts, sizes, own, starts[first][inverse], sizes[first][inverse])
+        if not same.all():  # other chunks of a known hash: solved anew, under no key
+            odd = np.flatnonzero(~same)
+            chunks = [buf[s:e].tobytes() for s, e in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            number = {c: k for k, c in enumerate(dict.fromkeys(chunks))}
+            rows[odd] = self._add(list(number))[[number[c] for c in chunks]]
+        return gather(self.offsets, self.data, rows)
