@@ -345,3 +345,22 @@ def test_trees_learn(spark):
         margin = margin + urlfilter._tree(t)
     wrong = df.where((margin > 0).cast("int") != F.col("label")).count()
     assert wrong == 0
+
+
+def test_copies_do_not_crowd_out_a_language_s_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    copies = spark.range(300_000).select((F.col("id") + 10**7).alias("doc_id"), F.lit("ein text der sich sehr oft wiederholt").alias("text"), F.lit("de").alias("lang"))
+    known = F.lit(True)
+    before, after = (Counter(lang for lang, _ in langid._training_windows(d, "doc_id", "text", "lang", known)) for d in (docs, docs.union(copies)))
+    assert all(abs(after[lang] - n) <= 1 + 0.1 * n for lang, n in before.items()) and before["de"] > 100
+
+
+def test_windows_of_a_very_long_text_are_bounded_and_spread(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en"), (2, "kurz und gut", "de"), (3, "x" * 100_000 + " y", "de"), (4, None, "de"), (5, "no label", None), (6, " \n ", "fr")], "doc_id long, text string, lang string")
+    got = langid._training_windows(docs, "doc_id", "text", "lang", F.lit(True))
+    long = [w.split() for lang, w in got if lang == "en"]
+    assert 400 < len(long) < 600 and all(len(w) == langid.WORDS for w in long)
+    places = sorted(int(w[0][1:]) for w in long)
+    assert all(p % langid.WORDS == 0 for p in places) and places[0] < 2000 and places[-1] > 58_000
+    assert [w for lang, w in got if lang == "de"] == ["kurz und gut"] and not [w for lang, w in got if lang == "fr"]

@@ -13,6 +13,7 @@ matrix, then with the messages from both sides, so that memory is bounded by the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from weftline.llm import bytescan
 
 UNKNOWN = "und"
-#: About so many labelled documents are sampled for each language, and read whole.
+#: About so many distinct labelled texts are sampled for each language.
 SAMPLE = 200
-#: Words of one text in a row within a training sequence.
+#: Words of one text in a row within a training sequence, and their bytes at most (words of thousands of bytes teach nothing).
 WORDS = 30
+WINDOW_BYTES = 1 << 14
+#: About so many windows of one text are learned from, spread over it by hash.
+MOST_WINDOWS = 500
 ORDERS = (1, 2, 3, 4)
 #: Lengths of n-grams that are features at a word's border only.
 AFFIXES = (5, 6)
@@ -40,8 +44,8 @@ SEED = 11
 BLOCK = 32
 #: Bytes of text whose chains are in memory at once (about 300 bytes for each).
 SLICE = 1 << 18
-#: A document whose language is less sure than this is rejected by the filter.
-MIN_SCORE = 0.3
+#: A document is rejected by the filter if no language has half of its words (by their mean probability).
+MIN_SCORE = 0.5
 
 _LETTERLESS = np.zeros(256, bool)
 _LETTERLESS[[b for b in range(128) if not chr(b).isalpha()]] = True
@@ -399,18 +403,36 @@ def _long_sums(model: Crf, buf: np.ndarray, size: int = SLICE) -> np.ndarray:
     return sums
 
 
-def _training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trainable: Column) -> list[tuple[str, str]]:
-    """A sample of the distinct labelled texts, by hash: about SAMPLE for each language, whole."""
+def _training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trainable: Column) -> list[tuple[str, str]]:
+    """(language, words in a row) of a sample of the distinct labelled texts, by hash: about SAMPLE for each language, and
+    about MOST_WINDOWS windows of each, spread over the whole text. Only windows come to the driver, whatever a text's size."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), trainable.alias("ok")).where("ok and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("text", F.lit(SEED))  # copies have one hash, so that a common text counts once, here and below
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()}
     if not counts:
         return []
     share = F.lit(0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(SAMPLE << 20) // n)))).otherwise(share)
-    # copies have one hash, so that a common text counts once
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < share).select("lang", "text").distinct()
-    return sorted((r["lang"], r["text"]) for r in picked.collect())
+        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(SAMPLE << 20) // max(1, n))))).otherwise(share)
+    picked = rows.where(F.pmod(key, F.lit(1 << 20)) < share).select("lang", "text").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offsets, _ in bytescan.text_slices(batch, "text"):
+                starts, ends = bytescan.spans(buf, offsets, bytescan.WORD_SEPARATORS)
+                cuts = bytescan.document_of(starts, offsets).tolist()
+                firsts = [np.arange(a, b, WORDS) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                of_text = np.array([len(f) for f in firsts])
+                first = np.concatenate(firsts)
+                owner = np.repeat(np.arange(part.num_rows), of_text)
+                last = np.minimum(first + WORDS, np.array(cuts)[owner + 1]) - 1
+                lo, hi = starts[first], ends[last]
+                drawn = (bytescan.mix(bytescan.span_hashes(buf, lo, hi)) >> np.uint64(44)).astype(np.int64)
+                keep = (drawn * of_text[owner] < MOST_WINDOWS << 20) & (hi - lo <= WINDOW_BYTES)
+                texts = [buf[i:j].tobytes() for i, j in zip(lo[keep].tolist(), hi[keep].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[keep])), pa.array(texts, pa.binary())], ["lang", "words"])
+
+    return sorted((r["lang"], bytes(r["words"]).decode()) for r in picked.mapInArrow(cut, "lang string, words binary").collect())
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -420,9 +442,10 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf | None:
     """The model of the labelled documents whose crc32(id) mod 4 is not 2; None if no label or no word is left. Rows with a null
-    id, text or label are not learned from, copies of a text count once, and texts are learned from whole, however long."""
+    id, text or label are not learned from, copies of a text count once, and of a very long text the windows of words that
+    are learned from are spread over all of it."""
     known = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
-    return train(_training_texts(docs, id_col, text_col, lang_col, known))
+    return train(_training_windows(docs, id_col, text_col, lang_col, known))
 
 
 def predict(text: Column, model: Crf | None) -> Column:
