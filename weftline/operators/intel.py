@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.model import SEVERITY_ERROR
+from weftline.operators import trees
 
 
 def document_symbols(symbols: DataFrame, uri: str) -> DataFrame:
@@ -22,28 +22,15 @@ def document_symbols(symbols: DataFrame, uri: str) -> DataFrame:
 
 
 def walk(symbols: DataFrame, levels: int | None = None) -> DataFrame:
-    """symbols with level (from 0) and path of names from the root: one join by parent for each level.
+    """symbols with level (from 0), path of names, top (the id that the path begins at) and reached: by pointer doubling (trees.climb).
 
-    levels: how deep the trees are known to be, so that no job runs here; deeper symbols are an error of the caller's. None
-    goes on until a level is empty; a symbol that is its own ancestor (an id that stands twice) is a ValueError.
+    No symbol is lost: one whose parent is not there is the top of its own tree (reached is ``orphan``), and one on a cycle or below
+    has reached ``cycle`` and no path. levels: how deep the trees are at most, so that no job runs here (deeper symbols
+    have no path); None finds out. Ids that stand twice are a ValueError if levels is None.
     """
-    now = symbols.where("parent_id is null").withColumns({"level": F.lit(0), "path": F.col("name"), "above_": F.array("symbol_id")})
-    out, k = now, 0
-    while levels is None or k < levels - 1:
-        k += 1
-        up = now.select(F.col("symbol_id").alias("up_"), F.col("path").alias("path_"), F.col("above_").alias("over_"))
-        now = symbols.join(up, symbols["parent_id"] == up["up_"]).withColumns({"level": F.lit(k), "path": F.concat_ws("/", "path_", "name"), "above_": F.concat("over_", F.array("symbol_id"))})
-        if levels is None:
-            now = now.persist(StorageLevel.DISK_ONLY)  # the next level joins it again
-            state = now.agg(F.count("*").alias("n"), F.bool_or(F.array_contains("over_", F.col("symbol_id"))).alias("loop")).first()
-            if state["loop"]:
-                raise ValueError("a symbol is its own ancestor")
-            if not state["n"]:
-                now.unpersist()
-                break
-        now = now.drop("up_", "path_", "over_")
-        out = out.unionByName(now)
-    return out.drop("above_")
+    if levels is None and (twice := trees.repeated_ids(symbols).first()) is not None:
+        raise ValueError(f"a symbol id stands {twice['n']} times: {twice['symbol_id']}")
+    return trees.walk(symbols, depth=levels)
 
 
 def without_child(parents: DataFrame, expected: DataFrame) -> DataFrame:

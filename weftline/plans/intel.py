@@ -273,3 +273,36 @@ def src6_ground_truth(spark, sf):
     docs.select(symbols.alias("value"), "name").repartition("name").write.partitionBy("name").text(folder)
     read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), F.parse_json("value").alias("doc"))
     return truth.symbol_tree(read, 3).select("level", "path", "name", "kind_category")
+
+
+#: A tree of each 400 events, as deep: every seventh begins at a parent that is missing, every eleventh is closed to a cycle.
+DEEP_SQL = """t AS (SELECT event_id AS id, event_id // 400 AS k, event_id % 400 AS j, 'e' || event_id % 17 AS name FROM events),
+deep AS (SELECT id, name, CASE WHEN j > 0 THEN id - 1 WHEN k % 7 = 3 THEN -id - 1 WHEN k % 11 = 5 THEN least(id + 399, (SELECT max(id) FROM t)) END AS parent FROM t)"""
+
+
+def deep_tree(spark, sf):
+    """(symbol_id, parent_id, name): long chains, some without a root."""
+    e = views.table(spark, sf, "events").select(F.col("event_id").alias("symbol_id"), F.floor(F.col("event_id") / 400).alias("k"), (F.col("event_id") % 400).alias("j"))
+    last = e.agg(F.max("symbol_id").alias("last"))
+    e = e.crossJoin(F.broadcast(last))  # one row
+    closed = F.when(F.col("k") % 7 == 3, -F.col("symbol_id") - 1).when(F.col("k") % 11 == 5, F.least(F.col("symbol_id") + 399, "last"))
+    return e.select("symbol_id", F.when(F.col("j") > 0, F.col("symbol_id") - 1).otherwise(closed).alias("parent_id"), F.concat(F.lit("e"), F.col("symbol_id") % 17).alias("name"))
+
+
+@query(f"""WITH RECURSIVE {DEEP_SQL}, top AS (SELECT id, parent FROM deep WHERE parent IS NULL OR parent NOT IN (SELECT id FROM deep)),
+down AS (SELECT d.id, d.name AS path, 0 AS level, d.id AS top, CASE WHEN d.parent IS NULL THEN 'root' ELSE 'orphan' END AS reached FROM deep d JOIN top USING (id)
+  UNION ALL SELECT d.id, path || '/' || d.name, level + 1, top, reached FROM down JOIN deep d ON d.parent = down.id)
+SELECT deep.id AS symbol_id, level, top, sha256(path) AS path_sha256, coalesce(reached, 'cycle') AS reached FROM deep LEFT JOIN down USING (id)""")
+def rec1_deep_paths(spark, sf):
+    """Paths in deep trees by pointer doubling, orphans and cycles told apart."""
+    found = intel.walk(deep_tree(spark, sf))
+    return found.select("symbol_id", "level", "top", F.sha2(F.col("path").cast("binary"), 256).alias("path_sha256"), "reached")
+
+
+@query(f"""WITH {DEEP_SQL} SELECT id AS symbol_id, parent AS parent_id, CASE WHEN parent IN (SELECT id FROM deep) THEN 'on a cycle or below one' ELSE 'parent is missing' END AS problem
+FROM deep d WHERE parent IS NOT NULL AND (parent NOT IN (SELECT id FROM deep) OR id // 400 IN (SELECT id // 400 FROM deep WHERE parent >= id))""")
+def lq1_symbols_without_a_root(spark, sf):
+    """What an outline cannot place: symbols whose parent is missing, and those that never come to a root."""
+    tree = deep_tree(spark, sf)
+    found = intel.walk(tree).where((F.col("reached") == "cycle") | ((F.col("reached") == "orphan") & (F.col("level") == 0)))
+    return found.select("symbol_id", "parent_id", F.when(F.col("reached") == "cycle", "on a cycle or below one").otherwise("parent is missing").alias("problem"))
