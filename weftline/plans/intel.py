@@ -306,3 +306,53 @@ def lq1_symbols_without_a_root(spark, sf):
     tree = deep_tree(spark, sf)
     found = intel.walk(tree).where((F.col("reached") == "cycle") | ((F.col("reached") == "orphan") & (F.col("level") == 0)))
     return found.select("symbol_id", "parent_id", F.when(F.col("reached") == "cycle", "on a cycle or below one").otherwise("parent is missing").alias("problem"))
+
+
+#: Each change of a file gives it a new text: a class with one method, which makes one call, and a function.
+SOURCE_SQL = f"""WITH {views.LOG_SQL}, last AS (SELECT 'file://' || abs_path AS uri, arg_max(change, event_id) AS change, max(event_id) AS seq FROM log GROUP BY abs_path),
+src AS (SELECT uri, 'F' || seq % 11 AS cls, 'm' || seq % 5 AS meth, 'g' || seq % 3 AS callee, 'top' || seq % 4 AS fn FROM last WHERE change <> 'deleted')"""
+
+
+def source_changes(spark, sf):
+    """(uri, seq, deleted, text) of the change log."""
+    log = views.change_log(spark, sf, False)
+    k = F.col("event_id")
+    part = lambda name, n: F.concat(F.lit(name), (k % n).cast("string"))
+    source = F.concat(F.lit("class "), part("F", 11), F.lit(":\n    def "), part("m", 5), F.lit("(self):\n        return "), part("g", 3), F.lit("()\n\ndef "), part("top", 4), F.lit("():\n    pass\n"))
+    return log.select(F.concat(F.lit("file://"), "abs_path").alias("uri"), k.alias("seq"), (F.col("change") == "deleted").alias("deleted"), F.when(F.col("change") != "deleted", source).alias("text"))
+
+
+def followed(spark, sf):
+    """A store that has followed the change log in four batches of a stream, and then got the third one once more."""
+    from weftline.session import shared_folder
+    from weftline.sources import pysymbols
+    from weftline.streaming import facts
+
+    folder = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    log = source_changes(spark, sf)
+    log.repartitionByRange(4, "seq").write.parquet(f"{folder}/log")
+    tables = {"symbols": (pysymbols.SYMBOL, pysymbols.python_symbols), "calls": (pysymbols.CALL, pysymbols.python_calls)}
+    store = facts.FactStore(spark, f"{folder}/store", tables, 16)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    facts.follow(stream, store, f"{folder}/state", "log").awaitTermination()
+    if store.apply(log, 2, "log"):
+        raise AssertionError("a batch was applied twice")
+    return store
+
+
+@query(f"""{SOURCE_SQL} SELECT uri, uri || '::' || cls AS symbol_id, NULL AS parent_id, cls AS name, 5 AS kind, 0 AS line FROM src
+UNION ALL SELECT uri, uri || '::' || cls || '::' || meth, uri || '::' || cls, meth, 6, 1 FROM src UNION ALL SELECT uri, uri || '::' || fn, NULL, fn, 12, 4 FROM src""")
+def lq12_reindexed_symbols(spark, sf):
+    """Symbols after the change log has been followed batch by batch: those of each file's last text."""
+    return followed(spark, sf).facts("symbols").select("uri", "symbol_id", "parent_id", "name", "kind", "line")
+
+
+@query(f"{SOURCE_SQL} SELECT uri, uri || '::' || cls || '::' || meth AS caller_id, callee, 2 AS line FROM src")
+def lq12_reindexed_calls(spark, sf):
+    return followed(spark, sf).facts("calls")
+
+
+@query(f"{SOURCE_SQL} SELECT uri, seq, change = 'deleted' AS deleted FROM last")
+def lq12_followed_files(spark, sf):
+    """What the store knows of each file: its last change, and whether that deleted it."""
+    return followed(spark, sf).facts("files")
