@@ -97,3 +97,26 @@ def test_stream_of_real_files(spark, tmp_path):
         facts.follow(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log")), store, str(tmp_path / "c"), "w").awaitTermination()
     assert [n for _, n in state(store)[0]] == ["one"] and store.commit()["number"] == 0
     assert stages.exists(spark, f"file://{tmp_path}/s/files")
+
+
+def test_facade_sees_edits(spark, tmp_path):
+    from weftline.workspace import Workspace
+
+    path = tmp_path / "m.py"
+    event = lambda seq, change: spark.createDataFrame([(seq, change, str(path))], "seq long, change string, abs_path string")
+    sent = []
+    store = facts.FactStore(spark, f"file://{tmp_path}/s", TABLES, 4)
+    with Workspace(spark, "python", [".py"], {"symbols": store.facts("symbols")}, send=sent.extend, index=store) as w:
+        assert w.workspace_symbols("before").count() == 0
+        path.write_text("def before(): pass\n")
+        w.notify_file_changes(event(1, "added"))
+        assert [r["name"] for r in w.workspace_symbols("before").collect()] == ["before"]
+        path.write_text("class After:\n    def m(self): pass\n")
+        w.notify_file_changes(event(2, "modified"))
+        assert w.workspace_symbols("before").count() == 0
+        assert sorted(r["path"] for r in w.document_symbols(f"file://{path}").collect()) == ["After", "After/m"]
+        path.unlink()
+        w.notify_file_changes(event(3, "deleted"), 2)
+        w.notify_file_changes(event(1, "added"), 2)  # told twice
+        assert w.document_symbols(f"file://{path}").count() == 0
+    assert [t for _, t in sent] == [1, 2, 3, 1]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from weftline.functions import paths, text
+from weftline.stages import Stages
 
 #: A key's events are one file's change in one batch.
 PATH_KEY = ("repo_root", "rel_path", "abs_path")
@@ -41,31 +44,97 @@ def capped_starts(times: Sequence[int] | np.ndarray, gap: int, cap: int, start:
     return out
 
 
+def _same(a, b) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
+def _scan_runs(frames: Iterator[pd.DataFrame], owner: str, time: str, gap: int, cap: int, states: Mapping[int, tuple[int, int]]) -> Iterator[pd.DataFrame]:
+    """Frames sorted by owner and time with batch_start; only the running batch is kept. states: of owners that go on."""
+    name = start = last = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        owners, times = frame[owner].to_numpy(np.int64), frame[time].to_numpy(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owners)) + 1, [len(frame)]])
+        out = np.empty(len(frame), np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if owners[a] != name:
+                name = int(owners[a])
+                start, last = states.get(name, (None, None))
+            out[a:b] = capped_starts(times[a:b], gap, cap, start, last)
+            start, last = int(out[b - 1]), int(times[b - 1])
+        yield frame.assign(batch_start=out)
+
+
+def border_runs(borders: Sequence[Row], gap: int) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """Which scan each partition's first run belongs to, and the state that a scan goes on from. borders: of each partition with rows,
+    in order, part, the first and last key and time, runs, and batch_start of the last row (null in a first run)."""
+    scan_of: dict[int, int] = {}
+    states: dict[int, tuple[int, int]] = {}
+    before = None
+    for b in borders:
+        goes_on = before is not None and _same(before["last_key"], b["first_key"]) and b["first_time"] - before["last_time"] <= gap
+        if goes_on and before["runs"] == 1:
+            scan_of[b["part"]] = scan_of[before["part"]]
+        else:
+            scan_of[b["part"]] = b["part"]
+            if goes_on:
+                states[b["part"]] = (before["last_start"], before["last_time"])
+        before = b
+    return scan_of, states
+
+
 def capped_batches(events: DataFrame, key: str, time: str, order: str, gap: int, cap: int) -> DataFrame:
-    """events with batch_start. Batches are sequential within a key, so keys are the unit of parallel work.
+    """events with batch_start. A gap of more than ``gap`` ends a batch whatever its cap, so the runs between such gaps are the unit
+    of parallel work, not the keys.
 
-    A key's events arrive sorted, in Arrow batches, and only the state of the running batch is kept: memory does not grow with a key.
+    Events are range-partitioned by key and time, so a key with very many spreads over tasks. A task finishes all runs but
+    its first, which may have begun in the partition before: what it goes on from is told by one row for each partition, and
+    the first runs are scanned again, each with the state at its border; a run over several partitions is one scan, in
+    order, that keeps only the running batch. Null keys are one key.
     """
-    schema = events.withColumn("batch_start", F.lit(0).cast("long")).schema
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = events.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*events.schema.fields]).add("batch_start", LongType()).add("part_", IntegerType()).add("run_", LongType()).add("at_", LongType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner = start = last = None
-        for frame in frames:
-            if not len(frame):
-                continue
-            keys, times = frame[key], frame[time].to_numpy(np.int64)
-            changed = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).to_numpy(bool)
-            cuts = np.union1d(np.flatnonzero(changed), [0, len(frame)])
-            out = np.empty(len(frame), np.int64)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                name = None if pd.isna(keys.iloc[a]) else keys.iloc[a]
-                goes_on = a == 0 and last is not None and name == owner
-                out[a:b] = capped_starts(times[a:b], gap, cap, start if goes_on else None, last if goes_on else None)
-                owner, start, last = name, int(out[b - 1]), int(times[b - 1])
-            yield frame.assign(batch_start=out)
-
-    return events.repartition(parts, key).sortWithinPartitions(key, time, order).mapInPandas(run, schema)
+        task = TaskContext.get()
+        part = task.partitionId() if task else 0
+        name = last = None
+        number, at = -1, 0
+
+        def numbered() -> Iterator[pd.DataFrame]:
+            nonlocal name, last, number, at
+            for frame in frames:
+                if not len(frame):
+                    continue
+                keys, times = frame[key], frame[time].to_numpy(np.int64)
+                new = np.ones(len(frame), bool)
+                other = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).to_numpy(bool)
+                new[1:] = other[1:] | (np.diff(times) > gap)
+                new[0] = number < 0 or not _same(keys.iloc[0], name) or times[0] - last > gap
+                runs = number + np.cumsum(new)
+                name, last, number = keys.iloc[-1], int(times[-1]), int(runs[-1])
+                yield frame.assign(part_=np.int32(part), run_=runs, at_=at + np.arange(len(frame)))
+                at += len(frame)
+
+        for frame in _scan_runs(numbered(), "run_", time, gap, cap, {}):
+            starts = frame["batch_start"].where(frame["run_"] > 0).astype("Int64")
+            yield frame.assign(batch_start=starts)[schema.names]
+
+    dealt = events.repartitionByRange(parts, key, time, order).sortWithinPartitions(key, time, order)
+    found = Stages(spark).put(dealt.mapInPandas(run, schema))
+    edge = F.struct(F.col(key).alias("k"), F.col(time).alias("t"), F.col("batch_start").alias("s"))
+    by_part = found.groupBy("part_").agg(F.min_by(edge, "at_").alias("a"), F.max_by(edge, "at_").alias("z"), (F.max("run_") + 1).alias("runs"))
+    # one row for each partition
+    borders = by_part.select(F.col("part_").alias("part"), F.col("a.k").alias("first_key"), F.col("a.t").alias("first_time"), F.col("z.k").alias("last_key"), F.col("z.t").alias("last_time"), F.col("z.s").alias("last_start"), "runs").orderBy("part_").collect()
+    scan_of, states = border_runs(borders, gap)
+    place = spark.createDataFrame(list(scan_of.items()), "part_ int, scan_ int")
+    first = found.where("run_ = 0").join(F.broadcast(place), "part_").withColumn("scan_", F.col("scan_").cast("long"))
+    columns = [*events.columns, "batch_start"]
+    again = StructType([*first.drop("batch_start").schema.fields]).add("batch_start", LongType())
+    redone = first.drop("batch_start").repartition(parts, "scan_").sortWithinPartitions("scan_", time, order).mapInPandas(lambda frames: _scan_runs(frames, "scan_", time, gap, cap, states), again)
+    return found.where("run_ > 0").select(*columns).unionByName(redone.select(*columns))
 
 
 def coalesce(events: DataFrame, batch: Sequence[str] = (), seq: str = "seq", exists: str = "exists_now") -> DataFrame:

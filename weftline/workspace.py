@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.functions.text import LANGUAGE_IDS
 from weftline.operators import changes, intel
 from weftline.streaming import diagnostics as live
+from weftline.streaming import facts as store
 from weftline.streaming import watch
 
 #: What answers are available, by the protocol's names.
@@ -31,6 +32,7 @@ class Workspace:
     diagnostics_table: str | None = None
     send: Callable[[list[tuple[str, int]]], None] = lambda rows: None
     servers: Sequence[Callable[[], dict | None]] = ()
+    index: store.FactStore | None = None
     _capabilities: dict[str, bool] | None = None
     _open: set[str] = field(default_factory=set)
 
@@ -138,10 +140,19 @@ class Workspace:
         for such a push; what there is when the time is up; never None."""
         return live.wait_for(self.spark, self.diagnostics_table, uri, timeout, newer_than) if self.diagnostics_table else []
 
-    def notify_file_changes(self, events: DataFrame) -> None:
-        """Sends a batch's events (seq, change, abs_path) that this language takes, and nothing if none remain."""
+    def notify_file_changes(self, events: DataFrame, number: int | None = None) -> None:
+        """Sends a batch's events (seq, change, abs_path) that this language takes, and nothing if none remain.
+
+        With an index the changed files are parsed again and queries see their new facts; number: the batch's, so that one that is
+        told twice is indexed once (None: a new batch).
+        """
         numbers = {"Created": 1, "Changed": 2, "Deleted": 3}
         self.notify_raw([(r["uri"], numbers[r["type"]]) for r in changes.translate(events, self.suffixes).orderBy("seq").toLocalIterator()])
+        if self.index is not None:
+            if number is None:
+                number = self.index.commit()["sources"].get(self.language, -1) + 1
+            self.index.apply(store.with_texts(changes.by_suffix(events, self.suffixes)), number, self.language)
+            self.facts = self.facts | {t: self.index.facts(t) for t in self.index.tables}
 
     def notify_raw(self, rows: Sequence[tuple[str, int]]) -> None:
         watch.notify_raw(self.send, rows)
