@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths
 from weftline.model import WatchConfig
+from weftline.operators import ignoreindex
 
 #: What file watchers ignore by default, as names of directories and patterns of base names.
 DEFAULT_DIRS = ("__pycache__", ".git", ".hg", ".svn", ".tox", ".venv", ".idea", "node_modules", ".mypy_cache", ".pytest_cache", ".hypothesis")
@@ -167,23 +168,26 @@ def requests(events: DataFrame, root_ok: DataFrame, chunk: int) -> DataFrame:
 GIT_RULE = "repo_root string, ord int, pattern string, negated boolean, dir_only boolean"
 
 
-def git_rules(root: str, text: str, folder: str = "", first: int = 0) -> list[tuple[str, int, str, bool, bool]]:
-    """GIT_RULE rows of an ignore file's lines, in order from ``first`` on. folder: where below the root the file lies; the files of
-    deeper folders must come later. pattern is a regular expression for a path below the root."""
-    out = []
+def rule_lines(text: str) -> Iterator[tuple[bool, str, bool]]:
+    """(negated, glob, dir_only) of the lines of an ignore file that are rules."""
     for line in text.splitlines():
         kept = re.sub(r"(?<!\\)[ \t]+$", "", line)
         if not kept or kept.startswith("#"):
             continue
         negated = kept.startswith("!")
         body = kept[1:] if negated else kept
-        dir_only = body.endswith("/")
-        body = body.rstrip("/") if dir_only else body
-        if not body:
-            continue
-        anchored = "/" in body
-        prefix = paths.escape_regex(folder.strip("/") + "/") if folder.strip("/") else ""
-        out.append((root, first + len(out), "(?s)^" + prefix + ("" if anchored else "(?:.*/)?") + paths.git_glob_to_regex(body.removeprefix("/")) + r"\z", negated, dir_only))
+        if plain := body.rstrip("/"):
+            yield negated, plain, body.endswith("/")
+
+
+def git_rules(root: str, text: str, folder: str = "", first: int = 0) -> list[tuple[str, int, str, bool, bool]]:
+    """GIT_RULE rows of an ignore file's lines, in order from ``first`` on. folder: where below the root the file lies; the files of
+    deeper folders must come later. pattern is a regular expression for a path below the root."""
+    prefix = paths.escape_regex(folder.strip("/") + "/") if folder.strip("/") else ""
+    out = []
+    for negated, body, dir_only in rule_lines(text):
+        anywhere = "" if "/" in body else "(?:.*/)?"
+        out.append((root, first + len(out), "(?s)^" + prefix + anywhere + paths.git_glob_to_regex(body.removeprefix("/")) + r"\z", negated, dir_only))
     return out
 
 
@@ -237,12 +241,26 @@ def ignored_by_git(asked: DataFrame, timeout_s: float = 10.0) -> tuple[DataFrame
     return out.where("error is null").select("repo_root", "rel_key").distinct(), out.where("error is not null").select("repo_root", "error")
 
 
-def git_filter(events: DataFrame, roots: Iterator[str] | Sequence[str], enabled: bool = True, chunk: int = 4000, timeout_s: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """events (with is_dir and seq) that git does not ignore, and warnings (repo_root, warning)."""
+def git_filter(
+    events: DataFrame,
+    roots: Iterator[str] | Sequence[str],
+    enabled: bool = True,
+    chunk: int = 4000,
+    timeout_s: float = 10.0,
+    rules: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """events (with is_dir and seq) that git does not ignore, and warnings (repo_root, warning).
+
+    rules: rows of ignore files (sources.ignorefiles.rules_of), by which events are filtered where git is not installed; without
+    them nothing is filtered there.
+    """
     spark = events.sparkSession
     on, there, ok = gitignore_status(list(roots), enabled)
+    none = spark.createDataFrame([], "repo_root string, warning string")
+    if on and not there and rules is not None:
+        return drop_ignored(events, ignoreindex.ignored(ignoreindex.asked_of(events), rules)), none
     if not on or not there:
-        return events, spark.createDataFrame([], "repo_root string, warning string")
+        return events, none
     root_ok = spark.createDataFrame(list(ok.items()), "repo_root string, root_ok boolean")
     found, failed = ignored_by_git(requests(events, root_ok, chunk), timeout_s)
     ignored, warnings = fail_open(found, failed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
 from weftline.model import WatchConfig
-from weftline.operators import attribution, changes, ignore, intel
+from weftline.operators import attribution, changes, ignore, ignoreindex, intel
 from weftline.plans import views
 from weftline.session import shared_folder
 from weftline.streaming import watch
@@ -232,6 +232,49 @@ def flt3f_fail_open_warning(spark, sf):
     return _ignored(spark, views.events(spark, sf, False))[1]
 
 
+#: Ignore files of a tree: the root's, and one in each folder of the log, which its number tells apart.
+_ROOT_LINES = "*.md\n!keep*\nd3/\n"
+_FOLDER_LINES = "f*{k}.ts\n!f1*\n/f2*.py\n/gone\n"
+
+
+@query(f"""WITH {E}, p AS (SELECT DISTINCT repo_root, rel_path, split_part(rel_path, '/', 1) AS folder, split_part(rel_path, '/', 2) AS name FROM ev WHERE repo_root IN ('/ws/app', '/srv/app', '/ws/app/lib'))
+SELECT repo_root, rel_path AS rel_key FROM p WHERE folder = 'd3' OR CASE WHEN starts_with(name, 'f2') AND suffix(name, '.py') THEN TRUE WHEN starts_with(name, 'f1') THEN FALSE
+  WHEN starts_with(name, 'f') AND suffix(name, substr(folder, 2) || '.ts') THEN TRUE ELSE suffix(name, '.md') END""")
+def flt3_nested_ignore_files(spark, sf):
+    """Paths that the ignore files of whole trees leave out: the deepest folder's rules come last, and nothing below an ignored
+    folder is taken back."""
+    from weftline.sources import ignorefiles
+
+    ev = views.events(spark, sf, False).where(F.col("repo_root").isin("/ws/app", "/srv/app", "/ws/app/lib"))
+    folders = ev.select("repo_root", F.split("rel_path", "/")[0].alias("folder")).distinct()
+    lines = F.replace(F.lit(_FOLDER_LINES), F.lit("{k}"), F.substr("folder", F.lit(2)))
+    files = folders.select("repo_root", "folder", lines.alias("text"), F.lit(False).alias("excludes"))
+    roots = folders.select("repo_root").distinct().select("repo_root", F.lit("").alias("folder"), F.lit(_ROOT_LINES).alias("text"), F.lit(False).alias("excludes"))
+    return ignorefiles.ignored(ignoreindex.asked_of(ev), files.unionByName(roots)).select("repo_root", "rel_key")
+
+
+@query(f"""WITH {E}, p AS (SELECT DISTINCT repo_root, rel_path, split_part(rel_path, '/', 1) AS folder, split_part(rel_path, '/', 2) AS name FROM ev WHERE repo_root IN ('/ws/app', '/srv/app')),
+c AS (SELECT c_custkey AS k, c_custkey % 4 = 0 AS negated FROM customer),
+m AS (SELECT repo_root, rel_path, k, negated FROM p JOIN c ON k % 3 = 0 AND name = 'f' || k || '.py' UNION ALL SELECT repo_root, rel_path, k, negated FROM p JOIN c ON k % 3 = 1 AND suffix(name, k || '.ts')
+  UNION ALL SELECT repo_root, rel_path, k, negated FROM p JOIN c ON k % 3 = 2 AND folder = 'd' || k % 7 AND starts_with(name, 'f' || k))
+SELECT repo_root, rel_path AS rel_key FROM m GROUP BY ALL HAVING NOT arg_max(negated, k)""")
+def flt3_rule_index(spark, sf):
+    """A rule for each customer (names, ends of names, beginnings within a folder, every fourth one negated), in one ignore file of two
+    roots."""
+    from weftline.sources import ignorefiles
+
+    k = F.col("c_custkey")
+    glob = F.when(k % 3 == 0, F.concat(F.lit("f"), k, F.lit(".py"))).when(k % 3 == 1, F.concat(F.lit("*"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("/d"), k % 7, F.lit("/f"), k, F.lit("*")))
+    rule = views.table(spark, sf, "customer").select(k.alias("k"), F.concat(F.when(k % 4 == 0, "!").otherwise(""), glob).alias("line"))
+    # a file for each thousand lines, in order of its excludes' precedence
+    lines = rule.groupBy(F.floor(F.col("k") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("rows"))
+    text = lines.select("part", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"), F.lit(True).alias("excludes"))
+    ev = views.events(spark, sf, False).where(F.col("repo_root").isin("/ws/app", "/srv/app"))
+    files = ev.select("repo_root").distinct().crossJoin(F.broadcast(text)).select("repo_root", F.lit("").alias("folder"), "text", "excludes", "part")  # two roots
+    rules = ignorefiles.rules_of(files, "part")
+    return ignoreindex.ignored(ignoreindex.asked_of(ev), rules).select("repo_root", "rel_key")
+
+
 @query(f"WITH {E}, a AS (SELECT repo_root, seq, rel_path AS asked FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') UNION ALL SELECT repo_root, seq, rel_path || '/' FROM ev WHERE repo_root IN ('/ws/app', '/srv/app') AND change = 'deleted') SELECT repo_root, asked, count(*) AS n, TRUE AS small_chunks FROM a GROUP BY ALL")
 def flt3a_git_requests(spark, sf):
     root_ok = spark.createDataFrame([("/ws/app", True), ("/srv/app", True), ("/data/ml", False)], "repo_root string, root_ok boolean")
