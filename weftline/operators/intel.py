@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.model import SEVERITY_ERROR
-from weftline.operators import trees
+from weftline.operators import spans, symbolindex, trees
 
 
 def document_symbols(symbols: DataFrame, uri: str) -> DataFrame:
@@ -72,36 +72,52 @@ def unknown_kinds(walked: DataFrame, kinds: DataFrame, kind: str = "kind_name")
 
 def workspace_symbols(symbols: DataFrame, query: str) -> DataFrame:
     """Symbols of all files whose name holds the query, in any case and without () at the end."""
-    name = F.regexp_replace(F.lower("name"), r"\(\)$", "")
-    return symbols.where(F.contains(name, F.lit(query.lower().removesuffix("()"))))
+    return symbols.where(F.contains(symbolindex.key_of(F.col("name")), F.lit(symbolindex.query_key(query))))
+
+
+def over_lines(occurrences: DataFrame) -> bool:
+    """Whether occurrences say where they end: (.., line, char_start, end_line, char_end), else each is in one line."""
+    return "end_line" in occurrences.columns
+
+
+def _place(occurrences: DataFrame, end: bool = True) -> list[str]:
+    """Columns of an occurrence's place; its end where there is one to tell."""
+    if over_lines(occurrences):
+        return ["uri", "line", "char_start", "end_line", "char_end"]
+    return ["uri", "line", "char_start", "char_end"] if end else ["uri", "line", "char_start"]
 
 
 def at_position(occurrences: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, symbol_id) of the innermost occurrence that spans each request's position.
 
-    Joined by file and line, so a position meets only its line's occurrences; the narrowest span wins, then the first.
+    Joined by file and line, so a position meets only its line's occurrences; the narrowest span wins, then the first. Occurrences
+    with an end_line may span lines (spans.innermost).
     """
+    if over_lines(occurrences):
+        return spans.innermost(occurrences, requests)
     hit = requests.join(occurrences.select("uri", "line", "symbol_id", "char_start", "char_end"), ["uri", "line"]).where("char_start <= char and char < char_end")
     return hit.groupBy("request_id").agg(F.min_by("symbol_id", F.struct(F.col("char_end") - F.col("char_start"), "char_start", "symbol_id")).alias("symbol_id"))
 
 
 def definitions(occurrences: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, uri, line, char_start) of the definitions of the symbol at each position."""
-    return at_position(occurrences, requests).join(occurrences.where("role = 'definition'"), "symbol_id").select("request_id", "uri", "line", "char_start")
+    """(request_id, uri, line, char_start) of the definitions of the symbol at each position; with spans over lines also their ends."""
+    found = at_position(occurrences, requests).join(occurrences.where("role = 'definition'"), "symbol_id")
+    return found.select("request_id", *_place(occurrences, False))
 
 
 def type_definitions(occurrences: DataFrame, symbols: DataFrame, requests: DataFrame) -> DataFrame:
     """As definitions, of the type of the symbol at each position."""
     types = at_position(occurrences, requests).join(symbols.where("type_id is not null").select("symbol_id", "type_id"), "symbol_id")
-    return types.select("request_id", F.col("type_id").alias("symbol_id")).join(occurrences.where("role = 'definition'"), "symbol_id").select("request_id", "uri", "line", "char_start")
+    found = types.select("request_id", F.col("type_id").alias("symbol_id")).join(occurrences.where("role = 'definition'"), "symbol_id")
+    return found.select("request_id", *_place(occurrences, False))
 
 
 def references(occurrences: DataFrame, requests: DataFrame, include_declaration: bool = True) -> DataFrame:
-    """(request_id, uri, line, char_start, char_end) of all occurrences of the symbol at each position."""
+    """(request_id, uri, line, char_start, [end_line,] char_end) of all occurrences of the symbol at each position."""
     found = at_position(occurrences, requests).join(occurrences, "symbol_id")
     if not include_declaration:
         found = found.where("role <> 'definition'")
-    return found.select("request_id", "uri", "line", "char_start", "char_end")
+    return found.select("request_id", *_place(occurrences))
 
 
 def hover(occurrences: DataFrame, symbols: DataFrame, requests: DataFrame) -> DataFrame:
@@ -136,13 +152,30 @@ def rename_edits(occurrences: DataFrame, requests: DataFrame, new_name: str = "n
     return references(occurrences, requests).join(requests.select("request_id", F.col(new_name).alias("new_text")), "request_id")
 
 
+def _edit(edits: DataFrame) -> Column:
+    return F.struct(*[c for c in ("line", "char_start", "end_line", "char_end", "new_text") if c in edits.columns])
+
+
+def file_edits(edits: DataFrame) -> DataFrame:
+    """(request_id, uri, edits): each file's edits in order; a row holds one file's edits of one request."""
+    return edits.groupBy("request_id", "uri").agg(F.array_sort(F.collect_list(_edit(edits))).alias("edits"))
+
+
 def edits_by_file(edits: DataFrame) -> DataFrame:
-    """(request_id, changes): the map form of a workspace edit, uri to its edits in order."""
-    edit = F.struct("line", "char_start", "char_end", "new_text")
-    by = edits.groupBy("request_id", "uri").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    """(request_id, changes): the map form of a workspace edit, uri to its edits in order. One row holds a whole edit; where that may
+    be too much, file_edits has it in parts."""
+    by = file_edits(edits)
     return by.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("uri", "edits")))).alias("changes"))
 
 
+def document_changes(edits: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(request_id, document_changes): the other form of a workspace edit, an array of (uri, version, edits) in order of uri.
+    versions: (uri, version) of files that are open; others have none."""
+    by = file_edits(edits)
+    by = by.withColumn("version", F.lit(None).cast("int")) if versions is None else by.join(versions.select("uri", F.col("version").cast("int")), "uri", "left")
+    return by.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("uri", "version", "edits"))).alias("document_changes"))
+
+
 def edits_of(results: DataFrame) -> DataFrame:
     """(request_id, uri, new_text) of workspace edits in either form: document_changes (uri, edits, where not edits is null),
     else the map changes."""

@@ -356,3 +356,86 @@ def lq12_reindexed_calls(spark, sf):
 def lq12_followed_files(spark, sf):
     """What the store knows of each file: its last change, and whether that deleted it."""
     return followed(spark, sf).facts("files")
+
+
+#: Files of orders: a function over all lines, a block for each line item, which may reach into the next ones, and a name in it.
+SPANS_SQL = """sp AS (
+  SELECT 'o' || o_orderkey AS symbol_id, 'file:///o' || o_orderkey AS uri, 0 AS line, 0 AS char_start, 60 AS end_line, 1 AS char_end, 'reference' AS role FROM orders
+  UNION ALL SELECT 's' || l_suppkey, 'file:///o' || l_orderkey, l_linenumber * 6, (l_suppkey % 20)::INT, l_linenumber * 6 + (l_quantity::INT % 9), (l_partkey % 30 + 21)::INT, 'reference' FROM lineitem
+  UNION ALL SELECT 'p' || l_partkey, 'file:///o' || l_orderkey, l_linenumber * 6 + 1, 4, l_linenumber * 6 + 1, (5 + l_partkey % 9)::INT, 'reference' FROM lineitem
+  UNION ALL SELECT 'p' || p_partkey, 'file:///part/' || p_brand, p_partkey::INT * 3, 0, p_partkey::INT * 3 + 2, 7, 'definition' FROM part
+  UNION ALL SELECT 's' || s_suppkey, 'file:///supplier', s_suppkey::INT * 40, 2, s_suppkey::INT * 40 + 30, 9, 'definition' FROM supplier),
+rq AS (SELECT l_orderkey * 10 + l_linenumber AS request_id, 'file:///o' || l_orderkey AS uri, l_linenumber * 6 + (l_suppkey % 4)::INT AS line, (l_orderkey % 25)::INT AS char FROM lineitem),
+hit AS (SELECT request_id, arg_min(symbol_id, {'a': end_line - sp.line, 'b': char_end - char_start, 'c': sp.line, 'd': char_start, 'e': symbol_id}) AS symbol_id FROM rq JOIN sp USING (uri)
+  WHERE (sp.line, char_start) <= (rq.line, char) AND (rq.line, char) < (end_line, char_end) GROUP BY request_id)"""
+
+
+def spans_over_lines(spark, sf):
+    """(occurrences, requests) of SPANS_SQL."""
+    o, li, p, s = (views.table(spark, sf, t) for t in ("orders", "lineitem", "part", "supplier"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), c)
+
+    def rows(df, symbol, uri, line, start, end_line, end, role):
+        places = (line, start, end_line, end)
+        return df.select(symbol.alias("symbol_id"), uri.alias("uri"), *[F.lit(v).cast("int").alias(n) for v, n in zip(places, ("line", "char_start", "end_line", "char_end"), strict=True)], F.lit(role).alias("role"))
+
+    order, six = text("file:///o", "l_orderkey"), F.col("l_linenumber") * 6
+    key, supplier = F.col("p_partkey"), F.col("s_suppkey")
+    occurrences = (
+        rows(o, text("o", "o_orderkey"), text("file:///o", "o_orderkey"), 0, 0, 60, 1, "reference")
+        .union(rows(li, text("s", "l_suppkey"), order, six, F.col("l_suppkey") % 20, six + F.col("l_quantity").cast("int") % 9, F.col("l_partkey") % 30 + 21, "reference"))
+        .union(rows(li, text("p", "l_partkey"), order, six + 1, 4, six + 1, F.col("l_partkey") % 9 + 5, "reference"))
+        .union(rows(p, text("p", "p_partkey"), text("file:///part/", "p_brand"), key * 3, 0, key * 3 + 2, 7, "definition"))
+        .union(rows(s, text("s", "s_suppkey"), F.lit("file:///supplier"), supplier * 40, 2, supplier * 40 + 30, 9, "definition"))
+    )
+    requests = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), order.alias("uri"), (six + F.col("l_suppkey") % 4).cast("int").alias("line"), (F.col("l_orderkey") % 25).cast("int").alias("char"))
+    return occurrences, requests
+
+
+@query(f"WITH {SPANS_SQL} SELECT request_id, symbol_id FROM hit")
+def lq6_innermost_spans(spark, sf):
+    """The innermost of nested and overlapping spans over lines at each position."""
+    return intel.at_position(*spans_over_lines(spark, sf))
+
+
+@query(f"WITH {SPANS_SQL} SELECT request_id, uri, line, char_start, end_line, char_end FROM hit JOIN sp USING (symbol_id) WHERE role = 'definition'")
+def lq3_definitions_over_lines(spark, sf):
+    return intel.definitions(*spans_over_lines(spark, sf))
+
+
+@query(f"WITH {SPANS_SQL} SELECT symbol_id, count(*) AS requests, sum(n) AS found, sum(lines) AS lines FROM hit JOIN (SELECT symbol_id, count(*) AS n, sum(end_line - line + 1) AS lines FROM sp WHERE role <> 'definition' GROUP BY 1) USING (symbol_id) GROUP BY 1")
+def lq5_references_over_lines(spark, sf):
+    """How many requests each symbol gets, and the references found for them."""
+    occurrences, requests = spans_over_lines(spark, sf)
+    found = intel.at_position(occurrences, requests)
+    uses = occurrences.where("role <> 'definition'").groupBy("symbol_id").agg(F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"))
+    return found.join(uses, "symbol_id").groupBy("symbol_id").agg(F.count("*").alias("requests"), F.sum("n").alias("found"), F.sum("lines").alias("lines"))
+
+
+#: Queries of one character and more, some of which find nothing.
+SEARCH_SQL = """q AS (SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN upper(substr(p_name, 3, 6)) WHEN 1 THEN substr(p_name, 1, 1 + (c_custkey % 3)::INT) WHEN 2 THEN c_custkey || '9()' WHEN 3 THEN '' ELSE substr(p_name, 2, 12) || '()' END AS query
+  FROM customer JOIN part ON p_partkey = c_custkey)"""
+
+
+@query(f"WITH {SEARCH_SQL}, n AS (SELECT s_suppkey AS id, 's' || s_suppkey AS symbol_id, s_name AS name FROM supplier UNION ALL SELECT p_partkey, 'p' || p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '()' ELSE '' END FROM part),\n"
+       r"k AS (SELECT query_id, regexp_replace(lower(query), '\(\)$', '') AS asked FROM q) SELECT query_id, symbol_id, name FROM k JOIN n ON asked <> '' AND contains(regexp_replace(lower(name), '\(\)$', ''), asked)")
+def lq2_gram_index(spark, sf):
+    """Many symbol searches at once by the stored index of grams."""
+    from weftline.operators.symbolindex import SymbolIndex
+    from weftline.session import shared_folder
+
+    p, s, c = (views.table(spark, sf, t) for t in ("part", "supplier", "customer"))
+    parts = p.select(F.concat(F.lit("p"), "p_partkey").alias("symbol_id"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "()").otherwise("")).alias("name"))
+    index = SymbolIndex(spark, f"{shared_folder(spark)}/names-{uuid.uuid4().hex}").build(parts.union(s.select(F.concat(F.lit("s"), "s_suppkey").alias("symbol_id"), "s_name")), 16)
+    k, name = F.col("c_custkey"), F.col("p_name")
+    text = F.when(k % 5 == 0, F.upper(F.substring(name, 3, 6))).when(k % 5 == 1, F.substr(name, F.lit(1), (k % 3 + 1).cast("int"))).when(k % 5 == 2, F.concat(k, F.lit("9()"))).when(k % 5 == 3, "").otherwise(F.concat(F.substring(name, 2, 12), F.lit("()")))
+    return index.search_all(c.join(p, k == p["p_partkey"]).select(k.alias("query_id"), text.alias("query")))
+
+
+@query(f"WITH {S}, e AS (SELECT request_id, o.uri, o.line, o.char_start, o.char_end, new_name AS new_text FROM preq JOIN spot USING (request_id) JOIN occ o USING (symbol_id)), "
+       "f AS (SELECT request_id, uri, count(*) AS n, min(new_text) AS new_text FROM e GROUP BY ALL) SELECT request_id, len(list(uri)) AS files, sum(n)::BIGINT AS edits, list(uri ORDER BY uri) AS uris FROM f GROUP BY request_id")
+def lq9_document_changes(spark, sf):
+    """A rename in the form of changed documents."""
+    edits = intel.rename_edits(views.occurrences(spark, sf), views.part_requests(spark, sf))
+    d = intel.document_changes(edits)
+    return d.select("request_id", F.size("document_changes").cast("long").alias("files"), F.aggregate("document_changes", F.lit(0).cast("long"), lambda s, x: s + F.size(x["edits"])).alias("edits"), F.transform("document_changes", lambda x: x["uri"]).alias("uris"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions.text import LANGUAGE_IDS
 from weftline.operators import changes, intel
+from weftline.operators.symbolindex import SymbolIndex
 from weftline.streaming import diagnostics as live
 from weftline.streaming import facts as store
 from weftline.streaming import watch
@@ -33,6 +34,7 @@ class Workspace:
     send: Callable[[list[tuple[str, int]]], None] = lambda rows: None
     servers: Sequence[Callable[[], dict | None]] = ()
     index: store.FactStore | None = None
+    symbol_index: SymbolIndex | None = None
     _capabilities: dict[str, bool] | None = None
     _open: set[str] = field(default_factory=set)
 
@@ -96,7 +98,10 @@ class Workspace:
         return intel.walk(intel.document_symbols(self.facts["symbols"], uri))
 
     def workspace_symbols(self, query: str) -> DataFrame:
+        """By the stored index of names if there is one (as of when it was built), else by a scan."""
         self._need("workspace_symbol_provider")
+        if self.symbol_index is not None:
+            return self.symbol_index.search(query)
         return intel.workspace_symbols(self.facts["symbols"], query)
 
     def _at(self, uri: str, line: int, char: int) -> DataFrame:
