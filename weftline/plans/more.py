@@ -329,3 +329,21 @@ def flt3a_git_parity(spark, sf):
             found = ignore.ignored_by_rules(asked, spark.createDataFrame(ignore.git_rules(root, lines), ignore.GIT_RULE))
         rows = [(r["rel_key"],) for r in found.toLocalIterator()]
     return spark.createDataFrame(rows, "rel_key string")
+
+
+@query(f"""WITH {P}, last AS (SELECT uri, max(push_seq) AS push_seq, arg_max(message, push_seq) AS message FROM push GROUP BY 1),
+r AS (SELECT event_id AS request_id, 'file:///u' || user_id AS uri FROM events WHERE event_type = 'purchase')
+SELECT request_id, uri, push_seq, message AS diagnostics, coalesce(push_seq > request_id, FALSE) AS fresh FROM r LEFT JOIN last USING (uri)""")
+def st3_answered_requests(spark, sf):
+    """A request for each purchase of what is pushed for its user's file after it, by two streams that meet in keyed state: fresh, or
+    else, as these requests do not wait, the newest push there is."""
+    from weftline.streaming import waiting
+
+    folder = _folder(spark)
+    stream = spark.readStream.schema(views.table(spark, sf, "events").schema).parquet(*_stream_path(sf))
+    uri = F.concat(F.lit("file:///u"), "user_id").alias("uri")
+    pushes = stream.where("event_type = 'error'").select(uri, F.col("event_id").alias("push_seq"), F.col("props").alias("diagnostics"))
+    asked = stream.where("event_type = 'purchase'").select(uri, F.col("event_id").alias("request_id"), F.col("event_id").alias("newer_than"), F.lit(0).alias("timeout_ms"))
+    out = waiting.answers(pushes, asked).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
+    out.trigger(once=True).start(f"{folder}/out").awaitTermination()  # a query with timers of the clock would go on for ever
+    return spark.read.schema(waiting.ANSWER).parquet(f"{folder}/out").select(F.col("request_id").cast("long").alias("request_id"), "uri", "push_seq", "diagnostics", "fresh")

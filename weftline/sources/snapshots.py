@@ -115,16 +115,16 @@ class WorkspaceReader(SimpleDataSourceStreamReader):
             if not more:
                 break
             rows += more
-        return iter([(change, p, p in now, is_dir) for change, p, _, is_dir in rows]), self._offset(now)
+        return iter([(change, p, p in now, is_dir, k) for k, (change, p, _, is_dir) in enumerate(rows)]), self._offset(now)
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(changes_between(json.loads(start["files"]), json.loads(end["files"])))
+        return iter([(*row, k) for k, row in enumerate(changes_between(json.loads(start["files"]), json.loads(end["files"])))])
 
 
 class WorkspaceSource(DataSource):
-    """readStream.format("workspace"): (change, path, exists_now, is_dir) rows of local roots, an option joined by the path separator.
+    """readStream.format("workspace"): (change, path, exists_now, is_dir, pos) rows of local roots, an option joined by the path separator.
 
-    For workspaces of up to some hundred thousand files; larger trees should be compared by snapshot and diff.
+    For workspaces of up to some hundred thousand files, as each offset is a listing; larger trees have sources.shards.
     """
 
     @classmethod
@@ -132,7 +132,7 @@ class WorkspaceSource(DataSource):
         return "workspace"
 
     def schema(self) -> str:
-        return "change string, path string, exists_now boolean, is_dir boolean"
+        return "change string, path string, exists_now boolean, is_dir boolean, pos long"
 
     def simpleStreamReader(self, schema) -> WorkspaceReader:
         return WorkspaceReader(self.options)

@@ -28,7 +28,7 @@ def capped_batches_stream(events: DataFrame, key: str, time: str, order: str, ga
             state.remove()
             return
         start, last = state.get if state.exists else (None, None)
-        frame = pd.concat(list(frames)).sort_values([time, order])
+        frame = pd.concat(list(frames)).sort_values([time, order])  # a key's rows of one micro-batch
         times = frame[time].to_numpy("int64")
         out = changes.capped_starts(times, gap, cap, start, last)
         state.update((int(out[-1]), int(times[-1])))
@@ -55,9 +55,11 @@ def prepare(raw: DataFrame, roots: Sequence[tuple[str, str]], cfg: WatchConfig,
 def change_rows(frame: DataFrame) -> DataFrame:
     """A micro-batch's changes (change, path and, where the source tells them, exists_now and is_dir) in the order they came.
 
-    Where the source does not tell, a path exists if its last change is not a deletion, and nothing is a folder.
+    Where the source does not tell, a path exists if its last change is not a deletion, and nothing is a folder. The order is that of
+    the source's own positions (pos); one without them is taken in the order of its partitions, which is that of arrival
+    only if it has one.
     """
-    rows = frame.withColumn("seq", F.monotonically_increasing_id())
+    rows = frame.withColumn("seq", F.col("pos") if "pos" in frame.columns else F.monotonically_increasing_id())
     if "is_dir" not in frame.columns:
         rows = rows.withColumn("is_dir", F.lit(False))
     if "exists_now" not in frame.columns:
