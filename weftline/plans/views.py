@@ -35,6 +35,15 @@ def roots(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ROOTS), "ord int, root string")
 
 
+def host_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """(ord, root): a root for each page, by its host and the first part of its path; many are repeated, nested or of one name."""
+    host, head = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.regexp_extract("url", "://[^/?#]*/([^/?#]*)", 1)
+    pages = table(spark, sf, "pages").select("page_id", host.alias("host"), F.when(head == "", "top").otherwise(head).alias("head")).where("host <> ''")
+    k = F.col("page_id") % 3
+    root = F.when(k == 0, F.concat(F.lit("/"), "host")).when(k == 1, F.concat(F.lit("/"), "host", F.lit("/"), "head")).otherwise(F.concat(F.lit("/srv/"), "host"))
+    return pages.select(F.col("page_id").alias("ord"), root.alias("root"))
+
+
 def change_log(spark: SparkSession, sf: str, exists: bool = True) -> DataFrame:
     """(event_id, seq, us, day, user_id, change, abs_path, is_dir, exists_now): file changes read from events.
 
@@ -123,6 +132,14 @@ r2 AS (SELECT ord, root, list_last(string_split(root, '/')) AS base_name FROM r1
 roots AS (SELECT ord, root, base_name, CASE WHEN count(*) OVER (PARTITION BY base_name) = 1 THEN base_name
   ELSE base_name || '#' || row_number() OVER (PARTITION BY base_name ORDER BY ord) END AS label FROM r2)"""
 
+HOST_ROOTS_SQL = """
+h0 AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1), ''), 'top') AS head FROM pages),
+r0 AS (SELECT page_id AS ord, CASE page_id % 3 WHEN 0 THEN '/' || host WHEN 1 THEN '/' || host || '/' || head ELSE '/srv/' || host END AS root FROM h0 WHERE host <> ''),
+r1 AS (SELECT min(ord) AS ord, root FROM r0 GROUP BY root),
+r2 AS (SELECT ord, root, list_last(string_split(root, '/')) AS base_name FROM r1),
+roots AS (SELECT ord, root, base_name, CASE WHEN count(*) OVER (PARTITION BY base_name) = 1 THEN base_name
+  ELSE base_name || '#' || row_number() OVER (PARTITION BY base_name ORDER BY ord) END AS label FROM r2)"""
+
 LOG_SQL = f"""
 log0 AS (SELECT event_id, event_id AS seq, epoch_us(ts) AS us, ts::DATE AS day, user_id,
   CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS change,

@@ -14,7 +14,7 @@ from weftline.plans import views
 from weftline.session import shared_folder
 from weftline.streaming import watch
 
-E, R, L = views.EVENTS_SQL, views.ROOTS_SQL, views.LOG_SQL
+E, R, L, H = views.EVENTS_SQL, views.ROOTS_SQL, views.LOG_SQL, views.HOST_ROOTS_SQL
 QUERIES: dict[str, tuple] = {}
 BATCH = ["day"]
 
@@ -121,9 +121,9 @@ def prj4_event_for(spark, sf):
     return views.events(spark, sf, False).select("event_id", "change", "abs_path", "repo_root", "repo_label", "rel_path")
 
 
-@query(f"WITH {R} SELECT root, base_name FROM roots UNION ALL SELECT '/', '/'")
+@query(f"WITH {H} SELECT root, base_name FROM roots UNION ALL SELECT '/', '/'")
 def prj6_root_label(spark, sf):
-    more = views.roots(spark).select("root").distinct().union(spark.createDataFrame([("/",)], "root string"))
+    more = views.host_roots(spark, sf).select("root").distinct().union(spark.createDataFrame([("/",)], "root string"))
     return more.select("root", paths.base_name(F.col("root")).alias("base_name"))
 
 
@@ -298,10 +298,11 @@ def flt4_supports(spark, sf):
     return caps.select("user_id", text.supports(F.col("caps"), "purchase").alias("supported"), text.supports(F.col("caps"), "rename").alias("other"))
 
 
-@query(f"WITH {R} SELECT ord, root FROM r0")
+@query(f"WITH {H} SELECT ord, root FROM r0")
 def flt5_valid_roots(spark, sf):
-    known = spark.createDataFrame([(r, True) for r in views.BASES], "path string, is_dir boolean")
-    return attribution.check_roots(views.roots(spark), known).select("ord", "root")
+    roots = views.host_roots(spark, sf)
+    known = roots.select(F.col("root").alias("path"), F.lit(True).alias("is_dir")).distinct()
+    return attribution.check_roots(roots, known).select("ord", "root")
 
 
 @query("SELECT * FROM (VALUES ('python', 2, 'pyls'), ('any', 0, 'anyls')) t(name, n_suffixes, server)")
@@ -348,9 +349,9 @@ def jn1n_outside(spark, sf):
     return views.events(spark, sf, False).where("repo_root is null").select("event_id", "repo_label", "rel_path")
 
 
-@query(f"WITH {R} SELECT a.root AS outer_root, b.root AS inner_root FROM roots a JOIN roots b ON a.root <> b.root AND starts_with(b.root, a.root || '/')")
+@query(f"WITH {H} SELECT a.root AS outer_root, b.root AS inner_root FROM roots a JOIN roots b ON a.root <> b.root AND starts_with(b.root, a.root || '/')")
 def jn2_nested_roots(spark, sf):
-    return attribution.nested_pairs(attribution.normalize_roots(views.roots(spark)))
+    return attribution.nested_pairs(attribution.normalize_roots(views.host_roots(spark, sf)))
 
 
 @query(f"WITH {E} SELECT repo_root, repo_label, count(*) AS n FROM ev GROUP BY ALL")
@@ -420,9 +421,9 @@ def agg3_batch_headers(spark, sf):
     return changes.headers(*_final(spark, sf), BATCH)
 
 
-@query(f"WITH {R} SELECT base_name, count(*) AS n FROM roots GROUP BY 1")
+@query(f"WITH {H} SELECT base_name, count(*) AS n FROM roots GROUP BY 1")
 def agg4_base_names(spark, sf):
-    return attribution.normalize_roots(views.roots(spark)).groupBy("base_name").agg(F.count("*").alias("n"))
+    return attribution.normalize_roots(views.host_roots(spark, sf)).groupBy("base_name").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {E} SELECT repo_root, list(DISTINCT rel_path ORDER BY rel_path) AS rel_paths FROM ev WHERE change = 'added' GROUP BY 1")
@@ -439,14 +440,14 @@ def agg6_envelopes(spark, sf):
     return env.select("day", "raw", "filtered", F.transform("events", lambda x: F.concat(x["change"], F.lit(" "), x["abs_path"])).alias("events"))
 
 
-@query(f"WITH {R} SELECT ord, root, base_name, label FROM roots")
+@query(f"WITH {H} SELECT ord, root, base_name, label FROM roots")
 def win1_labels(spark, sf):
-    return attribution.normalize_roots(views.roots(spark))
+    return attribution.normalize_roots(views.host_roots(spark, sf))
 
 
-@query(f"WITH {R} SELECT ord, root FROM r1")
+@query(f"WITH {H} SELECT ord, root FROM r1")
 def win2_first_roots(spark, sf):
-    return attribution.normalize_roots(views.roots(spark)).select("ord", "root")
+    return attribution.normalize_roots(views.host_roots(spark, sf)).select("ord", "root")
 
 
 @query(f"WITH {E} SELECT abs_path, min(seq) AS first_seq, arg_max(change, seq) AS last_change FROM ev GROUP BY 1")
