@@ -364,3 +364,12 @@ def test_windows_of_a_very_long_text_are_bounded_and_spread(spark):
     places = sorted(int(w[0][1:]) for w in long)
     assert all(p % langid.WORDS == 0 for p in places) and places[0] < 2000 and places[-1] > 58_000
     assert [w for lang, w in got if lang == "de"] == ["kurz und gut"] and not [w for lang, w in got if lang == "fr"]
+
+
+def test_a_rule_held_out_whole(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    urls = urlfilter.with_rules(pages.select("url").distinct())
+    for rule in ("net/fr/", "com/"):
+        got = urlfilter.held_out_rule_counts(pages, rule).collect()
+        assert sum(r["n"] for r in got) == urls.where(F.col("rule") == rule).count()
+    assert {(r["ruling"], r["verdict"]) for r in urlfilter.held_out_rule_counts(pages, "net/fr/").collect()} == {("block", "block")}

@@ -215,14 +215,17 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 class Judge:
-    """Suffix statistics and trees learned from the labelled URLs of a table. without: a fold that nothing is learned from."""
+    """Suffix statistics and trees learned from the labelled URLs of a table. without: a fold, without_rule: a rule whose URLs nothing
+    is learned from."""
 
-    def __init__(self, pages: DataFrame, rules=RULES, sample: int = SAMPLE, without: int | None = None):
+    def __init__(self, pages: DataFrame, rules=RULES, sample: int = SAMPLE, without: int | None = None, without_rule: str | None = None):
         """pages: (url). Without labelled URLs of both kinds the trees give the only label there is, or allow."""
         shelf = Shelf(pages.sparkSession)
         # each URL once, weighing as much as its rows
         self.distinct = shelf.put(with_rules(shelf.put(pages.groupBy("url").agg(F.count("*").alias("times"))), rules).withColumn("label", (F.coalesce("ruling", F.lit("")) == "block").cast("int")))
         learned = F.col("rule").isNotNull() & (F.lit(True) if without is None else F.col("fold") != without)
+        if without_rule is not None:
+            learned = learned & (F.col("rule") != without_rule)
         known = F.when(learned, F.col("times")).otherwise(0)
         blocked = known * F.col("label")
         by_fold = [F.sum(F.when(F.col("fold") == k, c).otherwise(0)).alias(f"{n}{k}") for k in range(FOLDS) for n, c in (("known", known), ("blocked", blocked))]
@@ -273,5 +276,14 @@ def held_out_counts(pages: DataFrame, url_col: str = "url", rules=RULES, fold: i
     return own.groupBy("ruling", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow").alias("verdict")).agg(F.count("*").alias("n"))
 
 
+def held_out_rule_counts(pages: DataFrame, rule: str, url_col: str = "url", rules=RULES) -> DataFrame:
+    """(ruling, verdict, n) of the distinct URLs of one rule, judged by trees that have seen no URL of it: how far the trees go beyond
+    the rules that they learn from. A rule is a place and a verdict, so trees that know neither can only guess from its
+    neighbours; this is what to expect of unruled URLs, not the figure of held_out_counts."""
+    judge = Judge(pages.select(F.col(url_col).cast("string").alias("url")), rules, without_rule=rule)
+    own = judge.scored(judge.distinct.where(F.col("rule") == rule))
+    return own.groupBy("ruling", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow").alias("verdict")).agg(F.count("*").alias("n"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
