@@ -490,8 +490,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those that have no language or a score under MIN_SCORE; all columns stay as they are, whatever their names.
 
-    Null, empty and letterless texts go, and all texts where nothing can be learned; repeated rows each stay or go
-    alike; null ids are judged like others.
+    Null, empty and letterless texts go, and all texts where nothing can be learned; very long ones are judged whole, in pieces;
+    repeated rows each stay or go alike; null ids are judged like others; of no documents none are left.
     """
     mark = "__lang"
     while mark in docs.columns:

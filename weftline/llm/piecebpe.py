@@ -239,7 +239,8 @@ def coder_of(path: str) -> PieceBpe:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` ids and decoded text.
 
-    Null and empty texts have no ids and decode to the empty text. Null ids stay null; repeated rows stay.
+    Null and empty texts have no ids and decode to the empty text. Very long texts are encoded whole, each as one slice. Null ids
+    stay null; repeated rows stay; of no documents there are no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")

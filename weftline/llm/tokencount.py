@@ -116,7 +116,8 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
 def count_field_tokens(docs: DataFrame, fields: Sequence[str], ranks: str, pattern: str, id_col: str = "doc_id", between: str = "\n", rule: str = "most") -> DataFrame:
     """One row per document and field: doc_id, field, start, length, n_tokens, n_crossing, doc_tokens, of documents that are
-    put together from their fields, with ``between`` after each but the last as part of it. Null fields are empty and have a row."""
+    put together from their fields, with ``between`` after each but the last as part of it. Null fields are empty and have a row;
+    of very long ones, null ids, repeated rows, ties and empty tables the same holds as for count_tokens."""
     texts = [F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(between if k < len(fields) - 1 else "")) for k, f in enumerate(fields)]
     ends = [sum((F.length(t) for t in texts[1 : k + 1]), F.length(texts[0])) for k in range(len(texts))]
     whole = docs.select(F.col(id_col).alias("doc_id"), F.concat(*texts).alias("text"), F.array(F.lit(0), *ends).alias("borders"))

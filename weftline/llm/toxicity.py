@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Toxic, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts have no words and get the score that the biases give; very long ones are scored whole, each as
-    one slice. Null ids are not held out. Repeated rows are scored one by one, alike; other columns are not read.
+    one slice. Null ids are not held out. Repeated rows are scored one by one, alike; other columns are not read; of no documents there are no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -270,7 +270,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def held_out_counts(pages: DataFrame, url_col: str = "url", rules=RULES, fold: int = 0) -> DataFrame:
-    """(ruling, verdict, n) of the distinct labelled URLs of a fold, judged by trees that have learned from the other folds alone."""
+    """(ruling, verdict, n) of the distinct labelled URLs of a fold, judged by trees that have learned from the other folds alone. Null
+    URLs fit no rule and are not counted, repeated ones once, long ones whole; without labelled URLs there are no rows."""
     judge = Judge(pages.select(F.col(url_col).cast("string").alias("url")), rules, without=fold)
     own = judge.scored(judge.distinct.where((F.col("fold") == fold) & F.col("rule").isNotNull()))
     return own.groupBy("ruling", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow").alias("verdict")).agg(F.count("*").alias("n"))

@@ -108,7 +108,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes gzip archives of all pages into the folder (a path that all executors share).
 
     Null html is an empty payload. Repeated rows make a record each; of equal payloads the rows with the smallest id
-    (null ids last) are responses.
+    (null ids last) are responses. A very long html is one record in segments of ``segment`` bytes, of which each is written whole;
+    an empty table writes no record. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     named = rows.withColumn("digest", F.sha2("payload", 256))
@@ -261,7 +262,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
 
     A response's length and digest are computed from the payload read; the digest must equal the one that its record states. A
     revisit takes both from the response that it refers to, found by digest and page, whose identifier must be the one it
-    names, if it names one: a revisit without its response is an error. Other kinds of records are passed over.
+    names, if it names one: a revisit without its response is an error. Other kinds of records are passed over. Null ids come
+    back null, repeated rows each as a row, very long payloads whole, and a folder without records as no rows.
     """
     records = reassemble(read_records(spark, folder)).where("type in ('response', 'revisit')").select("page_id", "name", "type", "refers_to", "target", "digest", "block")
     schema = "page_id long, name string, record_type string, refers_to long, target string, digest string, bytes long" + (", payload binary" if with_payload else "")
