@@ -25,6 +25,16 @@ def _start(rows: DataFrame, id_col: str, parent_col: str, name_col: str) -> Data
     return there.select("id", F.when(~lost, F.col("up")).alias("up"), F.when(lost, 0).otherwise(1).alias("level"), "path", F.when(lost, F.col("id")).alias("top"), reached.alias("reached"))
 
 
+def _round_of_all(now: DataFrame) -> DataFrame:
+    """All rows after one doubling, settled ones as they are: each row is read twice, which counts in a plan without written tables."""
+    over = now.select(F.col("id").alias("id_"), *[F.col(c).alias(f"{c}_") for c in ("up", "level", "path", "top", "reached")])
+    both = now.join(over, now["up"] == over["id_"], "left")
+    met = F.col("id_").isNotNull()
+    either = lambda c: F.when(met, F.col(f"{c}_")).otherwise(F.col(c)).alias(c)
+    path = F.when(met, F.concat_ws("/", "path_", "path")).otherwise(F.col("path"))
+    return both.select("id", either("up"), (F.col("level") + F.coalesce("level_", F.lit(0))).alias("level"), path.alias("path"), either("top"), either("reached"))
+
+
 def _round(waiting: DataFrame, all_rows: DataFrame) -> DataFrame:
     """The waiting rows after one doubling."""
     over = all_rows.select(F.col("id").alias("id_"), F.col("up").alias("up_"), F.col("level").alias("level_"), F.col("path").alias("path_"), F.col("top").alias("top_"), F.col("reached").alias("reached_"))
@@ -46,7 +56,7 @@ def climb(rows: DataFrame, id_col: str = "symbol_id", parent_col: str = "parent_
     now = _start(rows, id_col, parent_col, name_col)
     if depth is not None:
         for _ in range(max(0, depth - 1).bit_length()):
-            now = now.where("up is null").unionByName(_round(under_way(now), now))
+            now = _round_of_all(now)
         return settled(now)
     stages = Stages(rows.sparkSession)
     now = stages.put(now)

@@ -19,9 +19,11 @@ def latest_stream(pushes: DataFrame) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, text = state.get if state.exists else (-1, "[]")
         for frame in frames:
-            for s, d in zip(frame["push_seq"], frame["diagnostics"], strict=True):
-                if s >= seq:
-                    seq, text = int(s), d
+            if len(frame):
+                seqs = frame["push_seq"].to_numpy("int64")
+                k = len(seqs) - 1 - int(seqs[::-1].argmax())  # the last of the newest
+                if seqs[k] >= seq:
+                    seq, text = int(seqs[k]), frame["diagnostics"].iloc[k]
         state.update((seq, text))
         yield pd.DataFrame({"uri": [key[0]], "push_seq": [seq], "diagnostics": [text]})
 
