@@ -303,7 +303,7 @@ def src1_workspace_source(spark, sf):
                 write(n, r, "more")
         for r in regions:
             os.mkdir(os.path.join(root, f"r{r}", "new"))
-        rows = [(c, os.path.relpath(p, root), e, d) for c, p, e, d in reader.read(start)[0]]
+        rows = [(c, os.path.relpath(p, root), e, d) for c, p, e, d, _ in reader.read(start)[0]]
     return spark.createDataFrame(rows, "change string, path string, exists_now boolean, is_dir boolean")
 
 
