@@ -37,3 +37,16 @@ def test_each_request_is_answered_once(spark, tmp_path):
         assert spark.table("answers").count() == 6
     finally:
         query.stop()
+
+
+def test_a_session_with_the_default_state_store_answers_too(spark):
+    from tests.duck import SF, assert_same, connect
+    from weftline import catalog
+
+    before, default = spark.conf.get(waiting.PROVIDER), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(waiting.PROVIDER, default)
+    try:
+        assert_same(connect(), catalog.queries()["st3_answered_requests"](spark, SF), catalog.oracle_sql()["st3_answered_requests"])
+        assert spark.conf.get(waiting.PROVIDER) == default
+    finally:
+        spark.conf.set(waiting.PROVIDER, before)
