@@ -98,3 +98,17 @@ def test_index_reads_few_rows(spark, tmp_path):
     assert 0 < found.count() < 600
     with Workspace(spark, "python", [], {"symbols": symbols}, symbol_index=index) as w:
         assert w.workspace_symbols("NAME9187").count() == intel.workspace_symbols(symbols, "name9187").count()
+
+
+def test_copies_are_searched_once_and_expanded_in_many_tasks(spark, tmp_path, monkeypatch):
+    from weftline.operators import symbolindex
+
+    monkeypatch.setattr(symbolindex, "ROWS", 1000, raising=False)
+    symbols = spark.range(300).select(F.concat(F.lit("s"), "id").alias("symbol_id"), F.when(F.col("id") % 3 == 0, "Cold Gear()").otherwise("cold gear").alias("name"))
+    index = SymbolIndex(spark, str(tmp_path / "i")).build(symbols, 4)
+    grams = {"cold gear"[k : k + n] for n in (1, 2, 3) for k in range(10 - n)}
+    assert index._table("postings").count() == len(grams)  # of one class, not of each symbol
+    asked = spark.range(60).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "COLD").otherwise("o").alias("query"))
+    found = index.search_all(asked)
+    assert found.distinct().count() == found.count() == 60 * 300
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 9000
