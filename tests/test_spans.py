@@ -112,3 +112,12 @@ def test_copies_are_searched_once_and_expanded_in_many_tasks(spark, tmp_path, mo
     found = index.search_all(asked)
     assert found.distinct().count() == found.count() == 60 * 300
     assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 9000
+
+
+def test_a_position_is_sent_once_for_spans_of_few_lines(spark):
+    rows = [(f"s{k}", "u", k, 0, k + k % 64, 1, "reference") for k in range(200)]
+    cut = spans.binned(spark.createDataFrame(rows, SPAN), spans.STEP)
+    assert [r["level"] for r in cut.select("level").distinct().collect()] == [6]
+    req = spark.createDataFrame([(1, "u", 5, 2)], "request_id int, uri string, line int, char int")
+    plan = spans.innermost(spark.createDataFrame(rows, SPAN), req)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3  # spans, requests, answers: none to tell levels by file
