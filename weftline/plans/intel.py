@@ -409,7 +409,8 @@ def lq5_references_over_lines(spark, sf):
     occurrences, requests = spans_over_lines(spark, sf)
     found = intel.at_position(occurrences, requests)
     uses = occurrences.where("role <> 'definition'").groupBy("symbol_id").agg(F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"))
-    return found.join(uses, "symbol_id").groupBy("symbol_id").agg(F.count("*").alias("requests"), F.sum("n").alias("found"), F.sum("lines").alias("lines"))
+    asked = found.groupBy("symbol_id").agg(F.count("*").alias("requests"))
+    return asked.join(uses, "symbol_id").select("symbol_id", "requests", (F.col("n") * F.col("requests")).alias("found"), (F.col("lines") * F.col("requests")).alias("lines"))
 
 
 #: Queries of one character and more, some of which find nothing.
