@@ -39,3 +39,12 @@ def test_entry_has_rows(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert "change" in df.columns
+
+
+#: Queries that once ran on what they made up.
+READS = ("ent2_command_line",)
+
+
+@pytest.mark.parametrize("name", READS)
+def test_query_reads_a_table(spark, name):
+    assert catalog.queries()[name](spark, SF).inputFiles()
