@@ -42,7 +42,7 @@ def test_entry_has_rows(spark):
 
 
 #: Queries that once ran on what they made up.
-READS = ("ent2_command_line", "flt3b_git_probe",)
+READS = ("ent2_command_line", "flt3b_git_probe", "flt3c_gitignore_status",)
 
 
 @pytest.mark.parametrize("name", READS)
