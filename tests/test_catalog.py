@@ -42,7 +42,7 @@ def test_entry_has_rows(spark):
 
 
 #: Queries that once ran on what they made up.
-READS = ("ent2_command_line", "flt3b_git_probe", "flt3c_gitignore_status", "flt3f_fail_open_warning", "flt6_valid_languages", "lq14_lifecycle", "lq15_client_capabilities", "lq16_default_servers",)
+READS = ("ent2_command_line", "flt3b_git_probe", "flt3c_gitignore_status", "flt3f_fail_open_warning", "flt6_valid_languages", "lq14_lifecycle", "lq15_client_capabilities", "lq16_default_servers", "src4_load_languages",)
 
 
 @pytest.mark.parametrize("name", READS)
