@@ -48,3 +48,11 @@ READS = ("ent2_command_line", "flt3b_git_probe", "flt3c_gitignore_status", "flt3
 @pytest.mark.parametrize("name", READS)
 def test_query_reads_a_table(spark, name):
     assert catalog.queries()[name](spark, SF).inputFiles()
+
+
+def test_packages_export_what_they_promise():
+    from importlib import import_module
+
+    assert "ent5_exports" not in catalog.queries()  # names of packages are in no table
+    for module, names in (("weftline", ("WatchConfig", "Workspace", "watch")), ("weftline.sources", ("load_languages",)), ("weftline.streaming", ("wait_for",))):
+        assert set(names) <= set(import_module(module).__all__) and all(getattr(import_module(module), n) for n in import_module(module).__all__)
