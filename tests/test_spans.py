@@ -121,3 +121,11 @@ def test_a_position_is_sent_once_for_spans_of_few_lines(spark):
     req = spark.createDataFrame([(1, "u", 5, 2)], "request_id int, uri string, line int, char int")
     plan = spans.innermost(spark.createDataFrame(rows, SPAN), req)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3  # spans, requests, answers: none to tell levels by file
+
+
+def test_requests_are_counted_by_symbol_before_they_meet_its_references(spark):
+    from tests.duck import SF
+    from weftline import catalog
+
+    plan = catalog.queries()["lq5_references_over_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Project") and plan.index("Join") < plan.index("Aggregate")
