@@ -129,3 +129,17 @@ def test_requests_are_counted_by_symbol_before_they_meet_its_references(spark):
 
     plan = catalog.queries()["lq5_references_over_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Project") and plan.index("Join") < plan.index("Aggregate")
+
+
+def test_many_queries_for_one_symbol_are_many_tasks(spark, tmp_path, monkeypatch):
+    from weftline.operators import symbolindex
+
+    monkeypatch.setattr(symbolindex, "ROWS", 100)
+    monkeypatch.setattr(symbolindex, "TILE", 20, raising=False)
+    index = SymbolIndex(spark, str(tmp_path / "i")).build(spark.createDataFrame([("s1", "gear"), ("s2", "bolt"), ("s2", "bolt"), (None, "Bolt()")], "symbol_id string, name string"), 4)
+    asked = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("query_id"), F.when(F.col("id") < 2000, "GEAR").otherwise("ol").alias("query"))
+    found = index.search_all(asked)
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+    symbols = spark.createDataFrame([("s1", "gear", "GEAR"), ("s2", "bolt", "ol"), ("s2", "bolt", "ol"), (None, "Bolt()", "ol")], "symbol_id string, name string, query string")
+    expected = asked.join(symbols, "query").select("query_id", "symbol_id", "name")  # repeated queries and symbols, and null ids, are rows
+    assert found.count() == 5000 and found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
